@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, fingerprint, html, packing, quality, warc
+from . import bpe, chat, exact, fingerprint, html, ngram, packing, quality, warc
 from .common import scratch, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -40,6 +40,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.link(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -72,7 +76,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_packing": op1_packing, "op3_html": op3_html, "op4_chat": op4_chat, "op6_warc": op6_warc, "op7_bpe": op7_bpe,
+        "op1_packing": op1_packing, "op3_html": op3_html, "op4_chat": op4_chat, "op5_ngram": op5_ngram, "op6_warc": op6_warc, "op7_bpe": op7_bpe,
         "op8_quality": op8_quality, "op9_exact": op9_exact, "op10_fingerprint": op10_fingerprint,
     }
 
