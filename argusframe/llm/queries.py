@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, fingerprint, html, ngram, packing, quality, warc
+from . import bpe, chat, exact, fingerprint, html, ngram, packing, quality, suffix, warc
 from .common import scratch, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract_pages(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -76,7 +80,7 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_packing": op1_packing, "op3_html": op3_html, "op4_chat": op4_chat, "op5_ngram": op5_ngram, "op6_warc": op6_warc, "op7_bpe": op7_bpe,
+        "op1_packing": op1_packing, "op2_suffix": op2_suffix, "op3_html": op3_html, "op4_chat": op4_chat, "op5_ngram": op5_ngram, "op6_warc": op6_warc, "op7_bpe": op7_bpe,
         "op8_quality": op8_quality, "op9_exact": op9_exact, "op10_fingerprint": op10_fingerprint,
     }
 
