@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from argusframe.llm import exact, packing, quality
+from argusframe.llm import exact, ngram, packing, quality, suffix
 from argusframe.llm.common import materialize, table
 from argusframe.llm.queries import vocabulary
 
@@ -19,11 +20,22 @@ def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return exact.deduplicate(docs)
 
 
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each component of documents that share at least 0.8 of their five-word shingles."""
+    found = ngram.link(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages of 100 bytes or more that an earlier document has; n_chars follows the text."""
+    return suffix.remove(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary()).drop("ids")
 
 
-STAGES = [("quality", keep_quality), ("exact", keep_one_of_equal), ("packing", pack)]
+STAGES = [("quality", keep_quality), ("exact", keep_one_of_equal), ("ngram", keep_one_of_near), ("suffix", cut_repeats), ("packing", pack)]
 #: Classifier, similarity join and packing have no SQL equivalent.
 ORACLE_SQL = None
 
