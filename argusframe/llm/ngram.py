@@ -30,8 +30,8 @@ from . import exact, textvec
 from .common import materialize, partitions, small_batches
 
 U = np.uint64
-#: Words of 64 parity bits of a set.
-PARITY = 8
+#: Parity bits of a set: the power of two from its size up, and these at least and at most. Wider ones fold onto narrower ones.
+LEAST_BITS, MOST_BITS = 512, 1 << 16
 #: Counted occurrences from which an n-gram goes last in the order, and how many such n-grams the tasks are sent at most
 #: (both only move work, since any one order gives the same links).
 COMMON, MOST_COMMON = 200, 1 << 20
@@ -97,10 +97,39 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
 
 
 def parity(found: np.ndarray) -> bytes:
-    bits = np.bincount((found & U(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, len(found) - 1).bit_length()))
+    bits = np.bincount((found & U(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+class Parities:
+    """Parity bits of many sets; ``apart`` bounds from below by how much two sets differ."""
+
+    def __init__(self, raw: list[bytes]):
+        self.width = np.array([len(x) // 8 for x in raw], np.int64)
+        self.at, self.kept = np.zeros(len(raw), np.int64), {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.at[own] = np.arange(len(own))
+            self.kept[w, w] = np.frombuffer(b"".join([raw[i] for i in own]), np.uint64).reshape(-1, w)
+
+    def folded(self, w: int, to: int) -> np.ndarray:
+        if (w, to) not in self.kept:
+            wide = self.folded(w, 2 * to)
+            self.kept[w, to] = wide[:, :to] ^ wide[:, to:]
+        return self.kept[w, to]
+
+    def apart(self, x: np.ndarray, other: Parities, y: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), np.int64)
+        for w in np.unique(self.width[x]).tolist():
+            for v in np.unique(other.width[y]).tolist():
+                own = np.flatnonzero((self.width[x] == w) & (other.width[y] == v))
+                one, two = self.folded(w, min(w, v)), other.folded(v, min(w, v))
+                for part in np.array_split(own, 1 + len(own) * min(w, v) // (1 << 20)):
+                    out[part] = np.bitwise_count(one[self.at[x[part]]] ^ two[other.at[y[part]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
     """(doc_id, n, prefix, bits): the first elements under the order (common last, then by hash), and the parity bits."""
     spark = docs.sparkSession
@@ -211,7 +240,7 @@ def crossing(columns: DataFrame, nodes: DataFrame, parts: DataFrame, percent: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches):
             h, n, node, part = (t.column(i).to_numpy() for i in range(4))
-            bits = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint64).reshape(-1, PARITY)
+            bits = Parities(t.column(4).to_pylist())
             starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             ends = np.r_[starts[1:], len(h)]
             found = [np.zeros((2, 0), np.int64)]
@@ -225,8 +254,7 @@ def crossing(columns: DataFrame, nodes: DataFrame, parts: DataFrame, percent: in
                     ok = (right[None, :] > left[:, None]) & (100 * n[left][:, None] >= percent * n[right][None, :]) & (part[left][:, None] != part[right][None, :])
                     x, y = np.nonzero(ok)
                     x, y = left[x], right[y]
-                    apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1)
-                    near = n[x] + n[y] - apart >= 2 * least_overlap(n[x], n[y], percent)
+                    near = n[x] + n[y] - bits.apart(x, bits, y) >= 2 * least_overlap(n[x], n[y], percent)
                     found.append(np.stack([node[x[near]], node[y[near]]]))
             pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], names=["a", "b"])
@@ -235,7 +263,7 @@ def crossing(columns: DataFrame, nodes: DataFrame, parts: DataFrame, percent: in
     return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def count_links(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+def count_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) of the pairs that link: the product's entries on whole sets, read again from the texts of the pairs' nodes."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
@@ -295,10 +323,10 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     columns = materialize(shared_columns(columns_of(nodes)), "columns")
     first = leaders(columns, percent).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
     first = materialize(within_bounds(first, nodes, percent), "first")
-    links = materialize(count_links(first, docs, nodes, k, percent), "links")
+    links = materialize(count_links(first, docs, k, percent), "links")
     parts = components(links)
     more = materialize(crossing(columns, nodes, parts, percent), "crossing")
-    links = links.union(count_links(more, docs, nodes, k, percent))
+    links = links.union(materialize(count_links(more, docs, k, percent), "more"))
     parts = components(links).withColumnRenamed("id", "node")
     found = own.join(parts, "node", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("part", "node").alias("component_id"))
@@ -314,8 +342,8 @@ def within_bounds(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
             if not len(batch):
                 continue
             n1, n2 = (batch.column(i).to_numpy() for i in (2, 3))
-            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, PARITY) for i in (4, 5))
-            keep = n1 + n2 - np.bitwise_count(one ^ two).sum(axis=1) >= 2 * least_overlap(n1, n2, percent)
+            one, two, every = Parities(batch.column(4).to_pylist()), Parities(batch.column(5).to_pylist()), np.arange(len(batch))
+            keep = n1 + n2 - one.apart(every, two, every) >= 2 * least_overlap(n1, n2, percent)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
 
     return both.mapInArrow(run, "a long, b long").distinct()
