@@ -7,10 +7,11 @@ The order puts n-grams that very many documents share last, so common passages m
 bounds from the sizes of the two sets, or from the parity bits of their elements (a lower bound of the symmetric
 difference), are discarded; the rest are counted exactly on whole sets.
 
-Links are what components need: every document is first paired with the one leader that it shares most columns with;
-after these links are counted, only pairs of different components are looked at, so a group of many near copies costs
-one count a member and never all its pairs. No link between components is skipped: the result is the exact
-partition into connected components.
+Links are what components need. In rounds, each column proposes a forest of its likeliest pairs over the components
+so far; the pairs are counted, links join components, and pairs that don't link aren't proposed again. A column
+proposes at most two pairs a component, so a group of many near copies never costs all its pairs. Rounds
+end when no column has a pair left between two components: no link between components is skipped, and the result is
+the exact partition into connected components.
 
 Null text is empty; documents without words have an empty set and no links. Rows with one id are one document: they
 share a component. Other columns are ignored. Words of any length and texts of any length are taken whole.
@@ -35,6 +36,8 @@ LEAST_BITS, MOST_BITS = 512, 1 << 16
 #: Counted occurrences from which an n-gram goes last in the order, and how many such n-grams the tasks are sent at most
 #: (both only move work, since any one order gives the same links).
 COMMON, MOST_COMMON = 200, 1 << 20
+#: Rows of a column up to which all its passing pairs are proposed at once.
+FEW = 16
 #: The part of the hash range, from 0, in which common n-grams are looked for, and entries that a task holds of it.
 LOW, HELD = U(int(0.4 * 2**64)), 1 << 20
 #: Slots of the filter that tells which texts to read again; its size is fixed.
@@ -203,68 +206,95 @@ def shared_columns(columns: DataFrame) -> DataFrame:
     return columns.repartition(partitions(columns.sparkSession), "hash").sortWithinPartitions("hash").mapInArrow(run, columns.schema)
 
 
-def leaders(columns: DataFrame, percent: int) -> DataFrame:
-    """(node, leader): of each node the smaller node of similar size with which it shares most columns."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches):
-            h, n, node = (t.column(i).to_numpy() for i in range(3))
-            at = np.arange(len(h))
-            lead = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
-            while True:  # a new leader where sizes have grown too far
-                bad = 100 * n[lead] < percent * n
-                if not bad.any():
-                    break
-                first = bad & ~(np.r_[False, bad[:-1]] & np.r_[False, lead[1:] == lead[:-1]])
-                marks = np.where(first, at, 0)
-                lead = np.where(bad, np.maximum.accumulate(marks), lead)
-            out = lead != at
-            yield pa.RecordBatch.from_arrays([pa.array(node[out]), pa.array(node[lead[out]])], names=["node", "leader"])
-
-    found = columns.repartition(partitions(columns.sparkSession), "hash").sortWithinPartitions("hash", "n", "node").mapInArrow(run, "node long, leader long")
-    found = found.where("node <> leader").groupBy("node", "leader").count()
-    return found.groupBy("node").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-
-
 def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """The smallest intersection at which sets of these sizes link: 100 i >= percent (a + b - i)."""
     return -(-percent * (a + b) // (100 + percent))
 
 
-def crossing(columns: DataFrame, nodes: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components that share a column and pass the bounds from sizes and parity bits."""
-    labelled = columns.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("part", "node"))
-    open_ones = labelled.groupBy("hash").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("hash")
-    rows = labelled.join(open_ones, "hash").join(nodes.select("node", "bits"), "node").select("hash", "n", "node", "part", "bits")
+def crossing(columns: DataFrame, nodes: DataFrame, parts: DataFrame | None, rejected: DataFrame | None, percent: int) -> DataFrame:
+    """(hash, a, b): pairs of different components that share a column, pass the bounds from sizes and parity bits and weren't
+    rejected: in each column a forest over the components that such pairs connect, of the likeliest pairs."""
+    spark, rows = columns.sparkSession, columns
+    if parts is not None:
+        rows = rows.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        rows = rows.join(rows.groupBy("hash").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("hash"), "hash")
+    else:
+        rows = rows.withColumn("part", F.col("node"))
+    rows = rows.join(nodes.select("node", "bits"), "node")
+    if rejected is not None:
+        rows = rows.join(rejected.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("no")), "node", "left")
+    else:
+        rows = rows.withColumn("no", F.lit(None).cast("array<bigint>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches):
             h, n, node, part = (t.column(i).to_numpy() for i in range(4))
-            bits = Parities(t.column(4).to_pylist())
+            bits, no = Parities(t.column(4).to_pylist()), t.column(5).to_pylist()
             starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             ends = np.r_[starts[1:], len(h)]
-            found = [np.zeros((2, 0), np.int64)]
-            for a, b in zip(starts, ends, strict=True):
-                for i in range(a, b - 1, 256):  # a block of the product against what follows it
-                    j = min(i + 256, b)
-                    to = a + int(np.searchsorted(n[a:b], n[j - 1] * 100 // percent, "right"))
-                    left, right = np.arange(i, j), np.arange(i + 1, to)
-                    if not len(right):
-                        continue
-                    ok = (right[None, :] > left[:, None]) & (100 * n[left][:, None] >= percent * n[right][None, :]) & (part[left][:, None] != part[right][None, :])
-                    x, y = np.nonzero(ok)
-                    x, y = left[x], right[y]
-                    near = n[x] + n[y] - bits.apart(x, bits, y) >= 2 * least_overlap(n[x], n[y], percent)
-                    found.append(np.stack([node[x[near]], node[y[near]]]))
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=0)), pa.array(pairs.max(axis=0))], names=["a", "b"])
-
-    rows = rows.repartition(partitions(columns.sparkSession), "hash").sortWithinPartitions("hash", "n", "node")
-    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+            found = [few(h, np.repeat(ends - starts <= FEW, ends - starts), n, node, part, bits, no, percent)]
+            for a, b in zip(starts[ends - starts > FEW], ends[ends - starts > FEW], strict=True):
+                found += forest(a, b, n, node, part, bits, no, percent)
+            x, y = np.concatenate(found, axis=1)
+            pairs = pa.RecordBatch.from_arrays([pa.array(h[x]), pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["hash", "a", "b"])
+            yield pairs.filter(pa.array(node[x] != node[y]))
+
+    rows = rows.select("hash", "n", "node", "part", "bits", "no").repartition(partitions(spark), "hash").sortWithinPartitions("hash", "n", "node")
+    return rows.mapInArrow(run, "hash long, a long, b long")
+
+
+def few(h: np.ndarray, small: np.ndarray, n: np.ndarray, node: np.ndarray, part: np.ndarray, bits: Parities, no: list, percent: int) -> np.ndarray:
+    """Row pairs (2, m) of the columns with at most FEW rows that pass all bounds, for all these columns at once."""
+    found = [np.zeros((2, 0), np.int64)]
+    for d in range(1, FEW):
+        at = np.flatnonzero((h[d:] == h[:-d]) & small[d:] & (part[d:] != part[:-d]) & (100 * n[:-d] >= percent * n[d:])) if len(h) > d else []
+        if not len(at):
+            continue
+        room = n[at] + n[at + d] - bits.apart(at, bits, at + d) - 2 * least_overlap(n[at], n[at + d], percent)
+        found.append(np.stack([at, at + d])[:, room >= 0])
+    pairs = np.concatenate(found, axis=1)
+    refused = [i for i, (x, y) in enumerate(pairs.T.tolist()) if node[y] in (no[x] or ()) or node[x] in (no[y] or ())]
+    return np.delete(pairs, refused, axis=1)
+
+
+def forest(a: int, b: int, n: np.ndarray, node: np.ndarray, part: np.ndarray, bits: Parities, no: list, percent: int) -> Iterator[np.ndarray]:
+    """Row pairs (2, m) of one column, rows a to b sorted by size: block by block of the product, for each component the
+    likeliest pairs to another, until the block's passing pairs are all within what pairs so far connect."""
+    label = np.unique(part[a:b], return_inverse=True)[1]
+    place = {int(x): i for i, x in enumerate(node[a:b])} if any(no[a:b]) else {}
+    refused = np.array([i * (b - a) + place[y] for i, row in enumerate(no[a:b]) for y in row or () if y in place], np.int64)
+    refused = np.r_[refused, refused % (b - a) * (b - a) + refused // (b - a)] if len(refused) else refused
+    for i in range(a, b - 1, 256):
+        j = min(i + 256, b)
+        to = a + int(np.searchsorted(n[a:b], n[j - 1] * 100 // percent, "right"))
+        left, right = np.arange(i, j), np.arange(i + 1, to)
+        ok = (right[None, :] > left[:, None]) & (100 * n[left][:, None] >= percent * n[right][None, :]) & (label[left - a][:, None] != label[right - a][None, :])
+        x, y = np.nonzero(ok)
+        if not len(x):
+            continue
+        x, y = left[x], right[y]
+        room = n[x] + n[y] - bits.apart(x, bits, y) - 2 * least_overlap(n[x], n[y], percent)
+        near = room >= 0
+        if len(refused):
+            near &= ~np.isin((x - a) * (b - a) + y - a, refused)
+        x, y, room = x[near], y[near], (room / n[y])[near]
+        while len(x):
+            order = np.lexsort((-room, label[y - a]))
+            group = label[y[order] - a]
+            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            second = first[first + 1 < len(order)] + 1
+            second = second[group[second] == group[second - 1]]
+            chosen = order[np.r_[first, second]]
+            yield np.stack([x[chosen], y[chosen]])
+            for u, v in zip(x[chosen].tolist(), y[chosen].tolist(), strict=True):
+                if label[u - a] != label[v - a]:
+                    label[label == label[v - a]] = label[u - a]
+            apart = label[x - a] != label[y - a]
+            x, y, room = x[apart], y[apart], room[apart]
 
 
 def count_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs that link: the product's entries on whole sets, read again from the texts of the pairs' nodes."""
+    """(a, b, linked): the product's entries on whole sets, read again from the texts of the pairs' nodes."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
     slots = ids.select(slot("doc_id").alias("slot")).distinct()
@@ -287,9 +317,9 @@ def count_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> Data
                     one, two = two, one
                 both = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
                 keep.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -321,29 +351,20 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     nodes = prefixes(docs.where("doc_id is not null"), k, percent, common).join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
     nodes = materialize(nodes, "prefixes")
     columns = materialize(shared_columns(columns_of(nodes)), "columns")
-    first = leaders(columns, percent).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    first = materialize(within_bounds(first, nodes, percent), "first")
-    links = materialize(count_links(first, docs, k, percent), "links")
-    parts = components(links)
-    more = materialize(crossing(columns, nodes, parts, percent), "crossing")
-    links = links.union(materialize(count_links(more, docs, k, percent), "more"))
-    parts = components(links).withColumnRenamed("id", "node")
+    judged = parts = rejected = None
+    while True:
+        proposed = materialize(crossing(columns, nodes, parts, rejected, percent), "proposed")
+        if proposed.isEmpty():
+            break
+        if parts is None:  # all were apart: a column without a passing pair will never have one
+            columns = materialize(columns.join(proposed.select("hash").distinct(), "hash", "left_semi"), "open")
+        pairs = materialize(proposed.select("a", "b").distinct(), "pairs")
+        more = materialize(count_links(pairs, docs, k, percent), "judged")
+        judged = more if judged is None else judged.union(more)
+        rejected = judged.where("not linked")
+        parts = components(judged.where("linked"))
+    if parts is None:
+        return own.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("component_id"))
+    parts = parts.withColumnRenamed("id", "node")
     found = own.join(parts, "node", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("part", "node").alias("component_id"))
-
-
-def within_bounds(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that pass the bounds from sizes and parity bits."""
-    size = nodes.select("node", "n", "bits")
-    both = pairs.join(size.toDF("a", "n1", "bits1"), "a").join(size.toDF("b", "n2", "bits2"), "b").select("a", "b", "n1", "n2", "bits1", "bits2")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            n1, n2 = (batch.column(i).to_numpy() for i in (2, 3))
-            one, two, every = Parities(batch.column(4).to_pylist()), Parities(batch.column(5).to_pylist()), np.arange(len(batch))
-            keep = n1 + n2 - one.apart(every, two, every) >= 2 * least_overlap(n1, n2, percent)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep))
-
-    return both.mapInArrow(run, "a long, b long").distinct()
