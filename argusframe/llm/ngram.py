@@ -9,7 +9,7 @@ difference), are discarded; the rest are counted exactly on whole sets.
 
 Links are what components need. In rounds, each column proposes a forest of its likeliest pairs over the components
 so far; the pairs are counted, links join components, and pairs that don't link aren't proposed again. A column
-proposes at most two pairs a component, so a group of many near copies never costs all its pairs. Rounds
+proposes a fixed number of pairs a component and of these a node's likeliest are counted, so a group of many near copies never costs all its pairs. Rounds
 end when no column has a pair left between two components: no link between components is skipped, and the result is
 the exact partition into connected components.
 
@@ -31,8 +31,11 @@ from . import exact, textvec
 from .common import materialize, partitions, small_batches
 
 U = np.uint64
-#: Parity bits of a set: the power of two from its size up, and these at least and at most. Wider ones fold onto narrower ones.
-LEAST_BITS, MOST_BITS = 512, 1 << 16
+#: Parity bits of a set: the power of two from its size up (from WIDE times its size, once few columns are left), and these
+#: at least and at most. Wider ones fold onto narrower ones.
+LEAST_BITS, MOST_BITS, WIDE = 512, 1 << 20, 16
+#: Pairs of a component in a column, and of a node, that are taken in the first round and in later ones, the likeliest.
+BEST, LATER = 2, 16
 #: Counted occurrences from which an n-gram goes last in the order, and how many such n-grams the tasks are sent at most
 #: (both only move work, since any one order gives the same links).
 COMMON, MOST_COMMON = 200, 1 << 20
@@ -99,8 +102,8 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def parity(found: np.ndarray) -> bytes:
-    width = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, len(found) - 1).bit_length()))
+def parity(found: np.ndarray, times: int = 1) -> bytes:
+    width = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, times * len(found) - 1).bit_length()))
     bits = np.bincount((found & U(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -122,26 +125,28 @@ class Parities:
             self.kept[w, to] = wide[:, :to] ^ wide[:, to:]
         return self.kept[w, to]
 
-    def apart(self, x: np.ndarray, other: Parities, y: np.ndarray) -> np.ndarray:
+    def apart(self, x: np.ndarray, other: Parities, y: np.ndarray, fold: int = 1) -> np.ndarray:
+        """fold: so many times fewer bits are looked at, which is faster and bounds less well."""
         out = np.zeros(len(x), np.int64)
         for w in np.unique(self.width[x]).tolist():
             for v in np.unique(other.width[y]).tolist():
                 own = np.flatnonzero((self.width[x] == w) & (other.width[y] == v))
-                one, two = self.folded(w, min(w, v)), other.folded(v, min(w, v))
-                for part in np.array_split(own, 1 + len(own) * min(w, v) // (1 << 20)):
+                to = max(LEAST_BITS // 64, min(w, v) // fold)
+                one, two = self.folded(w, to), other.folded(v, to)
+                for part in np.array_split(own, 1 + len(own) * to // (1 << 20)):
                     out[part] = np.bitwise_count(one[self.at[x[part]]] ^ two[other.at[y[part]]]).sum(axis=1, dtype=np.int64)
         return out
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, prefix, bits): the first elements under the order (common last, then by hash), and the parity bits."""
+    """(doc_id, n, prefix, bits, wide): the first elements under the order (common last, then by hash), and parity bits."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(common)  # at most MOST_COMMON hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = sent.value
         for batch in batches:
-            n, heads, bits = [], [], []
+            n, heads, bits, wide = [], [], [], []
             for found in sets_of(batch.column(1), k):
                 size = len(found)
                 length = size - -(-percent * size // 100) + 1 if size else 0
@@ -154,9 +159,10 @@ def prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataF
                 n.append(size)
                 heads.append(head.tobytes())
                 bits.append(parity(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(heads, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "n", "prefix", "bits"])
+                wide.append(parity(found, WIDE))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (heads, bits, wide)]], names=["doc_id", "n", "prefix", "bits", "wide"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, prefix binary, bits binary")
+    return docs.mapInArrow(run, "doc_id long, n long, prefix binary, bits binary, wide binary")
 
 
 def columns_of(nodes: DataFrame) -> DataFrame:
@@ -206,21 +212,29 @@ def shared_columns(columns: DataFrame) -> DataFrame:
     return columns.repartition(partitions(columns.sparkSession), "hash").sortWithinPartitions("hash").mapInArrow(run, columns.schema)
 
 
+def passing(x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: Parities, percent: int, later: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Which row pairs can link by sizes and parity bits, and their room: how much more they could differ."""
+    room = n[x] + n[y] - bits.apart(x, bits, y, WIDE if later else 1) - 2 * least_overlap(n[x], n[y], percent)
+    if later and len(own := np.flatnonzero(room >= 0)):
+        room[own] = n[x[own]] + n[y[own]] - bits.apart(x[own], bits, y[own]) - 2 * least_overlap(n[x[own]], n[y[own]], percent)
+    return room >= 0, room / np.maximum(1, n[y])
+
+
 def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """The smallest intersection at which sets of these sizes link: 100 i >= percent (a + b - i)."""
     return -(-percent * (a + b) // (100 + percent))
 
 
 def crossing(columns: DataFrame, nodes: DataFrame, parts: DataFrame | None, rejected: DataFrame | None, percent: int) -> DataFrame:
-    """(hash, a, b): pairs of different components that share a column, pass the bounds from sizes and parity bits and weren't
+    """(hash, a, b, room): pairs of different components that share a column, pass the bounds from sizes and parity bits and weren't
     rejected: in each column a forest over the components that such pairs connect, of the likeliest pairs."""
-    spark, rows = columns.sparkSession, columns
+    spark, rows, later = columns.sparkSession, columns, parts is not None
     if parts is not None:
         rows = rows.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("part", "node"))
         rows = rows.join(rows.groupBy("hash").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("hash"), "hash")
     else:
         rows = rows.withColumn("part", F.col("node"))
-    rows = rows.join(nodes.select("node", "bits"), "node")
+    rows = rows.join(nodes.select("node", F.col("bits" if parts is None else "wide").alias("bits")), "node")
     if rejected is not None:
         rows = rows.join(rejected.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("no")), "node", "left")
     else:
@@ -232,32 +246,40 @@ def crossing(columns: DataFrame, nodes: DataFrame, parts: DataFrame | None, reje
             bits, no = Parities(t.column(4).to_pylist()), t.column(5).to_pylist()
             starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             ends = np.r_[starts[1:], len(h)]
-            found = [few(h, np.repeat(ends - starts <= FEW, ends - starts), n, node, part, bits, no, percent)]
+            found: list[np.ndarray] = [few(h, np.repeat(ends - starts <= FEW, ends - starts), n, node, part, bits, no, percent, later)]
             for a, b in zip(starts[ends - starts > FEW], ends[ends - starts > FEW], strict=True):
-                found += forest(a, b, n, node, part, bits, no, percent)
+                found += forest(a, b, n, node, part, bits, no, percent, later)
             x, y = np.concatenate(found, axis=1)
-            pairs = pa.RecordBatch.from_arrays([pa.array(h[x]), pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y]))], names=["hash", "a", "b"])
-            yield pairs.filter(pa.array(node[x] != node[y]))
+            _, room = passing(x, y, n, bits, percent, later)
+            pairs = [pa.array(h[x]), pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(room)]
+            yield pa.RecordBatch.from_arrays(pairs, names=["hash", "a", "b", "room"]).filter(pa.array(node[x] != node[y]))
 
     rows = rows.select("hash", "n", "node", "part", "bits", "no").repartition(partitions(spark), "hash").sortWithinPartitions("hash", "n", "node")
-    return rows.mapInArrow(run, "hash long, a long, b long")
+    return rows.mapInArrow(run, "hash long, a long, b long, room double")
+
+
+def likeliest(proposed: DataFrame, most: int) -> DataFrame:
+    """(a, b): of each node the ``most`` likeliest pairs that were proposed."""
+    pairs = proposed.groupBy("a", "b").agg(F.max("room").alias("room"))
+    ends = pairs.select("*", F.explode(F.array("a", "b")).alias("u"))
+    best = ends.groupBy("u").agg(F.slice(F.sort_array(F.collect_list(F.struct("room", "a", "b")), asc=False), 1, most).alias("x"))
+    return best.select(F.explode("x").alias("x")).select("x.a", "x.b").distinct()
 
 
-def few(h: np.ndarray, small: np.ndarray, n: np.ndarray, node: np.ndarray, part: np.ndarray, bits: Parities, no: list, percent: int) -> np.ndarray:
+def few(h: np.ndarray, small: np.ndarray, n: np.ndarray, node: np.ndarray, part: np.ndarray, bits: Parities, no: list, percent: int, later: bool) -> np.ndarray:
     """Row pairs (2, m) of the columns with at most FEW rows that pass all bounds, for all these columns at once."""
     found = [np.zeros((2, 0), np.int64)]
     for d in range(1, FEW):
         at = np.flatnonzero((h[d:] == h[:-d]) & small[d:] & (part[d:] != part[:-d]) & (100 * n[:-d] >= percent * n[d:])) if len(h) > d else []
         if not len(at):
             continue
-        room = n[at] + n[at + d] - bits.apart(at, bits, at + d) - 2 * least_overlap(n[at], n[at + d], percent)
-        found.append(np.stack([at, at + d])[:, room >= 0])
+        found.append(np.stack([at, at + d])[:, passing(at, at + d, n, bits, percent, later)[0]])
     pairs = np.concatenate(found, axis=1)
     refused = [i for i, (x, y) in enumerate(pairs.T.tolist()) if node[y] in (no[x] or ()) or node[x] in (no[y] or ())]
     return np.delete(pairs, refused, axis=1)
 
 
-def forest(a: int, b: int, n: np.ndarray, node: np.ndarray, part: np.ndarray, bits: Parities, no: list, percent: int) -> Iterator[np.ndarray]:
+def forest(a: int, b: int, n: np.ndarray, node: np.ndarray, part: np.ndarray, bits: Parities, no: list, percent: int, later: bool) -> Iterator[np.ndarray]:
     """Row pairs (2, m) of one column, rows a to b sorted by size: block by block of the product, for each component the
     likeliest pairs to another, until the block's passing pairs are all within what pairs so far connect."""
     label = np.unique(part[a:b], return_inverse=True)[1]
@@ -273,18 +295,16 @@ def forest(a: int, b: int, n: np.ndarray, node: np.ndarray, part: np.ndarray, bi
         if not len(x):
             continue
         x, y = left[x], right[y]
-        room = n[x] + n[y] - bits.apart(x, bits, y) - 2 * least_overlap(n[x], n[y], percent)
-        near = room >= 0
+        near, room = passing(x, y, n, bits, percent, later)
         if len(refused):
             near &= ~np.isin((x - a) * (b - a) + y - a, refused)
-        x, y, room = x[near], y[near], (room / n[y])[near]
+        x, y, room = x[near], y[near], room[near]
         while len(x):
             order = np.lexsort((-room, label[y - a]))
             group = label[y[order] - a]
-            first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            second = first[first + 1 < len(order)] + 1
-            second = second[group[second] == group[second - 1]]
-            chosen = order[np.r_[first, second]]
+            heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            rank = np.arange(len(group)) - np.repeat(heads, np.diff(np.r_[heads, len(group)]))
+            chosen = order[rank < (LATER if later else BEST)]
             yield np.stack([x[chosen], y[chosen]])
             for u, v in zip(x[chosen].tolist(), y[chosen].tolist(), strict=True):
                 if label[u - a] != label[v - a]:
@@ -356,9 +376,9 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         proposed = materialize(crossing(columns, nodes, parts, rejected, percent), "proposed")
         if proposed.isEmpty():
             break
-        if parts is None:  # all were apart: a column without a passing pair will never have one
-            columns = materialize(columns.join(proposed.select("hash").distinct(), "hash", "left_semi"), "open")
-        pairs = materialize(proposed.select("a", "b").distinct(), "pairs")
+        # components only grow: a column without a pair to propose will never have one
+        columns = materialize(columns.join(proposed.select("hash").distinct(), "hash", "left_semi"), "open")
+        pairs = materialize(likeliest(proposed, BEST if parts is None else LATER), "pairs")
         more = materialize(count_links(pairs, docs, k, percent), "judged")
         judged = more if judged is None else judged.union(more)
         rejected = judged.where("not linked")
