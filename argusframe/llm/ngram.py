@@ -365,7 +365,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     own = seen.where("own").select("doc_id", "n", "key")
     often = seen.where("not own").groupBy("hash").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON).orderBy(F.desc("times"), "hash").limit(MOST_COMMON).select("hash").toPandas()
     common = np.sort(often["hash"].to_numpy(np.int64).view(U)) if len(often) else np.zeros(0, U)
-    own = exact.assign(own, F.col("doc_id"), ["key", "n"]).select("doc_id", "n", F.col("__keep").alias("node"))
+    own = exact.assign(own, F.col("doc_id"), ["key", "n"]).select("doc_id", "n", F.when(F.col("n") > 0, F.col("__keep")).otherwise(F.col("doc_id")).alias("node"))
     own = materialize(own, "nodes")
     ids = own.where("n > 0 and node = doc_id").select("doc_id").distinct()
     nodes = prefixes(docs.where("doc_id is not null"), k, percent, common).join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "node")

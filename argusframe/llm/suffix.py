@@ -311,7 +311,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with what repeats cut from its texts; characters that a cut leaves incomplete go too, and rows of which nothing is left."""
     rows = mark(docs, id_col, text_col)
-    at = docs.columns.index(text_col)
+    names = docs.columns
+    at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,6 +327,6 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     out.append((text, True))
             columns = list(batch.columns[:-1])
             columns[at] = pa.array([x[0] for x in out], pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns).filter(pa.array([x[1] for x in out], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([x[1] for x in out], pa.bool_()))
 
     return rows.mapInArrow(run, docs.schema)
