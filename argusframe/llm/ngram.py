@@ -20,7 +20,7 @@ share a component. Other columns are ignored. Words of any length and texts of a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -139,14 +139,14 @@ class Parities:
 
 
 def prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, prefix, bits, wide): the first elements under the order (common last, then by hash), and parity bits."""
+    """(doc_id, n, prefix, bits): the first elements under the order (common last, then by hash), and parity bits."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(common)  # at most MOST_COMMON hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = sent.value
         for batch in batches:
-            n, heads, bits, wide = [], [], [], []
+            n, heads, bits = [], [], []
             for found in sets_of(batch.column(1), k):
                 size = len(found)
                 length = size - -(-percent * size // 100) + 1 if size else 0
@@ -159,10 +159,9 @@ def prefixes(docs: DataFrame, k: int, percent: int, common: np.ndarray) -> DataF
                 n.append(size)
                 heads.append(head.tobytes())
                 bits.append(parity(found))
-                wide.append(parity(found, WIDE))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (heads, bits, wide)]], names=["doc_id", "n", "prefix", "bits", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (heads, bits)]], names=["doc_id", "n", "prefix", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, prefix binary, bits binary, wide binary")
+    return docs.mapInArrow(run, "doc_id long, n long, prefix binary, bits binary")
 
 
 def columns_of(nodes: DataFrame) -> DataFrame:
@@ -199,17 +198,38 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    x = x.view(U) + U(salt)
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
 def shared_columns(columns: DataFrame) -> DataFrame:
-    """The rows whose column has two nodes or more."""
+    """The rows whose column has two nodes or more, of columns with the same nodes one: the others would propose the same pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches):
             h = t.column(0).to_numpy()
             same = h[1:] == h[:-1]
-            keep = np.r_[False, same] | np.r_[same, False]
-            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
-
-    return columns.repartition(partitions(columns.sparkSession), "hash").sortWithinPartitions("hash").mapInArrow(run, columns.schema)
+            t = t.filter(pa.array(np.r_[False, same] | np.r_[same, False])).combine_chunks()
+            if not len(t):
+                continue
+            h, node = t.column(0).to_numpy(), t.column(2).to_numpy()
+            first = np.r_[True, h[1:] != h[:-1]]
+            starts = np.flatnonzero(first)
+            members = np.stack([np.add.reduceat(mixed(node, salt), starts) for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)], axis=1)
+            once = np.zeros(len(starts), bool)
+            once[np.unique(members, axis=0, return_index=True)[1]] = True
+            lengths = np.diff(np.r_[starts, len(h)])
+            marks = [pa.array(np.repeat(members[:, i].view(np.int64), lengths), mask=~first) for i in (0, 1)]
+            t = t.append_column("one", marks[0]).append_column("two", marks[1])
+            yield from t.filter(pa.array(np.repeat(once, lengths))).combine_chunks().to_batches()
+
+    rows = columns.repartition(partitions(columns.sparkSession), "hash").sortWithinPartitions("hash").mapInArrow(run, "hash long, n long, node long, one long, two long")
+    rows = materialize(rows, "shared")  # the marks of a column's nodes are at its first row
+    once = rows.where("one is not null").groupBy("one", "two").agg(F.min("hash").alias("hash")).select("hash")
+    return rows.join(once, "hash", "left_semi").select("hash", "n", "node")
 
 
 def passing(x: np.ndarray, y: np.ndarray, n: np.ndarray, bits: Parities, percent: int, later: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -225,7 +245,7 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def crossing(columns: DataFrame, nodes: DataFrame, parts: DataFrame | None, rejected: DataFrame | None, percent: int) -> DataFrame:
+def crossing(columns: DataFrame, bits: DataFrame, parts: DataFrame | None, rejected: DataFrame | None, percent: int) -> DataFrame:
     """(hash, a, b, room): pairs of different components that share a column, pass the bounds from sizes and parity bits and weren't
     rejected: in each column a forest over the components that such pairs connect, of the likeliest pairs."""
     spark, rows, later = columns.sparkSession, columns, parts is not None
@@ -234,7 +254,7 @@ def crossing(columns: DataFrame, nodes: DataFrame, parts: DataFrame | None, reje
         rows = rows.join(rows.groupBy("hash").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("hash"), "hash")
     else:
         rows = rows.withColumn("part", F.col("node"))
-    rows = rows.join(nodes.select("node", F.col("bits" if parts is None else "wide").alias("bits")), "node")
+    rows = rows.join(bits, "node")
     if rejected is not None:
         rows = rows.join(rejected.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("no")), "node", "left")
     else:
@@ -313,18 +333,23 @@ def forest(a: int, b: int, n: np.ndarray, node: np.ndarray, part: np.ndarray, bi
             x, y, room = x[apart], y[apart], room[apart]
 
 
-def count_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, linked): the product's entries on whole sets, read again from the texts of the pairs' nodes."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+def from_sets(docs: DataFrame, ids: DataFrame, k: int, value: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(doc_id, found): a value of each set, for the given ids, from their texts."""
+    ids, slot = ids.distinct(), lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
     slots = ids.select(slot("doc_id").alias("slot")).distinct()
     texts = docs.withColumn("slot", slot("doc_id")).join(F.broadcast(slots), "slot", "left_semi").select("doc_id", "text")  # at most SLOTS rows
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets_of(batch.column(1), k)], pa.binary())], names=["doc_id", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([value(x) for x in sets_of(batch.column(1), k)], pa.binary())], names=["doc_id", "found"])
+
+    return texts.mapInArrow(run, "doc_id long, found binary").join(ids, "doc_id", "left_semi")
+
 
-    sets = texts.mapInArrow(whole, "doc_id long, found binary").join(ids.distinct(), "doc_id", "left_semi")
+def count_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, linked): the product's entries on whole sets, read again from the texts of the pairs' nodes."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    sets = from_sets(docs, ids, k, lambda x: x.tobytes())
     sets = sets.dropDuplicates(["doc_id"])
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
@@ -371,13 +396,17 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     nodes = prefixes(docs.where("doc_id is not null"), k, percent, common).join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "node")
     nodes = materialize(nodes, "prefixes")
     columns = materialize(shared_columns(columns_of(nodes)), "columns")
+    bits = nodes.select("node", "bits")
     judged = parts = rejected = None
     while True:
-        proposed = materialize(crossing(columns, nodes, parts, rejected, percent), "proposed")
+        proposed = materialize(crossing(columns, bits, parts, rejected, percent), "proposed")
         if proposed.isEmpty():
             break
         # components only grow: a column without a pair to propose will never have one
         columns = materialize(columns.join(proposed.select("hash").distinct(), "hash", "left_semi"), "open")
+        if parts is None:  # the few nodes that are still in question get wider bits
+            ids = columns.select(F.col("node").alias("doc_id"))
+            bits = materialize(from_sets(docs, ids, k, lambda x: parity(x, WIDE)).toDF("node", "bits"), "wide")
         pairs = materialize(likeliest(proposed, BEST if parts is None else LATER), "pairs")
         more = materialize(count_links(pairs, docs, k, percent), "judged")
         judged = more if judged is None else judged.union(more)
