@@ -404,14 +404,16 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
             break
         # components only grow: a column without a pair to propose will never have one
         columns = materialize(columns.join(proposed.select("hash").distinct(), "hash", "left_semi"), "open")
-        if parts is None:  # the few nodes that are still in question get wider bits
-            ids = columns.select(F.col("node").alias("doc_id"))
-            bits = materialize(from_sets(docs, ids, k, lambda x: parity(x, WIDE)).toDF("node", "bits"), "wide")
         pairs = materialize(likeliest(proposed, BEST if parts is None else LATER), "pairs")
         more = materialize(count_links(pairs, docs, k, percent), "judged")
         judged = more if judged is None else judged.union(more)
-        rejected = judged.where("not linked")
+        first, rejected = parts is None, judged.where("not linked")
         parts = components(judged.where("linked"))
+        if first:  # columns in question by these bits are few: only their nodes get wider ones
+            unsure = crossing(columns, bits, parts, rejected, percent).select("hash").distinct()
+            columns = materialize(columns.join(unsure, "hash", "left_semi"), "unsure")
+            ids = columns.select(F.col("node").alias("doc_id"))
+            bits = materialize(from_sets(docs, ids, k, lambda x: parity(x, WIDE)).toDF("node", "bits"), "wide")
     if parts is None:
         return own.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("component_id"))
     parts = parts.withColumnRenamed("id", "node")
