@@ -35,7 +35,7 @@ U = np.uint64
 #: at least and at most. Wider ones fold onto narrower ones.
 LEAST_BITS, MOST_BITS, WIDE = 512, 1 << 20, 16
 #: Pairs of a component in a column, and of a node, that are taken in the first round and in later ones, the likeliest.
-BEST, LATER = 2, 16
+BEST, LATER = 2, 256
 #: Counted occurrences from which an n-gram goes last in the order, and how many such n-grams the tasks are sent at most
 #: (both only move work, since any one order gives the same links).
 COMMON, MOST_COMMON = 200, 1 << 20
@@ -301,13 +301,15 @@ def few(h: np.ndarray, small: np.ndarray, n: np.ndarray, node: np.ndarray, part:
 
 def forest(a: int, b: int, n: np.ndarray, node: np.ndarray, part: np.ndarray, bits: Parities, no: list, percent: int, later: bool) -> Iterator[np.ndarray]:
     """Row pairs (2, m) of one column, rows a to b sorted by size: block by block of the product, for each component the
-    likeliest pairs to another, until the block's passing pairs are all within what pairs so far connect."""
-    label = np.unique(part[a:b], return_inverse=True)[1]
+    likeliest pairs to another, until the block's passing pairs are all within what pairs so far connect. In later rounds few
+    pairs pass and most of them don't link: what they connect counts for their own block only, so that fewer rounds are needed."""
+    label = own = np.unique(part[a:b], return_inverse=True)[1]
     place = {int(x): i for i, x in enumerate(node[a:b])} if any(no[a:b]) else {}
     refused = np.array([i * (b - a) + place[y] for i, row in enumerate(no[a:b]) for y in row or () if y in place], np.int64)
     refused = np.r_[refused, refused % (b - a) * (b - a) + refused // (b - a)] if len(refused) else refused
     for i in range(a, b - 1, 256):
         j = min(i + 256, b)
+        label = own.copy() if later else label
         to = a + int(np.searchsorted(n[a:b], n[j - 1] * 100 // percent, "right"))
         left, right = np.arange(i, j), np.arange(i + 1, to)
         ok = (right[None, :] > left[:, None]) & (100 * n[left][:, None] >= percent * n[right][None, :]) & (label[left - a][:, None] != label[right - a][None, :])
@@ -381,6 +383,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` after more links: only the components at their ends are worked on."""
+    part_of = lambda end: parts.withColumnsRenamed({"id": end, "part": f"{end}_part"})
+    ends = links.join(part_of("a"), "a", "left").join(part_of("b"), "b", "left")
+    moved = components(ends.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")))
+    old = parts.join(moved.toDF("part", "to"), "part", "left").select("id", F.coalesce("to", "part").alias("part"))
+    return materialize(old.union(moved.join(parts, "id", "left_anti").select("id", "part")), "parts")
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
@@ -397,18 +408,21 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
     nodes = materialize(nodes, "prefixes")
     columns = materialize(shared_columns(columns_of(nodes)), "columns")
     bits = nodes.select("node", "bits")
-    judged = parts = rejected = None
+    parts = rejected = None
     while True:
         proposed = materialize(crossing(columns, bits, parts, rejected, percent), "proposed")
         if proposed.isEmpty():
             break
         # components only grow: a column without a pair to propose will never have one
         columns = materialize(columns.join(proposed.select("hash").distinct(), "hash", "left_semi"), "open")
-        pairs = materialize(likeliest(proposed, BEST if parts is None else LATER), "pairs")
-        more = materialize(count_links(pairs, docs, k, percent), "judged")
-        judged = more if judged is None else judged.union(more)
-        first, rejected = parts is None, judged.where("not linked")
-        parts = components(judged.where("linked"))
+        first = parts is None
+        judged = materialize(count_links(likeliest(proposed, BEST if first else LATER), docs, k, percent), "judged")
+        linked, refused = judged.where("linked"), judged.where("not linked")
+        rejected = refused if rejected is None else rejected.union(refused)
+        if first:
+            parts = components(linked)
+        elif not linked.isEmpty():
+            parts = joined(parts, linked)
         if first:  # columns in question by these bits are few: only their nodes get wider ones
             unsure = crossing(columns, bits, parts, rejected, percent).select("hash").distinct()
             columns = materialize(columns.join(unsure, "hash", "left_semi"), "unsure")
