@@ -9,7 +9,7 @@ difference), are discarded; the rest are counted exactly on whole sets.
 
 Links are what components need. In rounds, each column proposes a forest of its likeliest pairs over the components
 so far; the pairs are counted, links join components, and pairs that don't link aren't proposed again. A column
-proposes a fixed number of pairs a component and of these a node's likeliest are counted, so a group of many near copies never costs all its pairs. Rounds
+proposes, block by block, a fixed number of pairs a component and of these a node's likeliest are counted, so a group of many near copies never costs all its pairs. Rounds
 end when no column has a pair left between two components: no link between components is skipped, and the result is
 the exact partition into connected components.
 
