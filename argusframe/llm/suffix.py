@@ -35,8 +35,6 @@ SPAN, GRAM = 100, 32
 SHARD_BYTES = 12 << 20
 #: Slots of the filter that tells which texts to read again; its size is fixed.
 SLOTS = 1 << 18
-#: A removed run is packed as start << SHIFT | length.
-SHIFT = 20
 ENTRY = [("gram", np.uint32), ("context", np.uint64), ("row", np.uint16), ("start", np.uint32), ("length", np.uint8)]
 
 
@@ -131,13 +129,9 @@ def entries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row[first], first - offsets[row[first]], last - first + SPAN, grams[at[first]], context, at[first] - first
 
 
-def packed(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    return (start.astype(np.int64) << SHIFT) | length.astype(np.int64)
-
-
 def sample(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, blob): a chunk's entries for a shard; and (doc_id, run) for what repeats within the chunk."""
-    names = ["shard", "blob", "doc_id", "run"]
+    """(shard, blob): a chunk's entries for a shard; and (doc_id, start, stop) for what repeats within the chunk."""
+    names = ["shard", "blob", "doc_id", "start", "stop"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +144,8 @@ def sample(docs: DataFrame, shards: int) -> DataFrame:
                 order = np.lexsort((start, doc[row], context))
                 again = np.r_[False, context[order][1:] == context[order][:-1]]
                 lost, kept = order[again], order[~again]
-                rows = [pa.nulls(len(lost), pa.int32()), pa.nulls(len(lost), pa.binary()), pa.array(doc[row[lost]]), pa.array(packed(start[lost], length[lost]))]
+                runs = joined_runs(doc[row[lost]], start[lost], length[lost])
+                rows = [pa.nulls(len(runs[0]), pa.int32()), pa.nulls(len(runs[0]), pa.binary()), *map(pa.array, runs)]
                 yield pa.RecordBatch.from_arrays(rows, names=names)
                 shard = (gram[kept] >> U(32)) % U(shards)
                 order = np.argsort(shard, kind="stable")
@@ -164,9 +159,9 @@ def sample(docs: DataFrame, shards: int) -> DataFrame:
                     parts = [np.array([len(own), len(used)], np.int64).tobytes(), doc[used].astype(np.int64).tobytes()]
                     blobs.append(b"".join(parts + [(columns[n] & U(0xFFFFFFFF) if n == "gram" else columns[n]).astype(t).tobytes() for n, t in ENTRY]))
                 none = pa.nulls(len(heads), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(shard[heads].astype(np.int32)), pa.array(blobs, pa.binary()), none, none], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(shard[heads].astype(np.int32)), pa.array(blobs, pa.binary()), none, none, none], names=names)
 
-    return docs.mapInArrow(run, "shard int, blob binary, doc_id long, run long")
+    return docs.mapInArrow(run, "shard int, blob binary, doc_id long, start long, stop long")
 
 
 def opened(blob: bytes) -> dict[str, np.ndarray]:
@@ -179,28 +174,28 @@ def opened(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def joined_runs(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping or touching runs of a document become one."""
+def joined_runs(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, stop): overlapping or touching runs of a document become one."""
     if not len(doc):
-        return doc, start
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
     order = np.lexsort((start, doc))
     doc, start, stop = doc[order], start[order], (start + length)[order]
     base = np.cumsum(np.r_[0, doc[1:] != doc[:-1]]) << 40
     far = np.maximum.accumulate(base + stop)
     heads = np.flatnonzero(np.r_[True, base[1:] + start[1:] > far[:-1]])
     ends = far[np.r_[heads[1:] - 1, len(doc) - 1]] - base[heads]
-    return doc[heads], packed(start[heads], ends - start[heads])
+    return doc[heads], start[heads], ends
 
 
 def settle_contexts(table: pa.Table) -> pa.Table:
-    """One shard: (doc_id, run, gram) with gram null for runs to remove, else of contexts to settle string by string."""
+    """One shard: (doc_id, start, stop, gram) with gram null for runs to remove, else of contexts to settle string by string."""
     family = Family()
     for blob in table.column("blob"):
         x = opened(blob.as_py())
         family.add(x["context"], x["doc"], x["start"].astype(np.int64), x["length"].astype(np.int64), x["gram"])
-    doc, run = joined_runs(*family.repeated())
+    doc, start, stop = joined_runs(*family.repeated())
     d, s, n, gram = family.ambiguous()
-    return pa.table({"doc_id": np.concatenate([doc, d]), "run": np.concatenate([run, packed(s, n)]), "gram": pa.array([None] * len(doc) + gram.tolist(), pa.int64())})
+    return pa.table({"doc_id": np.concatenate([doc, d]), "start": np.concatenate([start, s]), "stop": np.concatenate([stop, s + n]), "gram": pa.array([None] * len(doc) + gram.tolist(), pa.int64())})
 
 
 def strings_of(rows: DataFrame) -> DataFrame:
@@ -212,18 +207,17 @@ def strings_of(rows: DataFrame) -> DataFrame:
             for doc, text, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 data = (text or "").encode()
                 for x in wanted:
-                    start, n = x["run"] >> SHIFT, x["run"] & ((1 << SHIFT) - 1)
                     shards.append(x["shard"])
                     docs.append(doc)
-                    starts.append(start)
-                    cut.append(data[start : start + n])
+                    starts.append(x["start"])
+                    cut.append(data[x["start"] : x["stop"]])
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(cut, pa.binary())], names=["shard", "doc_id", "start", "bytes"])
 
     return rows.mapInArrow(run, "shard int, doc_id long, start long, bytes binary")
 
 
 def settle_strings(table: pa.Table) -> pa.Table:
-    """One shard's contexts: (doc_id, run) of the strings that start earlier elsewhere."""
+    """One shard's contexts: (doc_id, start, stop) of the strings that start earlier elsewhere."""
     family = Family()
     for batch in table.to_batches(4096):
         sizes = np.array([len(x.as_buffer()) for x in batch.column("bytes")], np.int64)
@@ -234,31 +228,29 @@ def settle_strings(table: pa.Table) -> pa.Table:
         keys = textvec.span_hashes(textvec.prefix_sums(data), at, at + SPAN)
         doc, start = (np.repeat(batch.column(c).to_numpy(), inside) for c in ("doc_id", "start"))
         family.add(keys, doc, start + shift, np.full(len(at), SPAN, np.int64), np.zeros(len(at), np.int64))
-    doc, run = joined_runs(*family.repeated())
-    return pa.table({"doc_id": doc, "run": run})
+    return pa.table(dict(zip(("doc_id", "start", "stop"), joined_runs(*family.repeated()), strict=True)))
 
 
-def union_of(runs: list[int], size: int) -> np.ndarray:
+def union_of(runs: pa.ListScalar, size: int) -> np.ndarray:
     """Maximal removed runs (start, stop) of one text."""
-    runs = np.sort(np.array(runs, np.int64))
-    _, both = joined_runs(np.zeros(len(runs), np.int64), runs >> SHIFT, runs & ((1 << SHIFT) - 1))
-    start, stop = both >> SHIFT, (both >> SHIFT) + (both & ((1 << SHIFT) - 1))
+    start, stop = (runs.values.field(i).to_numpy() for i in (0, 1))
+    _, start, stop = joined_runs(np.zeros(len(start), np.int64), start, stop - start)
     return np.minimum(np.stack([start, stop], axis=1), size)
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, run) of what goes, packed, from (doc_id, text)."""
+    """(doc_id, start, stop) of what goes, from (doc_id, text)."""
     docs = docs.where("doc_id is not null")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, size // SHARD_BYTES)
     both = materialize(sample(docs, shards), "entries")
-    within = both.where("shard is null").select("doc_id", "run")
-    settled = both.where("shard is not null").select("shard", "blob").groupBy("shard").applyInArrow(settle_contexts, "doc_id long, run long, gram long")
+    within = both.where("shard is null").select("doc_id", "start", "stop")
+    settled = both.where("shard is not null").select("shard", "blob").groupBy("shard").applyInArrow(settle_contexts, "doc_id long, start long, stop long, gram long")
     settled = materialize(settled, "contexts")
-    asked = settled.where("gram is not null").groupBy("doc_id").agg(F.collect_list(F.struct("run", F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int").alias("shard"))).alias("wanted"))
+    asked = settled.where("gram is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int").alias("shard"))).alias("wanted"))
     texts = only(docs, asked).join(asked, "doc_id").select("doc_id", "text", "wanted")
-    strings = strings_of(texts).groupBy("shard").applyInArrow(settle_strings, "doc_id long, run long")
-    return materialize(within.union(settled.where("gram is null").select("doc_id", "run")).union(strings), "repeats")
+    strings = strings_of(texts).groupBy("shard").applyInArrow(settle_strings, "doc_id long, start long, stop long")
+    return materialize(within.union(settled.where("gram is null").select("doc_id", "start", "stop")).union(strings), "repeats")
 
 
 def slot(name: str = "doc_id"):
@@ -272,15 +264,15 @@ def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with __runs, the array of packed removed runs (unmerged), or null."""
+    """The rows of ``docs`` with __runs, the array of removed runs (start, stop; unmerged), or null."""
     small_batches(docs.sparkSession)
     repeats = find_repeats(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    runs = repeats.groupBy("doc_id").agg(F.collect_list("run").alias("__runs"))
+    runs = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("__runs"))
     rows = docs.withColumn("__id", F.col(id_col).cast("long"))
     slots = materialize(repeats.select(slot().alias("__slot")).distinct(), "slots")
     rows = rows.withColumn("__slot", slot("__id"))
     touched = rows.join(F.broadcast(slots), "__slot", "left_semi").join(runs.withColumnRenamed("doc_id", "__id"), "__id", "left")
-    clean = rows.join(F.broadcast(slots), "__slot", "left_anti").withColumn("__runs", F.lit(None).cast("array<bigint>"))
+    clean = rows.join(F.broadcast(slots), "__slot", "left_anti").withColumn("__runs", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"))
     return touched.select(*docs.columns, "__runs").unionByName(clean.select(*docs.columns, "__runs"))
 
 
@@ -293,9 +285,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = (text or "").encode()
-                cut = union_of(runs, len(data)) if runs else np.zeros((0, 2), np.int64)
+                cut = union_of(runs, len(data)) if runs.is_valid else np.zeros((0, 2), np.int64)
                 edges = [0, *cut.ravel().tolist(), len(data)]
                 digest = hashlib.sha256()
                 for a, b in zip(edges[::2], edges[1::2], strict=True):
@@ -317,8 +309,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, runs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if runs:
+            for text, runs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
+                if runs.is_valid:
                     data = text.encode()
                     edges = [0, *union_of(runs, len(data)).ravel().tolist(), len(data)]
                     text = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore") or None

@@ -93,6 +93,17 @@ def test_suffix(spark, small):
     assert {x.doc_id for x in cut.where("text is null").collect()} == {500}
 
 
+def test_suffix_long_run(spark):
+    """One removed run may be longer than 2**20 bytes."""
+    text = random.Random(5).randbytes(750_000).hex()
+    rows = [(1, text), (2, text), (3, "q" * 1_500_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x.doc_id: (x.n_removed, [tuple(s) for s in x.spans], x.kept_sha256) for x in suffix.report(frame).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert found == {1: (0, [], sha(text)), 2: (1_500_000, [(0, 1_500_000)], sha("")), 3: (1_499_999, [(1, 1_500_000)], sha("q"))}
+    assert {x.doc_id: x.text for x in suffix.remove(frame).collect()} == {1: text, 3: "q"}
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents")
