@@ -8,7 +8,8 @@ strings with one minimiser, its context; entries are sorted by gram and context.
 Corpus-wide, entries are dealt into shards by gram. In a shard each new batch is sorted into a suffix array of its
 own, merge-scanned against the levels that exist, and joins them as a new level; levels of one size merge
 geometrically. A context that was seen before is removed whole. Contexts that share a gram but differ are settled
-string by string in a second family, over the strings' own hashes, from the texts of just those contexts.
+string by string in a second family, over the strings' own hashes, from the texts of just those contexts. A gram with
+very many contexts is not kept together: its contexts are dealt by their own hash, and then its strings by theirs.
 
 Equal contexts in one batch meet before the shuffle, so a passage that a third of all rows hold sends one entry a
 batch. Null text is empty; texts shorter than SPAN lose nothing. Rows without an id, or with an id that is not unique, are
@@ -35,6 +36,10 @@ SPAN, GRAM = 100, 32
 SHARD_BYTES = 12 << 20
 #: Slots of the filter that tells which texts to read again; its size is fixed.
 SLOTS = 1 << 18
+#: A gram with so many contexts is dealt by context and string; counted are chunks where it has OFTEN contexts at least.
+HOT, OFTEN = 4096, 8
+#: Entries of one group of such contexts or strings, and of one blob.
+GROUP_ENTRIES, BLOB_ENTRIES = 1 << 19, 60_000
 ENTRY = [("gram", np.uint32), ("context", np.uint64), ("row", np.uint16), ("start", np.uint32), ("length", np.uint8)]
 
 
@@ -129,9 +134,31 @@ def entries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row[first], first - offsets[row[first]], last - first + SPAN, grams[at[first]], context, at[first] - first
 
 
+PARTS = "shard int, blob binary, doc_id long, start long, stop long, gram long, n long"
+
+
+def part(**columns: np.ndarray | list) -> pa.RecordBatch:
+    """A batch of PARTS; columns that aren't given are null."""
+    kinds = {x.split()[0]: {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in PARTS.split(", ")}
+    size = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[n], k) if n in columns else pa.nulls(size, k) for n, k in kinds.items()], names=list(kinds))
+
+
+def dealt(shard: np.ndarray, doc: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """(shard, blob) of entries."""
+    order = np.argsort(shard, kind="stable")
+    shard, doc, columns = shard[order].astype(np.int32), doc[order], {n: x[order] for n, x in columns.items()}
+    heads = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]] | (np.arange(len(shard)) % BLOB_ENTRIES == 0))
+    blobs = []
+    for x, y in zip(heads, np.r_[heads[1:], len(shard)], strict=True):
+        used, row = np.unique(doc[x:y], return_inverse=True)
+        parts = [np.array([y - x, len(used)], np.int64).tobytes(), used.astype(np.int64).tobytes()]
+        blobs.append(b"".join(parts + [(row if n == "row" else columns[n][x:y]).astype(t).tobytes() for n, t in ENTRY]))
+    return part(shard=shard[heads], blob=blobs)
+
+
 def sample(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, blob): a chunk's entries for a shard; and (doc_id, start, stop) for what repeats within the chunk."""
-    names = ["shard", "blob", "doc_id", "start", "stop"]
+    """(shard, blob): a chunk's entries for a shard; (doc_id, start, stop) for what repeats within the chunk; and (gram, n) of grams with many contexts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,24 +171,14 @@ def sample(docs: DataFrame, shards: int) -> DataFrame:
                 order = np.lexsort((start, doc[row], context))
                 again = np.r_[False, context[order][1:] == context[order][:-1]]
                 lost, kept = order[again], order[~again]
-                runs = joined_runs(doc[row[lost]], start[lost], length[lost])
-                rows = [pa.nulls(len(runs[0]), pa.int32()), pa.nulls(len(runs[0]), pa.binary()), *map(pa.array, runs)]
-                yield pa.RecordBatch.from_arrays(rows, names=names)
-                shard = (gram[kept] >> U(32)) % U(shards)
-                order = np.argsort(shard, kind="stable")
-                kept, shard = kept[order], shard[order]
-                heads = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
-                blobs = []
-                for x, y in zip(heads, np.r_[heads[1:], len(kept)], strict=True):
-                    own = kept[x:y]
-                    used, inverse = np.unique(row[own], return_inverse=True)
-                    columns = {"gram": gram[own], "context": context[own], "row": inverse, "start": start[own], "length": length[own]}
-                    parts = [np.array([len(own), len(used)], np.int64).tobytes(), doc[used].astype(np.int64).tobytes()]
-                    blobs.append(b"".join(parts + [(columns[n] & U(0xFFFFFFFF) if n == "gram" else columns[n]).astype(t).tobytes() for n, t in ENTRY]))
-                none = pa.nulls(len(heads), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(shard[heads].astype(np.int32)), pa.array(blobs, pa.binary()), none, none, none], names=names)
-
-    return docs.mapInArrow(run, "shard int, blob binary, doc_id long, start long, stop long")
+                lost_doc, begin, stop = joined_runs(doc[row[lost]], start[lost], length[lost])
+                yield part(doc_id=lost_doc, start=begin, stop=stop)
+                shard, low = (gram[kept] >> U(32)) % U(shards), gram[kept] & U(0xFFFFFFFF)
+                yield dealt(shard, doc[row[kept]], gram=low, context=context[kept], start=start[kept], length=length[kept])
+                found, n = np.unique((shard << U(32)) | low, return_counts=True)
+                yield part(gram=found[n >= OFTEN].astype(np.int64), n=n[n >= OFTEN])
+
+    return docs.mapInArrow(run, PARTS)
 
 
 def opened(blob: bytes) -> dict[str, np.ndarray]:
@@ -187,14 +204,47 @@ def joined_runs(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple
     return doc[heads], start[heads], ends
 
 
-def settle_contexts(table: pa.Table) -> pa.Table:
-    """One shard: (doc_id, start, stop, gram) with gram null for runs to remove, else of contexts to settle string by string."""
+def hot_grams(parts: DataFrame) -> np.ndarray:
+    """shard << 32 | gram of the grams with very many contexts: at most one for each HOT entries, so few."""
+    counts = parts.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    return np.sort(np.array([r.gram for r in counts.select("gram").collect()], np.int64))
+
+
+def spread(parts: DataFrame, hot: np.ndarray, shards: int, groups: int) -> DataFrame:
+    """(shard, blob) with the entries of hot grams dealt by context to shards of their own, from ``shards`` on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = opened(blob.as_py())
+                del x["row"]
+                is_hot = np.isin((shard << 32) | x["gram"].astype(np.int64), hot)
+                if not is_hot.any():
+                    yield part(shard=[shard], blob=[blob.as_py()])
+                    continue
+                held.append({n: v[is_hot] for n, v in x.items()})
+                if not is_hot.all():
+                    yield dealt(np.full(int((~is_hot).sum()), shard), **{n: v[~is_hot] for n, v in x.items()})
+            if held:
+                x = {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+                yield dealt(U(shards) + x["context"] % U(groups), **x)
+
+    return parts.select("shard", "blob").mapInArrow(run, PARTS).select("shard", "blob")
+
+
+def settle_contexts(table: pa.Table, shards: int) -> pa.Table:
+    """One shard: (doc_id, start, stop, gram) with gram null for runs to remove, else of contexts to settle string by string; -1 for a hot gram."""
     family = Family()
     for blob in table.column("blob"):
         x = opened(blob.as_py())
         family.add(x["context"], x["doc"], x["start"].astype(np.int64), x["length"].astype(np.int64), x["gram"])
     doc, start, stop = joined_runs(*family.repeated())
-    d, s, n, gram = family.ambiguous()
+    if table.column("shard")[0].as_py() < shards:
+        d, s, n, gram = family.ambiguous()
+    else:
+        d, s, n = (np.concatenate([x[i] for x in family.levels]).astype(np.int64) for i in (1, 2, 3))
+        gram = np.full(len(d), -1)
     return pa.table({"doc_id": np.concatenate([doc, d]), "start": np.concatenate([start, s]), "stop": np.concatenate([stop, s + n]), "gram": pa.array([None] * len(doc) + gram.tolist(), pa.int64())})
 
 
@@ -216,18 +266,56 @@ def strings_of(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "shard int, doc_id long, start long, bytes binary")
 
 
+def hot_strings(rows: DataFrame, groups: int) -> DataFrame:
+    """(shard, blob) of the strings of the contexts asked for, dealt by string, from (doc_id, text, wanted); and (doc_id, start, stop) of those that repeat within a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, starts, cut = [], [], []
+            for doc, text, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                data = (text or "").encode()
+                for x in wanted:
+                    docs.append(doc)
+                    starts.append(x["start"])
+                    cut.append(data[x["start"] : x["stop"]])
+            for at in range(0, len(cut), 4096):
+                keys, doc, start = string_keys(cut[at : at + 4096], np.array(docs[at : at + 4096]), np.array(starts[at : at + 4096]))
+                order = np.lexsort((start, doc, keys))
+                again = np.r_[False, keys[order][1:] == keys[order][:-1]]
+                lost, kept = order[again], order[~again]
+                lost_doc, begin, stop = joined_runs(doc[lost], start[lost], np.full(len(lost), SPAN))
+                yield part(doc_id=lost_doc, start=begin, stop=stop)
+                same = np.full(len(kept), SPAN)
+                yield dealt(keys[kept] % U(groups), doc[kept], gram=np.zeros(len(kept)), context=keys[kept], start=start[kept], length=same)
+
+    return rows.mapInArrow(run, PARTS)
+
+
+def settle_hot(table: pa.Table) -> pa.Table:
+    """One group of hot grams' strings: (doc_id, start, stop) of those that start earlier elsewhere."""
+    family = Family()
+    for blob in table.column("blob"):
+        x = opened(blob.as_py())
+        family.add(x["context"], x["doc"], x["start"].astype(np.int64), x["length"].astype(np.int64), x["gram"])
+    return pa.table(dict(zip(("doc_id", "start", "stop"), joined_runs(*family.repeated()), strict=True)))
+
+
+def string_keys(cut: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, doc, start) of each string of the contexts."""
+    sizes = np.array([len(x) for x in cut], np.int64)
+    data = np.frombuffer(b"".join(cut), np.uint8)
+    inside = np.maximum(0, sizes - SPAN + 1)
+    shift = np.arange(int(inside.sum())) - np.repeat(np.cumsum(inside) - inside, inside)
+    at = shift + np.repeat(np.cumsum(sizes) - sizes, inside)
+    return textvec.span_hashes(textvec.prefix_sums(data), at, at + SPAN), np.repeat(docs, inside), np.repeat(starts, inside) + shift
+
+
 def settle_strings(table: pa.Table) -> pa.Table:
     """One shard's contexts: (doc_id, start, stop) of the strings that start earlier elsewhere."""
     family = Family()
     for batch in table.to_batches(4096):
-        sizes = np.array([len(x.as_buffer()) for x in batch.column("bytes")], np.int64)
-        data = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8)
-        inside = np.maximum(0, sizes - SPAN + 1)
-        shift = np.arange(int(inside.sum())) - np.repeat(np.cumsum(inside) - inside, inside)
-        at = shift + np.repeat(np.cumsum(sizes) - sizes, inside)
-        keys = textvec.span_hashes(textvec.prefix_sums(data), at, at + SPAN)
-        doc, start = (np.repeat(batch.column(c).to_numpy(), inside) for c in ("doc_id", "start"))
-        family.add(keys, doc, start + shift, np.full(len(at), SPAN, np.int64), np.zeros(len(at), np.int64))
+        keys, doc, start = string_keys(batch.column("bytes").to_pylist(), *(batch.column(c).to_numpy() for c in ("doc_id", "start")))
+        family.add(keys, doc, start, np.full(len(keys), SPAN, np.int64), np.zeros(len(keys), np.int64))
     return pa.table(dict(zip(("doc_id", "start", "stop"), joined_runs(*family.repeated()), strict=True)))
 
 
@@ -244,13 +332,27 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, size // SHARD_BYTES)
     both = materialize(sample(docs, shards), "entries")
-    within = both.where("shard is null").select("doc_id", "start", "stop")
-    settled = both.where("shard is not null").select("shard", "blob").groupBy("shard").applyInArrow(settle_contexts, "doc_id long, start long, stop long, gram long")
+    found = both.where("doc_id is not null").select("doc_id", "start", "stop")
+    dealt_out, hot = both.where("shard is not null").select("shard", "blob"), hot_grams(both)
+    if len(hot):
+        entries_of = both.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in hot], "gram long")), "gram").agg(F.sum("n")).first()[0]
+        dealt_out = spread(dealt_out, hot, shards, 1 + entries_of // GROUP_ENTRIES)
+    settled = dealt_out.groupBy("shard").applyInArrow(lambda table: settle_contexts(table, shards), "doc_id long, start long, stop long, gram long")
     settled = materialize(settled, "contexts")
-    asked = settled.where("gram is not null").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop", F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int").alias("shard"))).alias("wanted"))
-    texts = only(docs, asked).join(asked, "doc_id").select("doc_id", "text", "wanted")
-    strings = strings_of(texts).groupBy("shard").applyInArrow(settle_strings, "doc_id long, start long, stop long")
-    return materialize(within.union(settled.where("gram is null").select("doc_id", "start", "stop")).union(strings), "repeats")
+    found = found.union(settled.where("gram is null").select("doc_id", "start", "stop"))
+    wanted = F.collect_list(F.struct("start", "stop", F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int").alias("shard"))).alias("wanted")
+
+    def texts(which: str) -> DataFrame:
+        asked = settled.where(which).groupBy("doc_id").agg(wanted)
+        return only(docs, asked).join(asked, "doc_id").select("doc_id", "text", "wanted")
+
+    found = found.union(strings_of(texts("gram >= 0")).groupBy("shard").applyInArrow(settle_strings, "doc_id long, start long, stop long"))
+    if len(hot):
+        strings = settled.where("gram < 0").agg(F.coalesce(F.sum(F.col("stop") - F.col("start") - (SPAN - 1)), F.lit(0))).first()[0]
+        parts = materialize(hot_strings(texts("gram < 0"), 1 + strings // GROUP_ENTRIES), "strings")
+        found = found.union(parts.where("doc_id is not null").select("doc_id", "start", "stop"))
+        found = found.union(parts.where("shard is not null").select("shard", "blob").groupBy("shard").applyInArrow(settle_hot, "doc_id long, start long, stop long"))
+    return materialize(found, "repeats")
 
 
 def slot(name: str = "doc_id"):

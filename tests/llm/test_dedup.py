@@ -6,10 +6,11 @@ import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from argusframe.llm import ngram, queries, suffix
+from argusframe.llm import ngram, queries, suffix, textvec
 from argusframe.llm.common import table
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -104,6 +105,34 @@ def test_suffix_long_run(spark):
     assert {x.doc_id: x.text for x in suffix.remove(frame).collect()} == {1: text, 3: "q"}
 
 
+def test_suffix_hot_gram(spark):
+    """Contexts and strings of a gram that all rows hold in different surroundings go to many groups, with the same results."""
+    r = random.Random(6)
+    letters = lambda n: "".join(r.choices("abcdefghijklmnop", k=n))
+    gram_of = lambda s: int(textvec.mix(textvec.prefix_sums(np.frombuffer(s.encode(), np.uint8))[-1:])[0])
+    phrase = min((letters(32) for _ in range(3000)), key=gram_of)
+    sides = [(letters(60), letters(60)) for _ in range(5000)]
+    rows = [(i, a + phrase + b) for i, (a, b) in enumerate(sides)] + [(6000 + i, letters(40) + sides[i][0][-45:] + phrase + sides[i][1][:50] + "!") for i in range(0, 400, 3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    parts = suffix.sample(frame, 8).cache()
+    hot = suffix.hot_grams(parts)
+    assert len(hot) == 1
+
+    def sizes(blobs):
+        out = defaultdict(int)
+        for x in blobs.collect():
+            out[x.shard] += len(suffix.opened(x.blob)["context"])
+        return out
+
+    before = sizes(parts.where("shard is not null"))
+    after = sizes(suffix.spread(parts.where("shard is not null"), hot, 8, 4))
+    assert sum(after.values()) == sum(before.values()) and max(before.values()) > 5000
+    assert {x for x in after if x >= 8} == {8, 9, 10, 11} and max(after[x] for x in range(8, 12)) < 2000
+    want = removed(rows)
+    assert sum(x[1] > 0 for x in want.values()) > 100
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.report(frame).collect()} == want
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents")
