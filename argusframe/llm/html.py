@@ -3,7 +3,9 @@
 Pass 1 parses each page, scores its containers by the prose directly in them, and emits the best ones as generalised
 tag-class paths (digits become N). Spark sums the votes of a host's pages per path. Pass 2 extracts each page again
 from the elements at its host's winning path; a page without that path, or where it holds next to nothing of the
-page's prose, uses its own best container.
+page's prose, uses its own best container. An article that lies in several containers is taken whole: from the elements
+found, the nearest <article> around them, or a container below the body that holds several of them or a real share of other
+prose, takes their place.
 
 Inside the chosen container menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments go. A block's white space turns into single spaces; blocks are joined in page order by newlines.
@@ -31,6 +33,8 @@ BROADCAST_HOSTS, BROADCAST_BYTES = 20_000, 8 << 20
 SALTS = 32
 #: A page's own best container is used if the winner holds less than this share of its score.
 LEAST_SHARE = 0.1
+#: A container takes the place of the elements found in it if its other prose, without links, is at least this share of theirs.
+OTHER_SHARE = 0.1
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|aria-hidden|hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -229,8 +233,27 @@ def candidates(page: str) -> list[tuple[str, float]]:
     return sorted(shares.items(), key=lambda x: (-x[1], x[0]))[:CANDIDATES]
 
 
+def whole(root: Node, chosen: list[Node]) -> set[int]:
+    """Ids of the elements to extract: the chosen ones and the containers that hold the rest of their article. Needs score()."""
+    wanted = set(map(id, chosen))
+    prose: dict[int, int] = {}
+    held: dict[int, tuple[int, int, bool]] = {}  # prose and number of wanted elements within, and whether they are in an article
+    for x in reversed(list(walk(root))):
+        inner = [k for k in x.items if not isinstance(k, str) and not k.dropped]
+        size = prose[id(x)] = x.length - x.linked + sum(prose[id(k)] for k in inner)
+        parts = [held[id(k)] for k in inner if id(k) in held]
+        taken, n, closed = sum(p[0] for p in parts), sum(p[1] for p in parts), any(p[2] for p in parts)
+        if n and not closed and x.tag in CONTAINERS and x.tag != "body" and size > taken and (x.tag == "article" or n > 1 or size - taken >= OTHER_SHARE * taken):
+            wanted.add(id(x))
+        if id(x) in wanted:
+            taken, n = size, 1
+        if n:
+            held[id(x)] = taken, n, closed or x.tag == "article"
+    return wanted
+
+
 def extract(page: str, path: str | None) -> str:
-    """The text of the elements at ``path``, or of the page's own best container."""
+    """The text of the article around the elements at ``path``, or around the page's own best container."""
     root = parse(page)
     found = score(root)
     if not found:
@@ -238,7 +261,7 @@ def extract(page: str, path: str | None) -> str:
     chosen = [x for x in found if path and x.label == path.rsplit("/", 1)[-1] and x.path() == path]
     if sum(x.score for x in chosen) < LEAST_SHARE * found[0].score:
         chosen = found[:1]
-    wanted = set(map(id, chosen))
+    wanted = whole(root, chosen)
     out: list[str] = []
     for x in walk(root):  # page order, outermost first
         if id(x) in wanted:

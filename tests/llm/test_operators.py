@@ -219,6 +219,20 @@ def test_html_page():
     assert html.extract("", None) == "" == html.extract("<nav>menu</nav>", None)
 
 
+def test_html_split_article():
+    lead, text, more = "lead " * 60, "body " * 400, "more " * 300
+    squeezed = lambda *x: "\n".join(y.strip() for y in x)
+    split = f'<body><div class="top"><p>site text</p></div>%s<div class="lead"><p>{lead}</p></div><div class="body"><p>{text}</p></div>%s</body>'
+    for a, b, best in (("<article>", "</article>", "body/article/div.body"), ('<div class="post">', "</div>", "body/div.post/div.body")):
+        assert html.extract(split % (a, b), best) == html.extract(split % (a, b), None) == squeezed(lead, text)
+    block = '<div class="block"><p>%s</p></div>'
+    for a, b, best in (("<article>", "</article>", "body/article/div.block"), ("<section>", "</section>", "body/section/div.block")):
+        page = f"<body>{a}{block % text}<h2>Heading</h2>{block % more}Loose words{block % lead}{b}<div><p>{lead}</p></div></body>"
+        assert html.extract(page, best) == squeezed(text, "Heading", more, "Loose words", lead)
+    links = f'<body><div class="wrap"><div class="body"><p>{text}</p></div><div class="x"><p><a href="/">{lead}</a></p></div></div></body>'
+    assert html.extract(links, "body/div.wrap/div.body") == text.strip()
+
+
 def test_html_votes(spark):
     good = '<body><div class="a1"><p>%s</p></div><div class="b"><p>%s</p></div></body>'
     rows = [(i, "http://h.x/1", good % ("prose " * (40 if i < 5 else 8), "other " * (3 if i < 5 else 9))) for i in range(6)]
