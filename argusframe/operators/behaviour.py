@@ -1,7 +1,10 @@
-"""Stateful per-key operators in batch: windows where SQL can say it, applyInPandas where state feeds back into itself."""
+"""Stateful per-key operators in batch: windows where SQL can say it, a walk over sorted partitions where state feeds back into itself."""
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,52 +65,79 @@ def z_score(x: Column, mean: Column, sd: Column) -> Column:
     return F.when(sd == 0, F.when(x == mean, F.lit(0.0)).otherwise(F.lit(float("inf")))).otherwise((x - mean) / sd)
 
 
-def admit(rows: pd.DataFrame, key: list[str], dedup_s: float = DEDUP_S, rate: int = RATE, rate_s: float = RATE_S) -> list[bool]:
+def same(a: tuple, b: tuple | None) -> bool:
+    """Equal keys; nulls are equal."""
+    return b is not None and all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b, strict=True))
+
+
+class Limiter:
     """Dedup and rate limit of one rule's alerts in time order: a key is quiet until dedup_s after its last admitted alert; at most
-    ``rate`` are admitted in rate_s; only what both admit counts for either."""
-    last: dict[tuple, float] = {}
-    log: list[float] = []
-    out = []
-    for at, k in zip(rows["__s"], zip(*[rows[c] for c in key], strict=True), strict=True):
-        log = [x for x in log if x >= at - rate_s]
-        ok = not (k in last and last[k] > at - dedup_s) and len(log) < rate
+    ``rate`` are admitted in rate_s; only what both admit counts for either. Holds only what can still matter."""
+
+    def __init__(self, dedup_s: float, rate: int, rate_s: float):
+        self.dedup_s, self.rate, self.rate_s = dedup_s, rate, rate_s
+        self.last: dict[tuple, float] = {}  # in order of time
+        self.log: deque[float] = deque()
+
+    def admit(self, at: float, key: tuple) -> bool:
+        while self.log and not self.log[0] >= at - self.rate_s:
+            self.log.popleft()
+        while self.last and self.last[oldest := next(iter(self.last))] <= at - self.dedup_s:
+            del self.last[oldest]
+        ok = not (key in self.last and self.last[key] > at - self.dedup_s) and len(self.log) < self.rate
         if ok:
-            last[k] = at
-            log.append(at)
-        out.append(ok)
-    return out
+            self.last.pop(key, None)
+            self.last[key] = at
+            self.log.append(at)
+        return ok
+
+
+def in_order(rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """Each key's rows in one partition in time order, sorted by Spark (which spills), so that a task can walk them in batches."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, F.col("__s").asc_nulls_last(), tie)
 
 
 def limited(alerts: DataFrame, rule: str, key: list[str], dedup_s: float = DEDUP_S, rate: int = RATE, rate_s: float = RATE_S, tie: str = "event_id") -> DataFrame:
-    """Alerts that the coupled dedup and rate limit admit. One group is a rule: its limit is sequential by definition."""
+    """Alerts that the coupled dedup and rate limit admit. One rule is walked by one task, as its limit is sequential by definition."""
     rows = alerts.withColumn("__s", F.unix_micros("ts") / 1e6)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__s", tie], kind="stable")
-        return pdf[admit(pdf, key, dedup_s, rate, rate_s)].drop(columns="__s")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, limiter = None, None
+        for pdf in batches:
+            out = []
+            for r, at, k in zip(pdf[rule], pdf["__s"], zip(*[pdf[c] for c in key], strict=True), strict=True):
+                if not same((r,), current):
+                    current, limiter = (r,), Limiter(dedup_s, rate, rate_s)
+                out.append(limiter.admit(at, k))
+            yield pdf[out].drop(columns="__s")
 
-    return rows.groupBy(rule).applyInPandas(run, alerts.schema)
+    return in_order(rows, [rule], tie).mapInPandas(run, alerts.schema)
 
 
 def aggregated(alerts: DataFrame, keys: list[str], window_s: float = 60.0, tie: str = "event_id") -> DataFrame:
     """Alerts of a key folded into windows from their first one on; an alert exactly at the end still folds."""
     rows = alerts.withColumn("__s", F.unix_micros("ts") / 1e6).select(*keys, "__s", "ts", tie)
-    schema = ", ".join(f"`{c}` {dict(alerts.dtypes)[c]}" for c in keys) + ", first_seen timestamp, last_seen timestamp, n long"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__s", tie], kind="stable")
-        start, number, numbers = None, -1, []
-        for at in pdf["__s"]:
-            if start is None or at > start + window_s:
-                start, number = at, number + 1
-            numbers.append(number)
-        pdf["__w"] = numbers
-        out = pdf.groupby("__w").agg(first_seen=("ts", "min"), last_seen=("ts", "max"), n=("ts", "size")).reset_index(drop=True)
-        for c in keys:
-            out[c] = pdf[c].iloc[0]
-        return out[[*keys, "first_seen", "last_seen", "n"]]
-
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    kinds = dict(alerts.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", first_seen timestamp, last_seen timestamp, n long"
+    names = [*keys, "first_seen", "last_seen", "n"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, start, window = None, None, None  # one open window, carried from batch to batch
+        for pdf in batches:
+            out = []
+            for k, at, ts in zip(zip(*[pdf[c] for c in keys], strict=True), pdf["__s"], pdf["ts"], strict=True):
+                if not same(k, current) or at > start + window_s:
+                    if window:
+                        out.append((*current, *window))
+                    current, start, window = k, at, [ts, ts, 0]
+                window[1] = window[1] if pd.isna(ts) else ts
+                window[2] += 1
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if window:
+            yield pd.DataFrame([(*current, *window)], columns=names)
+
+    return in_order(rows, keys, tie).mapInPandas(run, schema)
 
 
 def learned_profile(events: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -42,6 +42,25 @@ def test_aggregation_and_incident_boundaries(spark):
     assert sorted((r.k, r.n) for r in bh.incidents(rows, ["k"]).collect()) == [("a", 1), ("a", 3), ("b", 1)]
 
 
+def test_limiter_and_aggregation_walk_in_batches(spark):
+    """State is carried over batches much smaller than a key's rows, no group is held whole, and the limiter forgets what no longer matters."""
+    r = random.Random(3)
+    rows = frame(spark, sorted((r.choice(range(0, 900)), r.choice("xy"), r.choice("abcd")) for _ in range(700)))
+    results = []
+    for size in ("7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found, folded = bh.limited(rows, "rule_id", ["k"]), bh.aggregated(rows, ["rule_id", "k"])
+        results.append((sorted(x.event_id for x in found.collect()), sorted(tuple(x) for x in folded.collect())))
+        plans = [x._jdf.queryExecution().toString() for x in (found, folded)]
+        assert all("FlatMapGroupsInPandas" not in p and "MapInPandas" in p for p in plans)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert results[0] == results[1] and sum(x[-1] for x in results[0][1]) == 700
+    limiter = bh.Limiter(5.0, 10, 60.0)
+    for i in range(5000):
+        limiter.admit(i * 7.0, (i,))
+    assert len(limiter.last) == 1 and len(limiter.log) <= 10
+
+
 def test_stream_equals_batch(spark, tmp_path):
     r = random.Random(2)
     rows = frame(spark, sorted((r.choice(range(0, 200)), r.choice("xy"), r.choice("ab")) for _ in range(150)))
