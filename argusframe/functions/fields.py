@@ -99,6 +99,22 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ok, F.aggregate(parts, F.lit(0).cast("long"), lambda acc, x: acc * 256 + x))
 
 
+def ipv6_hex(ip: Column) -> Column:
+    """An IPv6 address as 32 hex digits in lower case; null if it isn't one. The last 32 bits may be written as IPv4."""
+    tail = ipv4_number(F.regexp_extract(ip, r":([0-9.]+)\z", 1))
+    low = F.lpad(F.lower(F.hex(tail)), 8, "0")
+    text = F.when(tail.isNotNull(), F.concat(F.regexp_extract(ip, r"^(.*:)[0-9.]+\z", 1), F.left(low, F.lit(4)), F.lit(":"), F.right(low, F.lit(4)))).otherwise(ip)
+    text = F.when(F.contains(ip, F.lit(".")) & tail.isNull(), F.lit(None)).otherwise(F.lower(text))
+    halves = F.split(text, "::")
+    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+    left, right = groups(F.get(halves, F.lit(0))), F.coalesce(groups(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
+    right = F.when(F.size(halves) == 1, F.array().cast("array<string>")).otherwise(right)
+    given = F.concat(left, right)
+    ok = F.forall(given, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z")) & (((F.size(halves) == 1) & (F.size(given) == 8)) | ((F.size(halves) == 2) & (F.size(given) <= 7)))
+    joined = lambda part: F.array_join(F.transform(part, lambda g: F.lpad(g, 4, "0")), "")
+    return F.when(ok, F.concat(joined(left), F.repeat(F.lit("0000"), 8 - F.size(given)), joined(right)))
+
+
 def cidr_bounds(cidr: str) -> tuple[int, int]:
     """First and last address of an IPv4 network, as numbers."""
     import ipaddress

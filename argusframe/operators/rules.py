@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import cidr_bounds, ipv4_number
+from ..functions.fields import cidr_bounds, ipv4_number, ipv6_hex
 
 #: Linux capability names in bit order from 0 (fixed values).
 CAPABILITIES = """chown dac_override dac_read_search fowner fsetid kill setgid setuid setpcap linux_immutable net_bind_service net_broadcast
@@ -70,8 +70,10 @@ def number_test(name: str) -> Callable[[Column, tuple], Column]:
 
 
 def in_cidr(c: Column, values: tuple) -> Column:
-    n = ipv4_number(c)
-    return any_of([n.between(*cidr_bounds(v)) for v in values])
+    """IPv4 networks hold IPv4 addresses, IPv6 networks IPv6 addresses; false for what isn't an address."""
+    n, h = ipv4_number(c), ipv6_hex(c)
+    inside = lambda low, high, v: F.coalesce(h.between(f"{low:032x}", f"{high:032x}") if ":" in v else n.between(low, high), F.lit(False))
+    return any_of([inside(*cidr_bounds(v), v) for v in values])
 
 
 OPERATORS: dict[str, Callable[[Column, tuple], Column]] = {

@@ -2,7 +2,7 @@
 
 import pytest
 
-from argusframe.operators.rules import CAPABILITIES, Condition, Group, Rule, canary_rules, evaluate, overlay, problems
+from argusframe.operators.rules import CAPABILITIES, OPERATORS, Condition, Group, Rule, canary_rules, evaluate, overlay, problems
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,14 @@ def test_every_operator(files):
     assert {i: found.get(i, set()) for i in range(len(CASES))} == {i: want for i, (_, want) in enumerate(CASES)}
 
 
+def test_in_cidr_ipv6(spark):
+    rows = [(i, x) for i, x in enumerate(["2001:DB8::1", "2001:db8:0:0:0:0:0:2", "2001:db9::1", "::1", "::", "fe80::1%e", "1::2::3", "1:2:3", "::ffff:10.1.2.3", "10.1.2.3", "2001:db8::1.2.3.4", ":::", "2001:db8::1.2.3.999", None])]
+    ips = spark.createDataFrame(rows, "i int, ip string")
+    found = lambda *nets: {r.i for r in ips.where(OPERATORS["in_cidr"](F.col("ip"), nets)).collect()}
+    assert found("2001:db8::/32") == {0, 1, 10} and found("::1/128") == {3} and found("::/0") == {0, 1, 2, 3, 4, 8, 10}
+    assert found("10.0.0.0/8", "2001:db9::/32") == {2, 9}
+
+
 def test_exceptions_drop_and_overlay(files):
     base = [Rule("a", "file", Group("and")), Rule("b", "file", Group("and"), action="drop")]
     tuned, unknown = overlay(base, {"a": [Condition("daddr", "equals", ("8.8.8.8",))], "z": []})
