@@ -99,7 +99,7 @@ def in_order(rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
 
 def limited(alerts: DataFrame, rule: str, key: list[str], dedup_s: float = DEDUP_S, rate: int = RATE, rate_s: float = RATE_S, tie: str = "event_id") -> DataFrame:
     """Alerts that the coupled dedup and rate limit admit. One rule is walked by one task, as its limit is sequential by definition."""
-    rows = alerts.withColumn("__s", F.unix_micros("ts") / 1e6)
+    rows = alerts.withColumn("__s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, limiter = None, None
@@ -116,7 +116,7 @@ def limited(alerts: DataFrame, rule: str, key: list[str], dedup_s: float = DEDUP
 
 def aggregated(alerts: DataFrame, keys: list[str], window_s: float = 60.0, tie: str = "event_id") -> DataFrame:
     """Alerts of a key folded into windows from their first one on; an alert exactly at the end still folds."""
-    rows = alerts.withColumn("__s", F.unix_micros("ts") / 1e6).select(*keys, "__s", "ts", tie)
+    rows = alerts.withColumn("__s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).select(*keys, "__s", "ts", tie)
     kinds = dict(alerts.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", first_seen timestamp, last_seen timestamp, n long"
     names = [*keys, "first_seen", "last_seen", "n"]

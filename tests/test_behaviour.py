@@ -55,6 +55,8 @@ def test_limiter_and_aggregation_walk_in_batches(spark):
         assert all("FlatMapGroupsInPandas" not in p and "MapInPandas" in p for p in plans)
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert results[0] == results[1] and sum(x[-1] for x in results[0][1]) == 700
+    local = rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert sorted(x.event_id for x in bh.limited(local, "rule_id", ["k"]).collect()) == results[0][0] and bh.aggregated(local, ["rule_id", "k"]).count() == len(results[0][1])
     limiter = bh.Limiter(5.0, 10, 60.0)
     for i in range(5000):
         limiter.admit(i * 7.0, (i,))
