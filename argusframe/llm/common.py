@@ -58,6 +58,23 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+#: Bits of the filter of ``maybe_in``, at most (16 MB), and for each id.
+MOST_BITS, BITS_PER_ID = 1 << 27, 16
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` with __maybe: false where ``key`` surely isn't among the doc_id of ``ids`` (a written table), so that the others need no
+    shuffle. The filter is a bitmap of hashed ids, sized by their number and broadcast; it tells less above MOST_BITS / 2 ids."""
+    slots = min(MOST_BITS, max(1 << 15, 1 << (BITS_PER_ID * ids.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(slots)) + 1
+    own = ids.where("doc_id is not null").select(slot("doc_id").alias("s"))
+    maps = own.groupBy(F.bitmap_bucket_number("s").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__bits"))
+    rows = rows.withColumns({"__bucket": F.bitmap_bucket_number(slot(key)), "__at": F.bitmap_bit_position(slot(key))}).join(F.broadcast(maps), "__bucket", "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.expr("int(__at div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("int(pow(2, __at % 8))")
+    return rows.withColumn("__maybe", F.coalesce(byte.bitwiseAND(bit) != 0, F.lit(False))).drop("__bucket", "__bits", "__at")
+
+
 def id_bounds(df: DataFrame, key: str, buckets: int) -> list:
     """At most ``buckets`` - 1 ascending cut points that deal the rows of ``df`` evenly by ``key`` (a bounded list)."""
     cuts = df.agg(F.percentile_approx(key, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(20 * buckets)).alias("c")).first()["c"]

@@ -12,8 +12,10 @@ string by string in a second family, over the strings' own hashes, from the text
 very many contexts is not kept together: its contexts are dealt by their own hash, and then its strings by theirs.
 
 Equal contexts in one batch meet before the shuffle, so a passage that a third of all rows hold sends one entry a
-batch. Null text is empty; texts shorter than SPAN lose nothing. Rows without an id, or with an id that is not unique, are
-judged thus: the former lose nothing, the latter are one document. Other columns pass through.
+batch. Null text is empty; texts shorter than SPAN lose nothing. Rows without an id lose nothing. Rows that share an id are one
+document: what stands at one place of them isn't its own repeat, and what goes goes from each of them. Other columns pass through.
+
+The family lives for one run over one table: no level is kept afterwards, so a later batch is judged by a run over both.
 """
 
 from __future__ import annotations
@@ -27,15 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import materialize, small_batches
+from .common import materialize, maybe_in, partitions, small_batches
 
 U = np.uint64
 #: Bytes of a string, and of the grams that minimisers are chosen by.
 SPAN, GRAM = 100, 32
-#: Bytes of text for each shard.
-SHARD_BYTES = 12 << 20
-#: Slots of the filter that tells which texts to read again; its size is fixed.
-SLOTS = 1 << 18
+#: Bytes of text for each shard, at most, and at least where there are fewer shards than shuffle partitions.
+SHARD_BYTES, LEAST_SHARD_BYTES = 12 << 20, 1 << 20
 #: A gram with so many contexts is dealt by context and string; counted are chunks where it has OFTEN contexts at least.
 HOT, OFTEN = 4096, 8
 #: Entries of one group of such contexts or strings, and of one blob.
@@ -43,6 +43,15 @@ GROUP_ENTRIES, BLOB_ENTRIES = 1 << 19, 60_000
 ENTRY = [("gram", np.uint32), ("context", np.uint64), ("row", np.uint16), ("start", np.uint32), ("length", np.uint8)]
 
 
+def repeats_in(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of entries sorted by key and place: which are the first of their key, and which repeat it at another place."""
+    if not len(key):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    first = np.r_[True, key[1:] != key[:-1]]
+    head = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    return first, (doc != doc[head]) | (start != start[head])
+
+
 class Family:
     """Sorted levels of (key, doc, start, length, gram), each key once with its earliest place."""
 
@@ -56,8 +65,8 @@ class Family:
         new = [x[order] for x in (key, doc, start, length, gram)]
         if not len(order):
             return
-        first = np.r_[True, new[0][1:] != new[0][:-1]]
-        self.note(new, ~first)
+        first, again = repeats_in(*new[:3])
+        self.note(new, again)
         new = [x[first] for x in new]
         for level in self.levels:
             at = np.minimum(np.searchsorted(level[0], new[0]), len(level[0]) - 1)
@@ -134,7 +143,7 @@ def entries(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row[first], first - offsets[row[first]], last - first + SPAN, grams[at[first]], context, at[first] - first
 
 
-PARTS = "shard int, blob binary, doc_id long, start long, stop long, gram long, n long"
+PARTS = "shard int, blob binary, doc_id long, runs binary, gram long, n long"
 
 
 def part(**columns: np.ndarray | list) -> pa.RecordBatch:
@@ -157,8 +166,19 @@ def dealt(shard: np.ndarray, doc: np.ndarray, **columns: np.ndarray) -> pa.Recor
     return part(shard=shard[heads], blob=blobs)
 
 
+def packed(doc: np.ndarray, *columns: np.ndarray) -> dict[str, list]:
+    """doc_id and runs: each document's rows of the columns as int64, for rows sorted by document."""
+    heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
+    rows = np.stack(columns, axis=1).astype(np.int64)
+    return {"doc_id": doc[heads], "runs": [x.tobytes() for x in np.split(rows, heads[1:])] if len(doc) else []}
+
+
+def unpacked(runs: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(runs), np.int64).reshape(-1, width)
+
+
 def sample(docs: DataFrame, shards: int) -> DataFrame:
-    """(shard, blob): a chunk's entries for a shard; (doc_id, start, stop) for what repeats within the chunk; and (gram, n) of grams with many contexts there."""
+    """(shard, blob): a chunk's entries for a shard; (doc_id, runs): what of a document repeats within the chunk; and (gram, n) of grams with many contexts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,10 +189,9 @@ def sample(docs: DataFrame, shards: int) -> DataFrame:
                     continue
                 doc = ids[a:b]
                 order = np.lexsort((start, doc[row], context))
-                again = np.r_[False, context[order][1:] == context[order][:-1]]
-                lost, kept = order[again], order[~again]
-                lost_doc, begin, stop = joined_runs(doc[row[lost]], start[lost], length[lost])
-                yield part(doc_id=lost_doc, start=begin, stop=stop)
+                first, again = repeats_in(context[order], doc[row[order]], start[order])
+                lost, kept = order[again], order[first]
+                yield part(**packed(*joined_runs(doc[row[lost]], start[lost], length[lost])))
                 shard, low = (gram[kept] >> U(32)) % U(shards), gram[kept] & U(0xFFFFFFFF)
                 yield dealt(shard, doc[row[kept]], gram=low, context=context[kept], start=start[kept], length=length[kept])
                 found, n = np.unique((shard << U(32)) | low, return_counts=True)
@@ -233,19 +252,33 @@ def spread(parts: DataFrame, hot: np.ndarray, shards: int, groups: int) -> DataF
     return parts.select("shard", "blob").mapInArrow(run, PARTS).select("shard", "blob")
 
 
+SETTLED = "doc_id long, kind int, runs binary"
+#: Kinds: runs that go; contexts to settle string by string, with the shard for that; contexts of hot grams.
+GONE, UNSURE, HOT_ONES = 0, 1, 2
+
+
+def settled_table(kind: int, doc: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    found = packed(doc, *columns)
+    return pa.table({"doc_id": pa.array(found["doc_id"], pa.int64()), "kind": pa.array([kind] * len(found["runs"]), pa.int32()), "runs": pa.array(found["runs"], pa.binary())})
+
+
 def settle_contexts(table: pa.Table, shards: int) -> pa.Table:
-    """One shard: (doc_id, start, stop, gram) with gram null for runs to remove, else of contexts to settle string by string; -1 for a hot gram."""
+    """One shard: of each document the runs that go (start, stop), and the contexts that are still to be settled (start, stop, shard)."""
     family = Family()
     for blob in table.column("blob"):
         x = opened(blob.as_py())
         family.add(x["context"], x["doc"], x["start"].astype(np.int64), x["length"].astype(np.int64), x["gram"])
-    doc, start, stop = joined_runs(*family.repeated())
+    out = [settled_table(GONE, *joined_runs(*family.repeated()))]
     if table.column("shard")[0].as_py() < shards:
-        d, s, n, gram = family.ambiguous()
+        doc, start, length, gram = family.ambiguous()
+        order = np.argsort(doc, kind="stable")
+        shard = (textvec.mix(gram.astype(U)) % U(shards)).astype(np.int64)
+        out.append(settled_table(UNSURE, *(x[order] for x in (doc, start, start + length, shard))))
     else:
-        d, s, n = (np.concatenate([x[i] for x in family.levels]).astype(np.int64) for i in (1, 2, 3))
-        gram = np.full(len(d), -1)
-    return pa.table({"doc_id": np.concatenate([doc, d]), "start": np.concatenate([start, s]), "stop": np.concatenate([stop, s + n]), "gram": pa.array([None] * len(doc) + gram.tolist(), pa.int64())})
+        doc, start, length = (np.concatenate([x[i] for x in family.levels]).astype(np.int64) for i in (1, 2, 3))
+        order = np.argsort(doc, kind="stable")
+        out.append(settled_table(HOT_ONES, *(x[order] for x in (doc, start, start + length))))
+    return pa.concat_tables(out)
 
 
 def strings_of(rows: DataFrame) -> DataFrame:
@@ -256,35 +289,34 @@ def strings_of(rows: DataFrame) -> DataFrame:
             shards, docs, starts, cut = [], [], [], []
             for doc, text, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 data = (text or "").encode()
-                for x in wanted:
-                    shards.append(x["shard"])
+                for start, stop, shard in unpacked(wanted, 3).tolist():
+                    shards.append(shard)
                     docs.append(doc)
-                    starts.append(x["start"])
-                    cut.append(data[x["start"] : x["stop"]])
+                    starts.append(start)
+                    cut.append(data[start:stop])
             yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(cut, pa.binary())], names=["shard", "doc_id", "start", "bytes"])
 
     return rows.mapInArrow(run, "shard int, doc_id long, start long, bytes binary")
 
 
 def hot_strings(rows: DataFrame, groups: int) -> DataFrame:
-    """(shard, blob) of the strings of the contexts asked for, dealt by string, from (doc_id, text, wanted); and (doc_id, start, stop) of those that repeat within a chunk."""
+    """(shard, blob) of the strings of the contexts asked for, dealt by string, from (doc_id, text, wanted); and (doc_id, runs) of those that repeat within a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, starts, cut = [], [], []
             for doc, text, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 data = (text or "").encode()
-                for x in wanted:
+                for start, stop in unpacked(wanted, 2).tolist():
                     docs.append(doc)
-                    starts.append(x["start"])
-                    cut.append(data[x["start"] : x["stop"]])
+                    starts.append(start)
+                    cut.append(data[start:stop])
             for at in range(0, len(cut), 4096):
                 keys, doc, start = string_keys(cut[at : at + 4096], np.array(docs[at : at + 4096]), np.array(starts[at : at + 4096]))
                 order = np.lexsort((start, doc, keys))
-                again = np.r_[False, keys[order][1:] == keys[order][:-1]]
-                lost, kept = order[again], order[~again]
-                lost_doc, begin, stop = joined_runs(doc[lost], start[lost], np.full(len(lost), SPAN))
-                yield part(doc_id=lost_doc, start=begin, stop=stop)
+                first, again = repeats_in(keys[order], doc[order], start[order])
+                lost, kept = order[again], order[first]
+                yield part(**packed(*joined_runs(doc[lost], start[lost], np.full(len(lost), SPAN))))
                 same = np.full(len(kept), SPAN)
                 yield dealt(keys[kept] % U(groups), doc[kept], gram=np.zeros(len(kept)), context=keys[kept], start=start[kept], length=same)
 
@@ -292,12 +324,12 @@ def hot_strings(rows: DataFrame, groups: int) -> DataFrame:
 
 
 def settle_hot(table: pa.Table) -> pa.Table:
-    """One group of hot grams' strings: (doc_id, start, stop) of those that start earlier elsewhere."""
+    """One group of hot grams' strings: (doc_id, runs) of those that start earlier elsewhere."""
     family = Family()
     for blob in table.column("blob"):
         x = opened(blob.as_py())
         family.add(x["context"], x["doc"], x["start"].astype(np.int64), x["length"].astype(np.int64), x["gram"])
-    return pa.table(dict(zip(("doc_id", "start", "stop"), joined_runs(*family.repeated()), strict=True)))
+    return settled_table(GONE, *joined_runs(*family.repeated())).drop_columns(["kind"])
 
 
 def string_keys(cut: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -311,70 +343,58 @@ def string_keys(cut: list[bytes], docs: np.ndarray, starts: np.ndarray) -> tuple
 
 
 def settle_strings(table: pa.Table) -> pa.Table:
-    """One shard's contexts: (doc_id, start, stop) of the strings that start earlier elsewhere."""
+    """One shard's contexts: (doc_id, runs) of the strings that start earlier elsewhere."""
     family = Family()
     for batch in table.to_batches(4096):
         keys, doc, start = string_keys(batch.column("bytes").to_pylist(), *(batch.column(c).to_numpy() for c in ("doc_id", "start")))
         family.add(keys, doc, start, np.full(len(keys), SPAN, np.int64), np.zeros(len(keys), np.int64))
-    return pa.table(dict(zip(("doc_id", "start", "stop"), joined_runs(*family.repeated()), strict=True)))
+    return settled_table(GONE, *joined_runs(*family.repeated())).drop_columns(["kind"])
 
 
-def union_of(runs: pa.ListScalar, size: int) -> np.ndarray:
-    """Maximal removed runs (start, stop) of one text."""
-    start, stop = (runs.values.field(i).to_numpy() for i in (0, 1))
-    _, start, stop = joined_runs(np.zeros(len(start), np.int64), start, stop - start)
-    return np.minimum(np.stack([start, stop], axis=1), size)
+def union_of(runs: list[bytes] | None, size: int) -> np.ndarray:
+    """Maximal removed runs (start, stop) of one text of ``size`` bytes."""
+    found = unpacked(runs or [], 2)
+    _, start, stop = joined_runs(np.zeros(len(found), np.int64), found[:, 0], found[:, 1] - found[:, 0])
+    found = np.minimum(np.stack([start, stop], axis=1), size)
+    return found[found[:, 0] < found[:, 1]]
 
 
 def find_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop) of what goes, from (doc_id, text)."""
-    docs = docs.where("doc_id is not null")
+    """(doc_id, runs) of what goes, from (doc_id, text); a document may have several rows."""
+    spark, docs = docs.sparkSession, docs.where("doc_id is not null")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, size // SHARD_BYTES)
+    shards = max(1, size // SHARD_BYTES, min(partitions(spark), size // LEAST_SHARD_BYTES))
     both = materialize(sample(docs, shards), "entries")
-    found = both.where("doc_id is not null").select("doc_id", "start", "stop")
+    found = both.where("doc_id is not null").select("doc_id", "runs")
     dealt_out, hot = both.where("shard is not null").select("shard", "blob"), hot_grams(both)
     if len(hot):
-        entries_of = both.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in hot], "gram long")), "gram").agg(F.sum("n")).first()[0]
+        entries_of = both.join(F.broadcast(spark.createDataFrame([(int(x),) for x in hot], "gram long")), "gram").agg(F.sum("n")).first()[0]
         dealt_out = spread(dealt_out, hot, shards, 1 + entries_of // GROUP_ENTRIES)
-    settled = dealt_out.groupBy("shard").applyInArrow(lambda table: settle_contexts(table, shards), "doc_id long, start long, stop long, gram long")
-    settled = materialize(settled, "contexts")
-    found = found.union(settled.where("gram is null").select("doc_id", "start", "stop"))
-    wanted = F.collect_list(F.struct("start", "stop", F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int").alias("shard"))).alias("wanted")
+    settled = materialize(dealt_out.groupBy("shard").applyInArrow(lambda table: settle_contexts(table, shards), SETTLED), "contexts")
+    found = found.union(settled.where(F.col("kind") == GONE).select("doc_id", "runs"))
 
-    def texts(which: str) -> DataFrame:
-        asked = settled.where(which).groupBy("doc_id").agg(wanted)
-        return only(docs, asked).join(asked, "doc_id").select("doc_id", "text", "wanted")
+    def texts(kind: int) -> DataFrame:
+        asked = settled.where(F.col("kind") == kind)
+        rows = maybe_in(docs, "doc_id", asked).where("__maybe").select("doc_id", "text")
+        return rows.join(asked.groupBy("doc_id").agg(F.collect_list("runs").alias("wanted")), "doc_id").select("doc_id", "text", "wanted")
 
-    found = found.union(strings_of(texts("gram >= 0")).groupBy("shard").applyInArrow(settle_strings, "doc_id long, start long, stop long"))
+    found = found.union(strings_of(texts(UNSURE)).groupBy("shard").applyInArrow(settle_strings, "doc_id long, runs binary"))
     if len(hot):
-        strings = settled.where("gram < 0").agg(F.coalesce(F.sum(F.col("stop") - F.col("start") - (SPAN - 1)), F.lit(0))).first()[0]
-        parts = materialize(hot_strings(texts("gram < 0"), 1 + strings // GROUP_ENTRIES), "strings")
-        found = found.union(parts.where("doc_id is not null").select("doc_id", "start", "stop"))
-        found = found.union(parts.where("shard is not null").select("shard", "blob").groupBy("shard").applyInArrow(settle_hot, "doc_id long, start long, stop long"))
+        strings = settled.where(F.col("kind") == HOT_ONES).agg(F.coalesce(F.sum(F.octet_length("runs")), F.lit(0))).first()[0] // 16 * (SPAN - GRAM + 1)
+        parts = materialize(hot_strings(texts(HOT_ONES), 1 + strings // GROUP_ENTRIES), "strings")
+        found = found.union(parts.where("doc_id is not null").select("doc_id", "runs"))
+        found = found.union(parts.where("shard is not null").select("shard", "blob").groupBy("shard").applyInArrow(settle_hot, "doc_id long, runs binary"))
     return materialize(found, "repeats")
 
 
-def slot(name: str = "doc_id"):
-    return F.pmod(F.xxhash64(F.col(name)), F.lit(SLOTS))
-
-
-def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of ``docs`` whose id may be (left_semi) or can't be (left_anti) among ``ids``, by a filter of fixed size, before any shuffle."""
-    slots = ids.select(slot().alias("__slot")).distinct()
-    return docs.withColumn("__slot", slot()).join(F.broadcast(slots), "__slot", how).drop("__slot")  # at most SLOTS rows
-
-
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with __runs, the array of removed runs (start, stop; unmerged), or null."""
+    """The rows of ``docs`` with __runs, the removed runs (packed and unmerged), or null."""
     small_batches(docs.sparkSession)
     repeats = find_repeats(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    runs = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("__runs"))
-    rows = docs.withColumn("__id", F.col(id_col).cast("long"))
-    slots = materialize(repeats.select(slot().alias("__slot")).distinct(), "slots")
-    rows = rows.withColumn("__slot", slot("__id"))
-    touched = rows.join(F.broadcast(slots), "__slot", "left_semi").join(runs.withColumnRenamed("doc_id", "__id"), "__id", "left")
-    clean = rows.join(F.broadcast(slots), "__slot", "left_anti").withColumn("__runs", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"))
+    runs = repeats.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("runs").alias("__runs"))
+    rows = maybe_in(docs.withColumn("__id", F.col(id_col).cast("long")), "__id", repeats)
+    touched = rows.where("__maybe").join(runs, "__id", "left")
+    clean = rows.where("not __maybe").withColumn("__runs", F.lit(None).cast("array<binary>"))
     return touched.select(*docs.columns, "__runs").unionByName(clean.select(*docs.columns, "__runs"))
 
 
@@ -387,9 +407,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = (text or "").encode()
-                cut = union_of(runs, len(data)) if runs.is_valid else np.zeros((0, 2), np.int64)
+                cut = union_of(runs, len(data))
                 edges = [0, *cut.ravel().tolist(), len(data)]
                 digest = hashlib.sha256()
                 for a, b in zip(edges[::2], edges[1::2], strict=True):
@@ -411,8 +431,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, runs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1), strict=True):
-                if runs.is_valid:
+            for text, runs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if runs and text:
                     data = text.encode()
                     edges = [0, *union_of(runs, len(data)).ravel().tolist(), len(data)]
                     text = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode("utf-8", "ignore") or None

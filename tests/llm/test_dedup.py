@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from argusframe.llm import ngram, queries, suffix, textvec
-from argusframe.llm.common import table
+from argusframe.llm.common import maybe_in, table
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -105,6 +105,34 @@ def test_suffix_long_run(spark):
     assert {x.doc_id: x.text for x in suffix.remove(frame).collect()} == {1: text, 3: "q"}
 
 
+def test_suffix_repeated_rows(spark):
+    """Rows with one id are one document, however they are dealt: no copy of a text takes all of them away."""
+    text = random.Random(7).randbytes(200).hex()
+    rows = [(1, text), (1, text), (2, text), (3, text), (3, None), (None, text)]
+    for n in (1, 3):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        assert sorted((x.doc_id or 0, x.n_bytes, x.n_removed) for x in suffix.report(frame).collect()) == [(0, 400, 0), (1, 400, 0), (1, 400, 0), (2, 400, 400), (3, 0, 0), (3, 400, 400)]
+        assert sorted((x.doc_id or 0, x.text or "") for x in suffix.remove(frame).collect()) == [(0, text), (1, text), (1, text), (3, "")]
+
+
+def test_suffix_common_passage_makes_few_rows(spark):
+    """A passage that all documents hold makes one row of runs a document and chunk, not one for each string."""
+    r = random.Random(8)
+    passage = r.randbytes(1500).hex()
+    rows = [(i, r.randbytes(100).hex() + passage + r.randbytes(100).hex()) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    parts = suffix.sample(frame, 8)
+    assert parts.where("doc_id is not null").count() <= len(rows) and parts.where("shard is not null").count() <= 3 * 8
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.report(frame).collect()} == removed(rows)
+
+
+def test_maybe_in(spark):
+    ids = spark.range(0, 40_000, 7).toDF("doc_id")
+    found = maybe_in(spark.range(-1000, 40_000).toDF("k"), "k", ids).collect()
+    assert all(x["__maybe"] for x in found if x.k >= 0 and x.k % 7 == 0) and np.mean([x["__maybe"] for x in found if x.k % 7]) < 0.1
+    assert maybe_in(spark.range(5).toDF("k"), "k", ids.where("false")).where("__maybe").count() == 0
+
+
 def test_suffix_hot_gram(spark):
     """Contexts and strings of a gram that all rows hold in different surroundings go to many groups, with the same results."""
     r = random.Random(6)
