@@ -1,6 +1,6 @@
 """Main-text extraction with consensus host paths.
 
-Pass 1 parses each page, scores its containers by the prose directly in them, and emits the best ones as generalised
+Pass 1 parses each page, scores its containers by the prose directly in them, and emits them all as generalised
 tag-class paths (digits become N). Spark sums the votes of a host's pages per path. Pass 2 extracts each page again
 from the elements at its host's winning path; a page without that path, or where it holds next to nothing of the
 page's prose, uses its own best container. An article that lies in several containers is taken whole: from the elements
@@ -8,7 +8,8 @@ found, the nearest <article> around them, or a container below the body that hol
 prose, takes their place.
 
 Inside the chosen container menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-comments go. A block's white space turns into single spaces; blocks are joined in page order by newlines.
+comments go: by their tag or role, or by a class or id that names such a part. A class that only says that a part is there
+(has-sidebar, no-header) doesn't count, nor does one of an element that holds nearly all of the page's prose. A block's white space turns into single spaces; blocks are joined in page order by newlines.
 
 Null html is empty; an empty page, or one without prose, has an empty text. A null url votes as host "". Long pages
 are parsed whole. Repeated rows vote and are extracted each. Other columns are ignored. Ties go to the smaller path.
@@ -24,13 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import materialize, partitions, small_batches
 
-#: Containers of one page that vote.
-CANDIDATES = 3
 #: Hosts and bytes of winning paths up to which they are broadcast; more are joined by salted host.
 BROADCAST_HOSTS, BROADCAST_BYTES = 20_000, 8 << 20
-SALTS = 32
+#: An element is no boilerplate by its class if it holds this share of the page's prose, and the page's titles or so many characters and all but this rest.
+MOST_PROSE, ALONE_CHARS, ALONE_REST = 0.9, 400, 0.02
 #: A page's own best container is used if the winner holds less than this share of its score.
 LEAST_SHARE = 0.1
 #: A container takes the place of the elements found in it if its other prose, without links, is at least this share of theirs.
@@ -57,18 +57,22 @@ NOT_MAIN = {
     "footer", "foot", "gdpr", "header", "masthead", "menu", "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "paywall", "popup", "promo", "promoted", "promotion",
     "recommend", "recommended", "recommendations", "related", "replies", "reply", "responses", "share", "sharing", "shares", "sidebar", "sidebars", "signup", "skip", "skyscraper", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "topbar", "widget", "widgets", "alert", "login", "reviews", "rail", "copyright", "legal",
 }
+#: Words before, and after, one of these that make a class a state or layout (fixed values).
+STATES = {"has", "have", "with", "without", "no", "not", "non", "is", "hide", "show", "under", "below", "beside", "over", "after", "before", "when", "if"}
+LAYOUTS = {"layout", "enabled", "disabled", "visible", "invisible", "open", "opened", "closed", "collapsed", "expanded", "template", "theme", "grid"}
+TITLES = {"article", "main", "h1"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "status", "tooltip"}
 
 
 class Node:
     """An element; items are its texts and elements in order."""
 
-    __slots__ = ("tag", "label", "parent", "items", "dropped", "score", "length", "linked")
+    __slots__ = ("tag", "label", "parent", "items", "dropped", "named", "score", "length", "linked")
 
     def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool):
         self.tag, self.label, self.parent, self.dropped = tag, label, parent, dropped
         self.items: list = []
-        self.score, self.length, self.linked = 0.0, 0, 0
+        self.named, self.score, self.length, self.linked = False, 0.0, 0, 0
 
     def path(self) -> str:
         out, node = [], self
@@ -84,18 +88,45 @@ def words_of(name: str) -> list[str]:
 
 
 def is_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether an element's tag, role, class or id says that it isn't the article."""
-    if tag in DROPPED or attributes.get("role", "").lower() in ROLES or attributes.get("aria-hidden", "").lower() == "true" or "hidden" in attributes:
-        return True
+    """Whether an element's tag or role says that it isn't the article, or that it isn't shown."""
+    return tag in DROPPED or attributes.get("role", "").lower() in ROLES or attributes.get("aria-hidden", "").lower() == "true" or "hidden" in attributes
+
+
+def is_named_boilerplate(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a class or id names a part that isn't the article."""
     if tag in ("html", "body", "article", "main"):
         return False
-    return any(w in NOT_MAIN for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split() for w in words_of(name))
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = words_of(name)
+        for i, w in enumerate(words):
+            if w in NOT_MAIN and STATES.isdisjoint(words[:i]) and LAYOUTS.isdisjoint(words[i + 1 :]):
+                return True
+    return False
+
+
+def drop_named(root: Node) -> None:
+    """Drops the elements that a class names as boilerplate, with what is in them, unless one holds nearly all of the page's prose."""
+    order = list(walk(root))
+    prose: dict[int, int] = {}
+    titles: dict[int, int] = {}
+    for x in reversed(order):
+        inner = [k for k in x.items if not isinstance(k, str) and not k.dropped]
+        titles[id(x)] = (x.tag in TITLES) + sum(titles[id(k)] for k in inner)
+        prose[id(x)] = 0 if x.tag == "a" else sum(len(k.strip()) for k in x.items if isinstance(k, str)) + sum(prose[id(k)] for k in inner)
+    total, all_titles = prose[id(root)], titles[id(root)]
+    for x in order:
+        if x.parent is not None and x.parent.dropped:
+            x.dropped = True
+        elif x.named:
+            n = prose[id(x)]
+            alone = all_titles and titles[id(x)] == all_titles or n >= ALONE_CHARS and total - n <= ALONE_REST * total
+            x.dropped = not (alone and n >= MOST_PROSE * total)
 
 
 def parse(page: str) -> Node:
     """The element tree; forgiving: unclosed and misnested tags are closed by what follows."""
     root = Node("", "", None, False)
-    top, at, n = root, 0, len(page)
+    top, at, n, named = root, 0, len(page), False
     while at < n:
         found = TOKEN.search(page, at)
         if not found:
@@ -130,12 +161,16 @@ def parse(page: str) -> Node:
         node = Node(tag, label, top, top.dropped or is_boilerplate(tag, attributes) or bool(rest and HIDDEN_STYLE.search(rest)))
         if tag == "header" and not node.dropped:
             node.dropped = not any(x in ("article", "main") for x in ancestors(node))
+        node.named = not node.dropped and is_named_boilerplate(tag, attributes)
+        named |= node.named
         top.items.append(node)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}\\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
         elif tag not in VOID and not (rest.endswith("/") and tag not in BLOCK and tag not in ("a", "b", "i", "span")):
             top = node
+    if named:
+        drop_named(root)
     return root
 
 
@@ -223,14 +258,14 @@ def score(root: Node) -> list[Node]:
 
 
 def candidates(page: str) -> list[tuple[str, float]]:
-    """(path, share of the page's score) of the best containers."""
+    """(path, share of the page's score) of all containers with prose."""
     found = score(parse(page))
     total = sum(x.score for x in found)
     shares: dict[str, float] = {}
     for x in found:
         path = x.path()
         shares[path] = shares.get(path, 0.0) + x.score / total
-    return sorted(shares.items(), key=lambda x: (-x[1], x[0]))[:CANDIDATES]
+    return sorted(shares.items())
 
 
 def whole(root: Node, chosen: list[Node]) -> set[int]:
@@ -295,14 +330,15 @@ def vote(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Data
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every page."""
-    winners = vote(pages, url_col, html_col).persist()
+    winners = materialize(vote(pages, url_col, html_col), "winners")
     hosts, size = winners.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("path") + F.octet_length("host")), F.lit(0))).first()
     source = pages.select(F.col(id_col), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host_of(url_col).alias("host"))
     if hosts <= BROADCAST_HOSTS and size <= BROADCAST_BYTES:
         joined = source.join(F.broadcast(winners), "host", "left")
     else:
-        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = source.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+        salts = partitions(pages.sparkSession)  # one host may hold most pages
+        salted = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = source.withColumn("salt", F.pmod(F.xxhash64(id_col, "html"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
     source = joined.select(id_col, "url", "html", "path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
