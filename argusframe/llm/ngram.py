@@ -93,11 +93,11 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 heavy.add(found)
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([True] * len(n)), batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(n), pa.bool_()), batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), none, none], names=names)
         heavy.settle()
         often = heavy.counts >= 4
         none = pa.nulls(int(often.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([False] * len(none)), none, none, pa.nulls(len(none), pa.binary()), pa.array(heavy.keys[often].view(np.int64)), pa.array(heavy.counts[often])], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([False] * len(none), pa.bool_()), none, none, pa.nulls(len(none), pa.binary()), pa.array(heavy.keys[often].view(np.int64)), pa.array(heavy.counts[often])], names=names)
 
     return docs.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +64,8 @@ def chunks(texts: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Iterat
         at = to
 
 
+#: Bytes from which a word's hash is a digest: polynomials modulo 2**64 collide on some long regular words.
+LONG_WORD = 256
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -83,7 +86,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
     ends_at = offsets[1:][offsets[1:] > 0] - 1
     last[ends_at] = word[ends_at]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return span_hashes(prefix_sums(data), starts, ends), np.searchsorted(starts, offsets)
+    found = span_hashes(prefix_sums(data), starts, ends)
+    for i in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        found[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return found, np.searchsorted(starts, offsets)
 
 
 def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[np.ndarray]:
