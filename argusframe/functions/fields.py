@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 EVENT_TYPES = ["syscall", "network", "file", "tls", "dns", "privesc", "lsm_audit", "sequence", "net_close", "http_plaintext", "kmod", "cgroup_esc", "gpu", "io_uring", "bpf_program", "cloud_audit"]
 #: Suspicious top-level domains (fixed values).
-ODD_TLDS = [".tk", ".ml", ".ga", ".cf", ".top", ".xyz", ".click", ".link", ".work", ".date"]
+ODD_TLDS = [".onion", ".bit", ".bazar", ".coin", ".lib", ".emc", ".zip", ".mov", ".phd", ".xxx"]
+#: Where programs lie.
+PROGRAM_DIRS = ["/bin/", "/sbin/", "/usr/bin/", "/usr/sbin/", "/usr/local/bin/"]
 
 
 def c_string(s: Column) -> Column:
@@ -43,6 +45,19 @@ def path_prefix(path: Column) -> Column:
     return F.when(path == "", F.lit("")).otherwise(F.concat(F.lit("/"), F.array_join(named, "/")))
 
 
+def is_program(path: Column) -> Column:
+    return path.rlike("^(" + "|".join(PROGRAM_DIRS) + ")")
+
+
+def is_library(path: Column) -> Column:
+    return path.endswith(".so") | path.contains(".so.") | path.startswith("/lib/") | path.startswith("/usr/lib/")
+
+
+def split_and_trim(s: Column, separator: str = ",") -> Column:
+    """The trimmed parts that aren't empty."""
+    return F.filter(F.transform(F.split(s, "\\Q" + separator + "\\E"), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def host_of_url(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/:?#]*)", 1))
 
@@ -123,16 +138,51 @@ def cidr_bounds(cidr: str) -> tuple[int, int]:
     return int(network.network_address), int(network.broadcast_address)
 
 
+def ipv4_text(n: Column) -> Column:
+    """A 32-bit number as a dotted address."""
+    return F.concat_ws(".", *[F.shiftright(n, k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0)])
+
+
+def ipv6_text(digits: Column) -> Column:
+    """32 hex digits as the shortest text: the first of the longest runs of two or more zero groups becomes ::."""
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.lower(F.substr(digits, i * 4 + 1, F.lit(4))), r"^0{1,3}", ""))
+    full = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
+    out = F.array_join(groups, ":")
+    for n in range(2, 9):  # the longest run is tried last, so it wins
+        zeros = ":" + "0:" * n
+        out = F.when(F.contains(full, F.lit(zeros)), F.regexp_replace(F.concat(F.substring_index(full, zeros, 1), F.lit("::"), F.substr(full, F.locate(zeros, full) + len(zeros))), r"^:(?!:)|(?<!:):\z", "")).otherwise(out)
+    return out
+
+
+def alert_id(prefix: Column, ts: Column, pid: Column, number: Column) -> Column:
+    return F.concat_ws("-", prefix, F.unix_micros(ts.cast("timestamp")) * 1000, pid, number)
+
+
+def hashed_id(ts: Column, rule: Column, pid: Column) -> Column:
+    """The first 32 hex digits of the SHA-256 of nanoseconds:rule:pid."""
+    return F.left(F.sha2(F.concat_ws(":", (F.unix_micros(ts.cast("timestamp")) * 1000).cast("string"), rule, pid.cast("string")), 256), F.lit(32))
+
+
 def truncated(s: Column, n: int) -> Column:
     return F.when(F.char_length(s) > n, F.concat(F.left(s, F.lit(n - 1)), F.lit("…"))).otherwise(s)
 
 
-def alert_fingerprint(*parts: Column) -> Column:
-    """SHA-256 of the parts as a JSON list, with <, > and & escaped."""
-    text = F.to_json(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+def json_text(s: Column) -> Column:
+    """A string as JSON, with <, > and & escaped."""
+    text = F.regexp_extract(F.to_json(F.array(F.coalesce(s.cast("string"), F.lit("")))), r"(?s)^\[(.*)\]\z", 1)
     for a, b in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026")):
         text = F.replace(text, F.lit(a), F.lit(b))
-    return F.sha2(text, 256)
+    return text
+
+
+def alert_fingerprint(id: Column, ts: Column, rule: Column, severity: Column, pid: Column, comm: Column, message: Column, pod: Column | None = None, namespace: Column | None = None) -> Column:
+    """SHA-256 of an object of these fields in this order; an empty pod or namespace is left out."""
+    nanos = (F.unix_micros(ts.cast("timestamp")) * 1000).cast("string")
+    parts = [F.lit('{"id":'), json_text(id), F.lit(',"ts":'), nanos, F.lit(',"rule_id":'), json_text(rule), F.lit(',"severity":'), json_text(severity), F.lit(',"pid":'), pid.cast("string"), F.lit(',"comm":'), json_text(comm), F.lit(',"msg":'), json_text(message)]
+    for name, value in (("pod", pod), ("ns", namespace)):
+        if value is not None:
+            parts.append(F.when(F.coalesce(value, F.lit("")) == "", "").otherwise(F.concat(F.lit(f',"{name}":'), json_text(value))))
+    return F.sha2(F.concat(*parts, F.lit("}")), 256)
 
 
 def masked(header: Column, value: Column, secret: list[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator
 
@@ -19,17 +20,58 @@ def incidents(alerts: DataFrame, keys: list[str], gap: str = "60 seconds") -> Da
     return grouped.agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n"), F.max_by("severity", rank).alias("severity"), F.count_distinct("rule_id").alias("n_rules")).drop("w")
 
 
+def incident_details(alerts: DataFrame, keys: list[str], gap_s: float = GAP_S, as_of: str | None = None, tie: str = "event_id") -> DataFrame:
+    """Incidents whole: id, first_seen, last_seen, n, severity (the highest), alert_ids in order, rule_ids in the order of their first alert, and
+    status: closed once as_of (the last alert of all, if not given) is more than a gap after the last alert."""
+    w = Window.partitionBy(*keys).orderBy("ts", tie)
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = alerts.withColumn("__at", at).withColumn("__new", F.coalesce((F.col("__at") - F.lag("__at").over(w) > gap_s).cast("int"), F.lit(1)))
+    rows = rows.withColumn("__s", F.sum("__new").over(w))
+    rank = F.when(F.col("severity") == "critical", 2).when(F.col("severity") == "warning", 1).otherwise(0)
+    listed = F.array_sort(F.collect_list(F.struct("ts", F.col(tie).alias("id"), "rule_id")))
+    found = rows.groupBy(*keys, "__s").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n"), F.max_by("severity", rank).alias("severity"), listed.alias("__x"))
+    found = found.withColumns({"alert_ids": F.transform("__x", lambda x: x["id"]), "rule_ids": F.array_distinct(F.transform("__x", lambda x: x["rule_id"]))})
+    found = found.withColumn("id", F.concat(F.lit("inc-"), F.left(F.sha2(F.to_json(F.struct(*keys, "first_seen")), 256), F.lit(16))))
+    if as_of is None:
+        found = found.withColumn("__now", alerts.agg(F.max("ts")).scalar())
+    else:
+        found = found.withColumn("__now", F.lit(as_of).cast("timestamp"))
+    idle = (F.unix_micros(F.col("__now").cast("timestamp")) - F.unix_micros(F.col("last_seen").cast("timestamp"))) / 1e6
+    return found.withColumns({"status": F.when(idle > gap_s, "closed").otherwise("open"), "idle_s": idle}).drop("__s", "__x", "__now")
+
+
+def list_incidents(incidents: DataFrame, namespace: str = "", status: str = "", limit: int = 0) -> DataFrame:
+    """Newest first; empty filters let all pass."""
+    rows = incidents.where(F.col("namespace") == namespace) if namespace else incidents
+    rows = (rows.where(F.col("status") == status) if status else rows).orderBy(F.desc("last_seen"), "id")
+    return rows.limit(limit) if limit > 0 else rows
+
+
+def retained(incidents: DataFrame, gap_s: float = GAP_S, times: int = 5) -> DataFrame:
+    """Without closed incidents idle for more than ``times`` gaps."""
+    return incidents.where((F.col("status") == "open") | (F.col("idle_s") <= times * gap_s))
+
+
+def digests(alerts: DataFrame, keys: list[str], idle: str = "5 minutes", samples: int = 5, tie: str = "event_id") -> DataFrame:
+    """Alerts of a key folded until it is idle: first_seen, last_seen, n, the ids of the first samples, and a line of text."""
+    grouped = alerts.groupBy(*keys, F.session_window("ts", idle).alias("w"))
+    found = grouped.agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list(F.struct("ts", F.col(tie).alias("id")))), 1, samples).alias("x"))
+    text = F.concat_ws(" ", F.concat(F.col("n").cast("string"), F.lit("x")), *[F.col(k).cast("string") for k in keys])
+    return found.withColumns({"samples": F.transform("x", lambda x: x["id"]), "summary": text}).drop("w", "x")
+
+
 def recent(events: DataFrame, key: str, columns: list[str], n: int = 20, tie: str = "event_id") -> DataFrame:
     """Adds to each event the last n of its key, itself included."""
     w = Window.partitionBy(key).orderBy("ts", tie).rowsBetween(-(n - 1), 0)
     return events.withColumn("recent", F.collect_list(F.struct(*columns) if len(columns) > 1 else F.col(columns[0])).over(w))
 
 
-def first_seen(events: DataFrame, workload: list[str], value: str, cap: int = 256, tie: str = "event_id") -> DataFrame:
-    """Adds is_new: the workload hasn't shown the value before. Values after the first ``cap`` are never learned, so stay new."""
+def first_seen(events: DataFrame, workload: list[str], value: str, cap: int | None = 256, tie: str = "event_id") -> DataFrame:
+    """Adds is_new: the workload hasn't shown the value before. Values after the first ``cap`` are never learned, so stay new; without a
+    cap no workload's values are gathered."""
     firsts = events.groupBy(*workload, value).agg(F.min(F.struct("ts", tie)).alias("__first"))
-    firsts = firsts.withColumn("__n", F.row_number().over(Window.partitionBy(*workload).orderBy("__first")))
-    rows = events.join(firsts, [*workload, value])
+    rank = F.lit(0) if cap is None else F.row_number().over(Window.partitionBy(*workload).orderBy("__first"))
+    rows, cap = events.join(firsts.withColumn("__n", rank), [*workload, value]), cap or 0
     return rows.withColumn("is_new", (F.struct("ts", tie) == F.col("__first")) | (F.col("__n") > cap)).drop("__first", "__n")
 
 
@@ -140,6 +182,59 @@ def aggregated(alerts: DataFrame, keys: list[str], window_s: float = 60.0, tie:
     return in_order(rows, keys, tie).mapInPandas(run, schema)
 
 
+def learned_sets(events: DataFrame, keys: list[str], sets: dict[str, Column], namespace: str = "", container: str = "", comm_prefix: str = "") -> DataFrame:
+    """Of each workload its events and the sorted set of each column's values that aren't null, from events that pass the filters."""
+    for column, value in (("namespace", namespace), ("container_id", container)):
+        events = events.where(F.col(column) == value) if value else events
+    events = events.where(F.col("comm").startswith(comm_prefix)) if comm_prefix else events
+    return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()])
+
+
+def drift_classes(events: DataFrame, key: str, learn: str = "5 minutes", tie: str = "event_id") -> DataFrame:
+    """What a container shows after its learning window and not in it: (event, kind, value) with kind one of syscall, exec, library, directory, ip,
+    port; of a path the first of program, library and directory that fits. Events have nr, path, daddr and dport, each may be null."""
+    from ..functions.fields import is_library, is_program, profile_directory
+
+    path = F.col("path")
+    of_path = F.when(is_program(path), F.struct(F.lit("exec").alias("kind"), path.alias("value"))).when(is_library(path), F.struct(F.lit("library").alias("kind"), path.alias("value"))).when(path.isNotNull(), F.struct(F.lit("directory").alias("kind"), profile_directory(path).alias("value")))
+    plain = lambda kind, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")))
+    start = events.groupBy(key).agg(F.min("ts").alias("__start"))
+    shown = F.filter(F.array(plain("syscall", "nr"), of_path, plain("ip", "daddr"), plain("port", "dport")), lambda x: x.isNotNull())
+    seen = events.select(key, "ts", tie, F.explode(shown).alias("x")).select(key, "ts", tie, "x.*").join(start, key)
+    learned = F.col("ts") < F.col("__start") + F.expr(f"interval {learn}")
+    known = seen.where(learned).select(key, "kind", "value").distinct()
+    return seen.where(~learned).join(known, [key, "kind", "value"], "left_anti").select(tie, key, "ts", "kind", "value")
+
+
+def markov_anomalies(events: DataFrame, key: str, state: str, baseline: float, window: int = 64, threshold: float = 0.35, tie: str = "event_id") -> DataFrame:
+    """``markov_scores`` with score, how far (0 to 1) ll lies below the baseline mean in units of 3, and is_anomaly."""
+    rows = markov_scores(events, key, state, window, tie=tie)
+    score = F.least(F.greatest(F.lit(baseline) - F.coalesce("ll", F.lit(baseline)), F.lit(0.0)) / 3, F.lit(1.0))
+    return rows.withColumn("score", score).withColumn("is_anomaly", F.col("score") > threshold)
+
+
+def mean_log10(table: DataFrame) -> DataFrame:
+    """The mean log10 probability of a table of transitions, by their counts: the baseline of ``markov_anomalies``."""
+    return table.agg((F.sum(F.col("n") * F.col("log10p")) / F.sum("n")).alias("baseline"))
+
+
+def unique_rate(events: DataFrame, key: str, value: str, window_s: int = 60, per_minute: float = 100) -> DataFrame:
+    """Windows in which a key shows more distinct values than per_minute, scaled to the window and rounded up."""
+    most = math.ceil(round(per_minute * window_s / 60, 9))
+    found = events.groupBy(F.window("ts", f"{window_s} seconds").alias("w"), key).agg(F.count_distinct(value).alias("n"))
+    return found.where(F.col("n") > most).select(F.col("w.start").alias("start"), key, "n")
+
+
+def bounded_counters(rows: DataFrame, labels: list[str], folded: list[str], most: int, tie: str = "event_id") -> DataFrame:
+    """Counts by label tuple; of the tuples after the first ``most`` to arrive, the folded labels become "other"."""
+    firsts = rows.groupBy(*labels).agg(F.min(F.struct("ts", tie)).alias("__first"), F.count(F.lit(1)).alias("n"))
+    admitted = firsts.orderBy("__first").limit(most).select(*labels, F.lit(True).alias("__in"))
+    on = [F.col(f"f.{c}").eqNullSafe(F.col(f"a.{c}")) for c in labels]
+    both = firsts.alias("f").join(admitted.alias("a"), on, "left")
+    named = [F.when(F.col("a.__in").isNull(), "other").otherwise(F.col(f"f.{c}").cast("string")).alias(c) if c in folded else F.col(f"f.{c}").alias(c) for c in labels]
+    return both.select(*named, F.col("f.n").alias("n")).groupBy(*labels).agg(F.sum("n").alias("n"))
+
+
 def learned_profile(events: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """How many distinct values of each column a workload has shown, and its events."""
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(c).alias(f"n_{c}") for c in columns])

@@ -61,10 +61,14 @@ def silence(alerts: DataFrame, silences: DataFrame) -> DataFrame:
     return alerts.join(s, (F.col("rule_id") == F.col("__r")) & (F.col("severity") == F.col("__s")) & (F.col("ts") <= F.col("__u")), "left_anti")
 
 
-def least_multiplier(events: DataFrame, signals: DataFrame, key: str, ts: str = "ts") -> DataFrame:
-    """Adds the smallest multiplier of the signals of a namespace that were live at the event, 1.0 without any; signals: (namespace, starts_at, expires_at, multiplier)."""
-    live = (F.col("namespace") == F.col("__n")) & (F.col(ts) >= F.col("starts_at")) & (F.col(ts) < F.col("expires_at"))
-    found = events.join(signals.withColumnRenamed("namespace", "__n"), live).groupBy(key).agg(F.min("multiplier").alias("multiplier"))
+def least_multiplier(events: DataFrame, signals: DataFrame, key: str, ts: str = "ts", bucket_s: int = 3600) -> DataFrame:
+    """Adds the smallest multiplier of the signals of a namespace that were live at the event, 1.0 without any; signals: (namespace, starts_at,
+    expires_at, multiplier). Signals are cut at buckets of time, so events meet only those of their namespace and bucket."""
+    second = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    cut = signals.select(F.col("namespace").alias("__n"), "starts_at", "expires_at", "multiplier", F.explode(F.sequence(F.floor(second("starts_at") / bucket_s), F.floor(second("expires_at") / bucket_s))).alias("__b"))
+    rows = events.withColumn("__b", F.floor(second(ts) / bucket_s))
+    live = (F.col("namespace") == F.col("__n")) & (rows["__b"] == cut["__b"]) & (F.col(ts) >= F.col("starts_at")) & (F.col(ts) < F.col("expires_at"))
+    found = rows.join(cut, live).groupBy(key).agg(F.min("multiplier").alias("multiplier"))
     return events.join(found, key, "left").withColumn("multiplier", F.coalesce("multiplier", F.lit(1.0)))
 
 
@@ -74,16 +78,80 @@ def hidden(seen: DataFrame, visible: DataFrame, key: str, ts: str = "ts") -> Dat
 
 
 def ancestry(processes: DataFrame, depth: int = 10) -> DataFrame:
-    """(pid, ancestor, level) up to ``depth`` levels above each process; processes: (pid, ppid)."""
-    step = processes.select("pid", F.col("ppid").alias("ancestor"), F.lit(1).alias("level")).where("ancestor is not null and ancestor <> pid")
-    out, up = step, processes.select(F.col("pid").alias("ancestor"), F.col("ppid").alias("next"))
-    for level in range(2, depth + 1):
-        step = step.join(up, "ancestor").where("next is not null and next <> ancestor").select("pid", F.col("next").alias("ancestor"), F.lit(level).alias("level"))
-        out = out.union(step)
-    return out
+    """(pid, ancestor, level) up to ``depth`` levels above each process; processes: (pid, ppid), one row a pid. Each level is one join onto a row
+    that carries the levels below it; they become rows at the end, so no level is computed twice."""
+    up = processes.select(F.col("pid").alias("__of"), F.col("ppid").alias("__next")).where("ppid is not null and ppid <> pid")
+    rows = processes.select("pid", F.when(F.col("ppid") != F.col("pid"), F.col("ppid")).alias("__1")).where("__1 is not null")
+    for n in range(2, depth + 1):
+        rows = rows.join(up, F.col(f"__{n - 1}") == F.col("__of"), "left").withColumnRenamed("__next", f"__{n}").drop("__of")
+    levels = F.posexplode(F.array(*[F.col(f"__{n}") for n in range(1, depth + 1)]))
+    return rows.select("pid", levels.alias("__at", "ancestor")).where("ancestor is not null").select("pid", "ancestor", (F.col("__at") + 1).alias("level"))
 
 
 def rule_diff(old: DataFrame, new: DataFrame, key: str = "rule_id") -> DataFrame:
     a, b = old.select(key, F.lit(True).alias("__a")).distinct(), new.select(key, F.lit(True).alias("__b")).distinct()
     change = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").otherwise("common")
     return a.join(b, key, "full_outer").select(key, change.alias("change"))
+
+
+def suppress_feedback(alerts: DataFrame, feedback: DataFrame, anomaly_rule: str = "anomaly") -> DataFrame:
+    """Alerts that no false-positive feedback (verdict, rule_id, comm) silences: by rule and comm, and alerts of the anomaly rule by comm alone."""
+    wrong = feedback.where("verdict = 'false_positive'")
+    left = suppress(alerts, wrong, ["rule_id", "comm"])
+    known = wrong.where(F.col("rule_id") == anomaly_rule).select(F.col("comm").alias("__c")).distinct()
+    return left.join(known, (F.col("rule_id") == anomaly_rule) & (F.col("comm") == F.col("__c")), "left_anti")
+
+
+def unseen_elsewhere(alerts: DataFrame, seen: DataFrame, ttl_s: int = 300, ts: str = "ts") -> DataFrame:
+    """Alerts whose fingerprint no other node told of in the last ttl_s seconds; seen: (fingerprint, node, at)."""
+    s = seen.select(F.col("fingerprint").alias("__f"), F.col("node").alias("__node"), F.col("at").alias("__at"))
+    late = (F.col(ts) >= F.col("__at")) & (F.col(ts) <= F.col("__at") + F.expr(f"interval {ttl_s} seconds"))
+    return alerts.join(s, (F.col("fingerprint") == F.col("__f")) & (F.col("node") != F.col("__node")) & late, "left_anti")
+
+
+def extract_indicators(alerts: DataFrame, ttl: str = "24 hours", node: str = "") -> DataFrame:
+    """(type, value, source, rule_id, severity, expires_at) of alerts (event_type, daddr, qname, fingerprint): public addresses of network alerts,
+    names of DNS alerts, fingerprints of all."""
+    from .policy import is_private
+
+    ip, name, print_ = F.col("daddr"), F.col("qname"), F.col("fingerprint")
+    valid = ip.rlike(r"^[0-9.]+\z|:") & ~is_private(ip) & ~F.lower(ip).rlike(r"^(::1|fe80:.*|f[cd][0-9a-f]{2}:.*)\z")
+    pick = lambda kind, test, v: F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(kind).alias("type"), v.alias("value")))
+    found = F.filter(F.array(pick("ip", (F.col("event_type") == "network") & valid, ip), pick("dns", (F.col("event_type") == "dns") & (name != ""), name), pick("fingerprint", print_ != "", print_)), lambda x: x.isNotNull())
+    rows = alerts.select(F.explode(found).alias("x"), "rule_id", "severity", "ts")
+    return rows.select("x.type", "x.value", F.lit(node).alias("source"), "rule_id", "severity", (F.col("ts") + F.expr(f"interval {ttl}")).alias("expires_at"))
+
+
+def explain(alerts: DataFrame, templates: DataFrame) -> DataFrame:
+    """Adds template_id: the template of the rule's id, else the first by id that begins with the id's part before "_"; templates: (template_id).
+    Prefixes become join keys."""
+    ids = templates.select("template_id").distinct()
+    starts = ids.select("template_id", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("template_id")), lambda i: F.left("template_id", i))).alias("__start"))
+    firsts = starts.groupBy("__start").agg(F.min("template_id").alias("__first"))
+    rules = alerts.select("rule_id").distinct().withColumn("__start", F.substring_index("rule_id", "_", 1))
+    own = ids.select(F.col("template_id").alias("rule_id"), F.lit(True).alias("__own"))
+    found = rules.join(own, "rule_id", "left").join(firsts, "__start", "left").select("rule_id", F.when(F.col("__own"), F.col("rule_id")).otherwise(F.col("__first")).alias("template_id"))
+    return alerts.join(found, "rule_id", "left")
+
+
+def tampering(events: DataFrame, allowed: DataFrame, commands: tuple = (2, 3, 9)) -> DataFrame:
+    """Events of the commands (update, delete, detach) by processes that aren't allowed; allowed: (pid)."""
+    return events.where(F.col("cmd").isin(list(commands))).join(allowed.select("pid").distinct(), "pid", "left_anti")
+
+
+def mining_signs(events: DataFrame, ports: list, names: list[str]) -> DataFrame:
+    """Adds on_mining_port and has_mining_name, by owned lists of ports and parts of process names."""
+    from .rules import any_of
+
+    return events.withColumns({"on_mining_port": F.coalesce(F.col("dport").isin(ports), F.lit(False)), "has_mining_name": F.coalesce(any_of([F.contains(F.lower("comm"), F.lit(n)) for n in names]), F.lit(False))})
+
+
+def in_chunks(values: DataFrame, column: str, n: int = 500) -> DataFrame:
+    """(chunk, items): the distinct values in order, n to a chunk. Values are dealt by range first, so a chunk never spans two ranges and no
+    task holds all of them; the last chunk of a range may be shorter."""
+    from pyspark.sql import Window
+
+    own = values.select(F.col(column).alias("__v")).where("__v is not null").distinct().repartitionByRange("__v").withColumn("__p", F.spark_partition_id())
+    w = Window.partitionBy("__p").orderBy("__v")
+    rows = own.withColumn("__c", F.floor((F.row_number().over(w) - 1) / n))
+    return rows.groupBy("__p", "__c").agg(F.array_sort(F.collect_list("__v")).alias("items")).select(F.concat_ws("-", "__p", "__c").alias("chunk"), "items")

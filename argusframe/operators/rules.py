@@ -1,4 +1,4 @@
-"""Declarative detection rules compiled into one Spark column per rule.
+"""Declarative detection rules compiled into one Spark expression per event type.
 
 Logic is two-valued: a missing field makes every leaf false, and an empty value satisfies only equals, not_equals and not_in.
 """
@@ -9,7 +9,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import cidr_bounds, ipv4_number, ipv6_hex
@@ -21,6 +21,7 @@ sys_tty_config mknod lease audit_write audit_control setfcap mac_override mac_ad
 ALIASES = {"eq": "equals", "neq": "not_equals"}
 EMPTY_OK = {"equals", "not_equals", "not_in"}
 MAX_PATTERN = 1024
+CIDR_FIELDS = {"daddr", "saddr", "cloud.source_ip"}
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,11 @@ class Rule:
     action: str = "alert"
     name: str = ""
     exceptions: tuple = field(default=())
+    description: str = ""
+    tags: tuple = ()
+    klass: str = ""
+    rate: float = 1.0
+    sampling: str = "hash_pid"
 
 
 def any_of(columns: list[Column], empty: bool = False) -> Column:
@@ -57,74 +63,152 @@ def mask_of(names: tuple) -> int:
     return sum({1 << known[x] for n in names if (x := str(n).lower().removeprefix("cap_")) in known})
 
 
-def number_test(name: str) -> Callable[[Column, tuple], Column]:
-    tests = {"gt": lambda a, b: a > b, "lt": lambda a, b: a < b, "gte": lambda a, b: a >= b, "lte": lambda a, b: a <= b}
+def is_network(v: str) -> bool:
+    try:
+        return bool(cidr_bounds(v))
+    except ValueError:
+        return False
 
-    def test(c: Column, values: tuple) -> Column:
+
+def quoted(v: str) -> str:
+    """A SQL string literal."""
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+class Resolved:
+    """The columns that rules of one kind test, each made once and named; rules refer to them in SQL text, since a rule set of hundreds is
+    sent to the planner much faster as one text than as column objects."""
+
+    def __init__(self, fields: Mapping[str, Column], prefix: str):
+        self.fields, self.prefix, self.made = fields, prefix, {}
+
+    def name(self, key: str, column: Callable[[], Column]) -> str:
+        if key not in self.made:
+            self.made[key] = (f"{self.prefix}{len(self.made)}", column())
+        return self.made[key][0]
+
+    def text(self, f: str) -> str:
+        return self.name(f"text {f}", lambda: self.fields[f].cast("string"))
+
+    def number(self, f: str) -> str:
+        return self.name(f"number {f}", lambda: self.fields[f].try_cast("double"))
+
+    def long(self, f: str) -> str:
+        return self.name(f"long {f}", lambda: self.fields[f].cast("long"))
+
+    def ipv4(self, f: str) -> str:
+        return self.name(f"ipv4 {f}", lambda: ipv4_number(self.fields[f].cast("string")))
+
+    def ipv6(self, f: str) -> str:
+        return self.name(f"ipv6 {f}", lambda: ipv6_hex(self.fields[f].cast("string")))
+
+    def columns(self) -> dict[str, Column]:
+        return dict(self.made.values())
+
+
+def any_text(tests: list[str]) -> str:
+    return "(" + " OR ".join(tests) + ")" if tests else "false"
+
+
+def compared(sign: str) -> Callable[[str, tuple], str]:
+    def test(x: str, values: tuple) -> str:
         try:
-            return tests[name](c.try_cast("double"), F.lit(float(values[0])))
+            return f"{x} {sign} double('{float(values[0])!r}')"
         except (ValueError, IndexError):
-            return F.lit(False)
+            return "false"
 
     return test
 
 
-def in_cidr(c: Column, values: tuple) -> Column:
-    """IPv4 networks hold IPv4 addresses, IPv6 networks IPv6 addresses; false for what isn't an address."""
-    n, h = ipv4_number(c), ipv6_hex(c)
-    inside = lambda low, high, v: F.coalesce(h.between(f"{low:032x}", f"{high:032x}") if ":" in v else n.between(low, high), F.lit(False))
-    return any_of([inside(*cidr_bounds(v), v) for v in values])
-
-
-OPERATORS: dict[str, Callable[[Column, tuple], Column]] = {
-    "in": lambda c, v: c.isin(*v) if v else F.lit(False),
-    "not_in": lambda c, v: ~c.isin(*v) if v else c.isNotNull(),
-    "equals": lambda c, v: c == F.lit(v[0]) if v else F.lit(False),
-    "not_equals": lambda c, v: c != F.lit(v[0]) if v else c.isNotNull(),
-    "prefix": lambda c, v: any_of([c.startswith(x) for x in v]),
-    "not_prefix": lambda c, v: ~any_of([c.startswith(x) for x in v]),
-    "suffix": lambda c, v: any_of([c.endswith(x) for x in v]),
-    "not_suffix": lambda c, v: ~any_of([c.endswith(x) for x in v]),
-    "contains": lambda c, v: any_of([c.contains(x) for x in v]),
-    "regex": lambda c, v: any_of([c.rlike(x) for x in v]),
-    **{n: number_test(n) for n in ("gt", "lt", "gte", "lte")},
-    "in_cidr": in_cidr,
-    "not_in_cidr": lambda c, v: ipv4_number(c).isNotNull() & ~in_cidr(c, v),
+#: Of a value's column and a condition's values: the SQL test.
+TEXT_TESTS: dict[str, Callable[[str, tuple], str]] = {
+    "in": lambda x, v: f"{x} IN ({', '.join(map(quoted, v))})" if v else "false",
+    "not_in": lambda x, v: f"{x} NOT IN ({', '.join(map(quoted, v))})" if v else f"{x} IS NOT NULL",
+    "equals": lambda x, v: f"{x} = {quoted(v[0])}" if v else "false",
+    "not_equals": lambda x, v: f"{x} <> {quoted(v[0])}" if v else f"{x} IS NOT NULL",
+    "prefix": lambda x, v: any_text([f"startswith({x}, {quoted(p)})" for p in v]),
+    "not_prefix": lambda x, v: f"NOT {any_text([f'startswith({x}, {quoted(p)})' for p in v])}",
+    "suffix": lambda x, v: any_text([f"endswith({x}, {quoted(p)})" for p in v]),
+    "not_suffix": lambda x, v: f"NOT {any_text([f'endswith({x}, {quoted(p)})' for p in v])}",
+    "contains": lambda x, v: any_text([f"contains({x}, {quoted(p)})" for p in v]),
+    "regex": lambda x, v: any_text([f"{x} RLIKE {quoted(p)}" for p in v]),
 }
+NUMBER_TESTS = {n: compared(sign) for n, sign in (("gt", ">"), ("lt", "<"), ("gte", ">="), ("lte", "<="))}
+OPERATORS = {*TEXT_TESTS, *NUMBER_TESTS, "in_cidr", "not_in_cidr"}
+
 
+def in_networks(four: str, six: str, values: tuple) -> str:
+    """IPv4 networks hold IPv4 addresses, IPv6 networks IPv6 addresses; false for what isn't an address. What isn't a network holds nothing."""
+    bounds = [(cidr_bounds(v), ":" in v) for v in values if is_network(v)]
+    return any_text([f"coalesce({six} BETWEEN '{low:032x}' AND '{high:032x}', false)" if wide else f"coalesce({four} BETWEEN {low} AND {high}, false)" for (low, high), wide in bounds])
 
-def compile_condition(c: Condition, fields: Mapping[str, Column]) -> Column:
-    op = ALIASES.get(c.op.lower(), c.op.lower())
+
+def condition_text(c: Condition, at: Resolved) -> str:
+    op, values = ALIASES.get(c.op.lower(), c.op.lower()), tuple(map(str, c.values))
     if op in ("caps_gained", "caps_dropped"):
-        old, new = fields.get("old_caps"), fields.get("new_caps")
-        if old is None or new is None:
-            return F.lit(False)
-        bits = new.bitwiseAND(F.bitwise_not(old)) if op == "caps_gained" else old.bitwiseAND(F.bitwise_not(new))
-        return F.coalesce(bits.bitwiseAND(F.lit(mask_of(c.values))) != 0, F.lit(False))
-    if c.field not in fields or op not in OPERATORS:
-        return F.lit(False)
-    value = fields[c.field]
-    text = value.cast("string")
-    hit = OPERATORS[op](value if op in ("gt", "lt", "gte", "lte") else text, tuple(map(str, c.values)))
-    if op not in EMPTY_OK:
-        hit = hit & (text != "")
-    return F.coalesce(hit, F.lit(False))
-
-
-def compile_group(g: Condition | Group, fields: Mapping[str, Column]) -> Column:
+        if "old_caps" not in at.fields or "new_caps" not in at.fields:
+            return "false"
+        old, new = at.long("old_caps"), at.long("new_caps")
+        bits = f"{new} & ~{old}" if op == "caps_gained" else f"{old} & ~{new}"
+        return f"coalesce(({bits} & {mask_of(c.values)}L) <> 0, false)"
+    if c.field not in at.fields or op not in OPERATORS:
+        return "false"
+    x = at.text(c.field)
+    if op in ("in_cidr", "not_in_cidr"):
+        four, six = at.ipv4(c.field), at.ipv6(c.field)
+        inside = in_networks(four, six, values)
+        hit = inside if op == "in_cidr" else f"({four} IS NOT NULL OR {six} IS NOT NULL) AND NOT {inside}"
+    else:
+        hit = NUMBER_TESTS[op](at.number(c.field), values) if op in NUMBER_TESTS else TEXT_TESTS[op](x, values)
+    return f"coalesce({hit}, false)" if op in EMPTY_OK else f"coalesce({hit} AND {x} <> '', false)"
+
+
+def group_text(g: Condition | Group, at: Resolved) -> str:
     if isinstance(g, Condition):
-        return compile_condition(g, fields)
-    parts = [compile_group(x, fields) for x in (*g.conditions, *g.groups)]
-    if not parts:
+        return condition_text(g, at)
+    parts = [group_text(x, at) for x in (*g.conditions, *g.groups)]
+    return "(" + (" OR " if g.operator.lower() == "or" else " AND ").join(parts) + ")" if parts else "true"
+
+
+def rule_text(rule: Rule, at: Resolved) -> str:
+    return " AND ".join([group_text(rule.when, at), *[f"NOT {group_text(x, at)}" for x in rule.exceptions]])
+
+
+def wrong_pattern(pattern: str) -> str:
+    """What keeps a pattern from use, empty if nothing; compiled by the engine that will run it, if one is up."""
+    if len(pattern.encode()) > MAX_PATTERN:
+        return f"pattern over {MAX_PATTERN} bytes"
+    if spark := SparkSession.getActiveSession():
+        try:
+            spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        except Exception:  # noqa: BLE001  whatever the engine raises
+            return f"no pattern: {pattern}"
+    return ""
+
+
+def fnv1(data: list[Column]) -> Column:
+    """FNV-1 in 32 bits of bytes (columns of 0 to 255)."""
+    out = F.lit(2166136261).cast("long")
+    for byte in data:
+        out = (out * 16777619).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(byte.cast("long"))
+    return out
+
+
+def sampled(rule: Rule, pid: Column, ts: Column, seed: int = 7) -> Column:
+    """Whether the rule looks at an event: all of a process within about a second alike (hash_pid), or each by chance (random)."""
+    if rule.rate >= 1:
         return F.lit(True)
-    return reduce((lambda a, b: a | b) if g.operator.lower() == "or" else (lambda a, b: a & b), parts)
+    if rule.sampling == "random":
+        return F.rand(seed) < rule.rate
+    pid, tick = pid.cast("long"), F.shiftright(F.unix_micros(ts.cast("timestamp")) * 1000, 30)
+    data = [F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)) for x, n in ((pid, 4), (tick, 8)) for i in range(n)]
+    return fnv1(data) % 1000 < rule.rate * 1000
 
 
-def compile_rule(rule: Rule, fields: Mapping[str, Column]) -> Column:
-    hit = compile_group(rule.when, fields)
-    for exception in rule.exceptions:
-        hit = hit & ~compile_group(exception, fields)
-    return hit
+def one_in(events: DataFrame, n: int, keys: list[str], tie: str = "event_id") -> DataFrame:
+    """The first of every ``n`` events of a key, in order of time."""
+    w = Window.partitionBy(*keys).orderBy("ts", tie)
+    return events.withColumn("__r", F.row_number().over(w)).where(F.col("__r") % n == 1 % n).drop("__r")
 
 
 def problems(rules: list[Rule], fields: Mapping[str, set[str]]) -> list[str]:
@@ -150,8 +234,12 @@ def problems(rules: list[Rule], fields: Mapping[str, set[str]]) -> list[str]:
                 out.append(f"{r.id}: unknown operator {c.op}")
             elif op not in ("caps_gained", "caps_dropped") and c.field not in fields[r.event_type]:
                 out.append(f"{r.id}: unknown field {c.field}")
-            if op == "regex" and any(len(str(v).encode()) > MAX_PATTERN for v in c.values):
-                out.append(f"{r.id}: pattern over {MAX_PATTERN} bytes")
+            if op == "regex":
+                out += [f"{r.id}: {what}" for v in c.values if (what := wrong_pattern(str(v)))]
+            if op in ("in_cidr", "not_in_cidr"):
+                out += [f"{r.id}: {v} is no network" for v in c.values if not is_network(str(v))]
+                if c.field not in CIDR_FIELDS and c.field in fields[r.event_type]:
+                    out.append(f"{r.id}: {c.field} holds no addresses")
     return out
 
 
@@ -161,19 +249,31 @@ def overlay(rules: list[Rule], tuning: Mapping[str, list]) -> tuple[list[Rule],
     return [replace(r, exceptions=(*r.exceptions, *tuning.get(r.id, ()))) for r in rules], sorted(set(tuning) - known)
 
 
-def evaluate(events: DataFrame, rules: list[Rule], fields: Mapping[str, Column], type_col: str = "event_type") -> DataFrame:
-    """One row per event and matching rule, in rule order: the event's columns, rule_id, severity, action. One pass, no join."""
+def evaluate(events: DataFrame, rules: list[Rule], fields: Mapping[str, Column] | Mapping[str, Mapping[str, Column]], type_col: str = "event_type", pid: str = "pid") -> DataFrame:
+    """One row per event and matching rule, in rule order: the event's columns, rule_id, severity, action. One pass, no join.
+    fields: columns by name, or by event type and name."""
     by_type: dict[str, list[Rule]] = {}
     for r in rules:
         if r.action != "drop":
             by_type.setdefault(r.event_type, []).append(r)
-    none = F.array().cast("array<struct<rule_id:string,severity:string,action:string>>")
-    hits = none
-    for kind, own in by_type.items():
-        found = F.array(*[F.when(compile_rule(r, fields), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.action).alias("action"))) for r in own])
-        hits = F.when(F.col(type_col) == kind, F.filter(found, lambda x: x.isNotNull())).otherwise(hits)
-    rows = events.where(F.col(type_col).isin(list(by_type))) if by_type else events.where("false")
-    return rows.withColumn("__hit", F.explode(hits)).select(*events.columns, "__hit.*")
+    if not by_type:
+        return events.where("false").select("*", *[F.lit("").alias(c) for c in ("rule_id", "severity", "action")])
+    nested = bool(fields) and isinstance(next(iter(fields.values())), Mapping)
+    columns, branches, listed = {}, [], []
+    for i, (kind, own) in enumerate(by_type.items()):
+        at = Resolved(fields.get(kind, {}) if nested else fields, f"__r{i}_")
+        hits = []
+        for r in own:
+            chosen = "" if r.rate >= 1 else f" AND {at.name(f'sampled {r.sampling} {r.rate}', lambda r=r: sampled(r, F.col(pid), F.col('ts')))}"
+            hits.append(f"IF({rule_text(r, at)}{chosen}, {len(listed)}, NULL)")
+            listed.append(r)
+        columns |= at.columns()
+        branches.append(f"WHEN {quoted(kind)} THEN array_compact(array({', '.join(hits)}))")
+    rows = events.where(F.col(type_col).isin(list(by_type))).withColumns(columns)
+    # outer: a plain explode makes the planner infer a filter that would test every rule twice
+    rows = rows.withColumn("__hit", F.explode_outer(F.expr(f"CASE `{type_col}` {' '.join(branches)} END"))).where("__hit is not null")
+    said = [F.expr(f"element_at(array({', '.join(quoted(getattr(r, x)) for r in listed)}), __hit + 1)").alias(y) for x, y in (("id", "rule_id"), ("severity", "severity"), ("action", "action"))]
+    return rows.select(*events.columns, *said)
 
 
 def canary_rules(paths: list[str]) -> list[Rule]:

@@ -138,7 +138,7 @@ def recent_events(spark, sf):
 @query(f"WITH {EVENTS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY event_type, k % 4, user_id ORDER BY ts, event_id) AS r FROM e) SELECT event_id, r = 1 AS is_new FROM f")
 def first_seen(spark, sf):
     rows = events(spark, sf).withColumn("ns", F.col("k") % 4)
-    return bh.first_seen(rows, ["event_type", "ns"], "user_id", cap=1 << 30).select("event_id", "is_new")
+    return bh.first_seen(rows, ["event_type", "ns"], "user_id", cap=None).select("event_id", "is_new")
 
 
 @query(f"WITH {EVENTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY event_type, k ORDER BY ts, event_id) AS r, min((ts, event_id)) OVER (PARTITION BY event_type, k) AS o FROM e), c AS (SELECT *, dense_rank() OVER (PARTITION BY event_type ORDER BY o) AS d FROM n) SELECT event_id, CASE WHEN r = 1 OR d > 40 THEN 1.0 ELSE 0.0 END AS score FROM c")
@@ -237,10 +237,10 @@ def amplification(spark, sf):
     return lk.least_multiplier(rows, signals, "event_id").select("event_id", F.round("multiplier", 3).alias("multiplier"))
 
 
-@query("SELECT user_id, min(ts) AS first_seen FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 30) GROUP BY 1")
+@query("SELECT user_id, min(ts) AS first_seen FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 150) GROUP BY 1")
 def hidden_processes(spark, sf):
     rows = events(spark, sf)
-    return lk.hidden(rows, rows.where("event_type = 'signup' and value > 30"), "user_id")
+    return lk.hidden(rows, rows.where("event_type = 'signup' and value > 150"), "user_id")
 
 
 @query("WITH RECURSIVE p AS (SELECT c_custkey AS pid, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS ppid FROM customer), t AS (SELECT pid, ppid AS ancestor, 1 AS level FROM p WHERE ppid IS NOT NULL UNION ALL SELECT t.pid, p.ppid, level + 1 FROM t JOIN p ON p.pid = t.ancestor WHERE p.ppid IS NOT NULL AND level < 5) SELECT * FROM t")
@@ -270,9 +270,12 @@ def path_features(spark, sf):
     return domains(spark, sf).select("page_id", fn.path_prefix(p).alias("prefix"), fn.profile_directory(p).alias("directory"), fn.profile_extension(p).alias("extension"))
 
 
-@query(ALERTS_SQL + " SELECT event_id, rule_id, sha256('[\"' || rule_id || '\",\"' || pid || '\",\"' || comm || '\"]') AS fingerprint FROM alerts")
+@query(ALERTS_SQL + """ SELECT event_id, rule_id, sha256('{"id":"a' || event_id || '","ts":' || (epoch_us(ts) * 1000) || ',"rule_id":"' || rule_id || '","severity":"' || severity || '","pid":' || pid || ',"comm":"' || comm || '","msg":"\\u003ck\\u003e ' || k || '"' || CASE WHEN k % 2 = 0 THEN '' ELSE ',"ns":"n' || k || '"' END || '}') AS fingerprint FROM alerts""")
 def alert_fingerprints(spark, sf):
-    return alerts(spark, sf).select("event_id", "rule_id", fn.alert_fingerprint(F.col("rule_id"), F.col("pid"), F.col("comm")).alias("fingerprint"))
+    c, ns = F.col, F.when(F.col("k") % 2 == 0, "").otherwise(F.concat(F.lit("n"), F.col("k").cast("string")))
+    text = F.concat(F.lit("<k> "), c("k").cast("string"))
+    found = fn.alert_fingerprint(F.concat(F.lit("a"), c("event_id").cast("string")), c("ts"), c("rule_id"), c("severity"), c("pid"), c("comm"), text, F.lit(""), ns)
+    return alerts(spark, sf).select("event_id", "rule_id", found.alias("fingerprint"))
 
 
 @query(ALERTS_SQL + " SELECT 'CEF:0|argusframe|events|1.0|' || rule_id || '|' || comm || '|' || CASE severity WHEN 'critical' THEN '10' WHEN 'warning' THEN '5' ELSE '4' END || '|pid=' || pid AS line FROM alerts")
@@ -292,26 +295,34 @@ def text_predicates(spark, sf):
     return table(spark, sf, "documents").select("doc_id", t.rlike("(?i)[a-z0-9.]+@[a-z0-9.-]+").alias("has_mail"), t.contains("|").alias("has_pipe"), t.startswith("The").alias("has_start"))
 
 
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2 HAVING count(DISTINCT user_id) > 50")
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2 HAVING count(DISTINCT user_id) > ceil(0.03 * 86400 / 60)")
 def unique_rate(spark, sf):
-    rows = events(spark, sf).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count_distinct("user_id").alias("n"))
-    return rows.where("n > 50").select(F.col("window.start").alias("day"), "event_type", "n")
+    return bh.unique_rate(events(spark, sf), "event_type", "user_id", 86400, 0.03)
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT event_id, event_type, epoch_us(ts) / 1e6 AS s, user_id || '/' || k AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM e),
+ r AS (SELECT event_type, n, event_id, TRUE AS ok, [{{'s': s, 'key': key}}] AS log FROM o WHERE n = 1
+ UNION ALL SELECT event_type, n, event_id, ok, CASE WHEN ok THEN list_append(log, {{'s': s, 'key': key}}) ELSE log END FROM (SELECT *, len(list_filter(log, lambda x: x.key = key AND x.s > s - 21600)) = 0 AND len(log) < 10 AS ok FROM (SELECT o.*, list_filter(r.log, lambda x: x.s >= o.s - 43200) AS log FROM r JOIN o ON o.event_type = r.event_type AND o.n = r.n + 1)))
+ SELECT event_id, event_type FROM r WHERE ok""")
 def dedup_rate_limit(spark, sf):
     rows = events(spark, sf)
     return bh.limited(rows, "event_type", ["user_id", "k"], dedup_s=6 * 3600, rate=10, rate_s=12 * 3600).select("event_id", "event_type")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM e), j AS (SELECT o.user_id, o.event_type, o.i, o.ts, count(*) AS n, max(x.ts) AS last_seen FROM o JOIN o x ON x.user_id = o.user_id AND x.event_type = o.event_type AND x.i >= o.i AND x.ts <= o.ts + INTERVAL 24 HOUR GROUP BY ALL),
+ r AS (SELECT * FROM j WHERE i = 1 UNION ALL SELECT j.* FROM r JOIN j ON j.user_id = r.user_id AND j.event_type = r.event_type AND j.i = r.i + r.n) SELECT user_id, event_type, ts AS first_seen, last_seen, n FROM r""")
 def alert_aggregation(spark, sf):
-    return bh.aggregated(events(spark, sf), ["user_id", "event_type"], 24 * 3600)
+    found = bh.aggregated(events(spark, sf), ["user_id", "event_type"], 24 * 3600)
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import detection, formats  # noqa: F401  they register theirs
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import detection, formats  # noqa: F401
+
     return dict(ORACLES)

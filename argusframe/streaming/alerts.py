@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import behaviour, rules
@@ -17,37 +19,42 @@ def stream_alerts(events: DataFrame, own: list[rules.Rule], fields: Mapping[str,
 
 def stream_incidents(alerts: DataFrame, keys: list[str], gap: str = "60 seconds") -> DataFrame:
     """As in batch; a session is emitted when the watermark has passed its end. alerts: with a watermark on ts."""
-    return behaviour.incidents(alerts, keys, gap) if not alerts.isStreaming else _sessions(alerts, keys, gap)
+    if not alerts.isStreaming:
+        return behaviour.incidents(alerts, keys, gap)
+    rank = F.when(F.col("severity") == "critical", 2).when(F.col("severity") == "warning", 1).otherwise(0)
+    grouped = alerts.groupBy(*keys, F.session_window("ts", gap).alias("w"))  # distinct counts don't stream, sets do
+    return grouped.agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n"), F.max_by("severity", rank).alias("severity"), F.size(F.collect_set("rule_id")).cast("long").alias("n_rules")).drop("w")
 
 
-def _sessions(alerts: DataFrame, keys: list[str], gap: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    grouped = alerts.groupBy(*keys, F.session_window("ts", gap).alias("w"))
-    return grouped.agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n"))
-
-
-def stream_limited(alerts: DataFrame, rule: str, key: str, dedup_s: float = behaviour.DEDUP_S, rate: int = behaviour.RATE, rate_s: float = behaviour.RATE_S, tie: str = "event_id") -> DataFrame:
-    """The coupled dedup and rate limit: state per rule is the admitted alerts that can still matter."""
-    schema, names = alerts.schema, alerts.columns
+def stream_limited(alerts: DataFrame, rule: str, keys: str | list[str], dedup_s: float = behaviour.DEDUP_S, rate: int = behaviour.RATE, rate_s: float = behaviour.RATE_S, tie: str = "event_id") -> DataFrame:
+    """The coupled dedup and rate limit: a rule's state is the admitted alerts that can still matter. With a watermark on ts, rows behind it are
+    left out and the state of a rule that is silent for longer than both windows goes; without one it stays."""
+    schema, names, keys = alerts.schema, alerts.columns, [keys] if isinstance(keys, str) else keys
+    keep_s, marked = max(rate_s, dedup_s), "EventTimeWatermark" in alerts._jdf.queryExecution().analyzed().toString()
 
     def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (held,) = state.get if state.exists else ("",)
-        kept = [tuple(x.split("\t", 1)) for x in held.split("\n") if x]
-        last = {k: float(t) for t, k in kept}
-        log = [float(t) for t, _ in kept]
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at_held, key_held = state.get if state.exists else ([], [])
+        limiter = behaviour.Limiter(dedup_s, rate, rate_s)
+        for at, key in zip(at_held, key_held, strict=True):
+            limiter.last[key] = at
+            limiter.log.append(at)
+        kept = list(zip(at_held, key_held, strict=True))
         new = pd.concat(list(batches)).sort_values(["ts", tie], kind="stable")
         admitted, at = [], 0.0
-        for t, k in zip(new["ts"], new[key].astype(str), strict=True):
+        for t, key in zip(new["ts"], [json.dumps(x) for x in new[keys].astype(str).values.tolist()], strict=True):
             at = t.value / 1e9
-            log = [x for x in log if x >= at - rate_s]
-            ok = not (k in last and last[k] > at - dedup_s) and len(log) < rate
+            ok = limiter.admit(at, key)
             if ok:
-                last[k] = at
-                log.append(at)
-                kept.append((repr(at), k))
+                kept.append((at, key))
             admitted.append(ok)
-        state.update(("\n".join(f"{t}\t{k}" for t, k in kept if float(t) >= at - max(rate_s, dedup_s)),))
+        kept = [(t, key) for t, key in kept if t >= at - keep_s]
+        state.update(([t for t, _ in kept], [key for _, key in kept]))
+        if marked:
+            state.setTimeoutTimestamp(max(int((at + keep_s) * 1000), state.getCurrentWatermarkMs() + 1))
         yield new[admitted][names]
 
-    return alerts.groupBy(rule).applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if marked else GroupStateTimeout.NoTimeout
+    return alerts.groupBy(rule).applyInPandasWithState(run, schema, "at array<double>, key array<string>", "append", timeout)
