@@ -97,6 +97,25 @@ def test_packing(spark, small, awkward, empty):
     assert packing.pack(empty, queries.vocabulary()).count() == 0
 
 
+def test_packing_instruction_data(spark):
+    """Prompts bear no loss: the loss limit binds before the token limit, and loss tokens are the answers' and end ids."""
+    from tokenizers import Tokenizer
+
+    tool, r = Tokenizer.from_file(queries.vocabulary()), random.Random(1)
+    words = lambda n: " ".join(r.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(n))
+    rows = [(i, words(r.randint(0, 40)), words(r.randint(0, 60))) for i in range(80)] + [(100, None, None), (101, "only a prompt", None)]
+    size = lambda t: len(tool.encode(t or "", add_special_tokens=False).ids)
+    limits = packing.Limits(tokens=128, segments=4, loss=64)
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, prompt string, text string"), queries.vocabulary(), limits, prompt_col="prompt").collect()
+    lengths, losses, sequences = defaultdict(int), defaultdict(int), defaultdict(list)
+    for x in found:
+        lengths[x.doc_id] += x.length
+        losses[x.doc_id] += x.loss_tokens
+        sequences[x.sequence_id].append(x)
+    assert dict(lengths) == {i: size(p) + size(t) + 1 for i, p, t in rows} and dict(losses) == {i: size(t) + 1 for i, p, t in rows}
+    assert all(sum(x.length for x in q) <= 128 and len(q) <= 4 and sum(x.loss_tokens for x in q) <= 64 for q in sequences.values())
+
+
 def test_packing_takes_the_largest_dot_product():
     packer = packing.Packer(packing.Limits(10, 8, 10))
     for example, n in enumerate((4, 6, 3, 7)):
@@ -167,10 +186,23 @@ def test_fingerprint(spark, small, awkward, empty):
             errors.append(abs(found[i][name] - len(shingles[0] & other) / len(shingles[0] | other)))
     assert np.mean(errors) < 0.05
     rows = fingerprint.fingerprint_edits(awkward).collect()
-    assert len(rows) == len(TEXTS) + 1 and {len(r.text_sketch) == 0 for r in rows if not (TEXTS[r.doc_id] or "").strip()} == {True}
+    assert len(rows) == len(TEXTS) + 1 and {len(r.text_sketch.low) == 0 and r.text_sketch.least is None for r in rows if not (TEXTS[r.doc_id] or "").strip()} == {True}
     assert fingerprint.fingerprint_edits(empty).count() == 0
 
 
+def test_fingerprint_merges(spark):
+    """Sketches of parts merge into the sketch of the whole at any scale, and containment of a short part in a long text is near 1."""
+    r = random.Random(3)
+    words = [f"w{r.randrange(10**6)}" for _ in range(6000)]
+    cut = [" ".join(words[a:b]) for a, b in ((0, 6000), (0, 3000), (2996, 6000), (1000, 1400), (7, 12), (2000, 2005))]
+    row = spark.createDataFrame([tuple(cut)], "whole string, one string, two string, part string, five string, other string")
+    for scale in (4, 10**6):
+        of = {c: fingerprint.sketch(F.col(c), scale=scale) for c in row.columns}
+        found = row.select(fingerprint.merge(of["one"], of["two"]).alias("m"), of["whole"].alias("w"), fingerprint.merge(of["five"], of["other"]).alias("f"), fingerprint.containment(of["part"], of["whole"]).alias("c"), fingerprint.containment(of["five"], of["other"]).alias("n")).first()
+        assert found.m == found.w and found.n == 0.0 and (scale > 4 or found.c == 1.0)
+        assert all(x < 2**63 // scale for x in found.f.low)
+
+
 def test_word_hashes_of_regular_words(spark):
     """A long regular word and its complement, whose polynomial hashes agree modulo 2**64, are different words."""
     one = "a"
