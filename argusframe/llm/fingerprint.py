@@ -72,8 +72,8 @@ def merge(a: Column, b: Column) -> Column:
     return F.struct(F.array_sort(F.array_union(a["low"], b["low"])).alias("low"), F.least(a["least"], b["least"]).alias("least"))
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str], buckets: int, descending: bool = True) -> DataFrame:
-    """Adds to each row, as next_<column>, the columns of the next row by id; the first row follows the last one.
+def with_next(docs: DataFrame, id_col: str, tie: str, made: dict[str, Column], buckets: int, descending: bool = True) -> DataFrame:
+    """Adds to each row the columns ``made`` and, as next_<column>, these and ``tie`` of the next row by id; the first row follows the last one.
 
     Rows are dealt into buckets of neighbouring ids at cut points from a quantile sketch. The first row of each
     bucket is copied to the end of the bucket before it, so each bucket finds its rows' successors by itself."""
@@ -85,11 +85,11 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], buckets: int, de
     rows = rows.withColumn("__bucket", bucket_of(F.col("__key"), cuts))
     heads = sorted((r["b"], r["k"]) for r in rows.groupBy(F.col("__bucket").alias("b")).agg(F.min("__key").alias("k")).collect())  # at most MOST_BUCKETS rows
     goes = spark.createDataFrame([(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)], "__key long, __to int")
-    ties = Window.partitionBy("__bucket").orderBy("__ghost", "__key", *columns)
+    ties = Window.partitionBy("__bucket").orderBy("__ghost", "__key", tie)
     ghosts = rows.join(F.broadcast(goes), "__key").withColumns({"__bucket": F.col("__to"), "__ghost": F.lit(1)}).drop("__to")
-    both = rows.withColumn("__ghost", F.lit(0)).unionByName(ghosts)
+    both = rows.withColumn("__ghost", F.lit(0)).unionByName(ghosts).withColumns(made)
     # plain columns, not a struct of them: a struct would go through the shuffle beside what it is made of
-    both = both.withColumns({f"next_{c}": F.lead(c).over(ties) for c in columns})
+    both = both.withColumns({f"next_{c}": F.lead(c).over(ties) for c in (tie, *made)})
     return both.where("__ghost = 0").drop("__key", "__bucket", "__ghost")
 
 
@@ -97,8 +97,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Sketches of every text and of its edited text: its last third replaced by the beginning of the next document's."""
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    rows = rows.withColumn("sketch", sketch(F.col("text"), k, scale))
-    rows = with_next(rows, id_col, ["text", "sketch"], max(8 * partitions(docs.sparkSession), size // BUCKET_BYTES))
+    rows = with_next(rows, id_col, "text", {"sketch": sketch(F.col("text"), k, scale)}, max(8 * partitions(docs.sparkSession), size // BUCKET_BYTES))
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.substr(F.col("text"), F.lit(1), n - cut), F.substr(F.col("next_text"), F.lit(1), cut))
