@@ -205,10 +205,10 @@ def network_ranges(spark, sf):
     return lk.in_ranges(rows, F.col("ip"), spark.createDataFrame(nets, "lo long, hi long"))
 
 
-@query(DOMAINS_SQL + ", l AS (SELECT DISTINCT qname AS x FROM d WHERE page_id % 50 = 0 UNION SELECT 'example.org') SELECT page_id FROM d WHERE EXISTS (SELECT 1 FROM l WHERE qname = x OR ends_with(qname, '.' || x))")
+@query(DOMAINS_SQL + ", l AS (SELECT DISTINCT qname AS x FROM d WHERE ends_with(qname, '.net') AND starts_with(path, '/de/') UNION SELECT 'example.org') SELECT page_id FROM d WHERE EXISTS (SELECT 1 FROM l WHERE qname = x OR ends_with(qname, '.' || x))")
 def domain_suffixes(spark, sf):
     rows = domains(spark, sf)
-    listed = rows.where("page_id % 50 = 0").select(F.col("qname").alias("domain")).union(spark.createDataFrame([("example.org",)], "domain string"))
+    listed = rows.where("endswith(qname, '.net') and startswith(path, '/de/')").select(F.col("qname").alias("domain")).union(spark.createDataFrame([("example.org",)], "domain string"))
     return lk.match_domains(rows, "qname", listed, "page_id").select("page_id")
 
 
