@@ -177,3 +177,23 @@ def test_pipeline(spark):
             assert {r.doc_id for r in rows} == {b for _, b in components([(r.doc_id, r.text) for r in before], 5, 80).values()}
         docs = spark.createDataFrame(rows, after.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
+def test_pipeline_awkward(spark):
+    """Nulls in every column, empty texts, repeated rows, columns named like results, and empty tables go through each stage."""
+    sf, r = "/root/testdata/sf0.001", random.Random(12)
+    text = " ".join(r.choice("the of and to in is that it for on with as are this be by".split()) for _ in range(400))
+    rows = [(1, text, "en", "a", 5, 0.1, 7), (1, text, "en", "a", 5, 0.1, 7), (2, text, None, None, None, None, None), (3, None, "en", "a", 0, 0.9, 1), (4, "", "en", "a", 0, 0.9, 1), (None, text + " end", "en", "a", 1, 0.2, 2), (6, text + " x", "de", "b", 1, 0.2, 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, component_id long"
+    full = spark.createDataFrame(rows, schema)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after, empty = stage(spark, full, sf), stage(spark, full.where("false"), sf)
+        assert after.columns == full.columns == empty.columns and empty.count() == 0
+        left[name] = sorted((x.doc_id or 0, x.text or "", x.score or 0) for x in after.collect())
+    assert set(left["quality"]) <= {(x[0] or 0, x[1] or "", x[5] or 0) for x in rows}
+    assert left["exact"] == sorted([(0, text + " end", 0.2), (1, text, 0.1), (3, "", 0.9), (6, text + " x", 0.2)])
+    assert left["ngram"] == sorted([(0, text + " end", 0.2), (1, text, 0.1), (1, text, 0.1), (3, "", 0.9), (4, "", 0.9)])
+    assert [x[:2] for x in left["suffix"]] == sorted([(0, text + " end"), (1, text), (1, text), (3, ""), (4, ""), (6, " x")])
+    pack = corpus_pipeline.STAGES[-1][1]
+    assert pack(spark, full, sf).select("doc_id").distinct().count() == 6 and pack(spark, full.where("false"), sf).count() == 0
