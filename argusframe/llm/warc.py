@@ -1,7 +1,7 @@
 """Deterministic sharded WARC writer and reader.
 
-Rows are range-sorted by id into shards (cut points from a quantile sketch, or given). A shard's writer rolls to a new file
-whenever the compressed size passes ``roll_bytes``. Headers and digests are generated anew from the payload, records are
+Rows are range-sorted by id into shards (cut points from a quantile sketch, as many as the table's bytes ask for, or given),
+and each shard is one task of its own. A shard's writer rolls to a new file whenever the compressed size passes ``roll_bytes``. Headers and digests are generated anew from the payload, records are
 gzip members of their own with no time stamp, so equal input and cut points give equal bytes. Each file is written
 under a temporary name, renamed when complete, and listed in a manifest that Spark commits; only listed files count,
 so what a lost executor or a second attempt leaves behind is never read.
@@ -29,6 +29,10 @@ from . import exact
 from .common import bucket_of, id_bounds, partitions, small_batches
 
 ROLL_BYTES = 32 << 20
+#: Payload bytes of a shard, at most, where rows are of like size; there are at least as many shards as shuffle partitions.
+SHARD_BYTES = 256 << 20
+#: Files that a reading task takes, on average.
+FILES_A_TASK = 4
 #: The date of every record (WARC needs one, pages have none).
 DATE = "1970-01-01T00:00:00Z"
 MANIFEST = "file string, bytes long, records long, first_id long, last_id long, sha256 string"
@@ -95,13 +99,15 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     if bounds is None:
-        bounds = id_bounds(rows, "page_id", partitions(spark))
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
+        bounds = id_bounds(rows, "page_id", max(partitions(spark), size // SHARD_BYTES))
     digests = rows.select("page_id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").cast("long").alias("bytes"))
     found = exact.assign(digests, F.col("page_id"), ["sha", "bytes"], "min").where((F.col("__keep") < F.col("page_id")) & (F.col("bytes") >= least_bytes))
     verdicts = found.groupBy("page_id", "sha").agg(F.min("__keep").alias("refers_to"))
     # verdicts sort before the pages they belong to, so each shard needs one exchange and no join
     both = rows.withColumns({"sha": F.unhex(F.sha1("html")), "refers_to": F.lit(None).cast("long")}).unionByName(verdicts.withColumns({"url": F.lit(None).cast("string"), "html": F.lit(None).cast("string")}))
-    both = both.withColumn("shard", bucket_of(F.col("page_id"), bounds).cast("int")).repartition("shard")
+    both = both.withColumn("shard", bucket_of(F.col("page_id"), bounds).cast("int"))
+    both = both.repartitionById(len(bounds) + 1, "shard")  # not by hash, which would put several shards into one task
     both = both.sortWithinPartitions("shard", "page_id", F.col("html").isNotNull(), "sha", "url").select("shard", "page_id", "sha", "refers_to", "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +164,7 @@ def parse_record(raw: bytes) -> tuple:
 def read_archive(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """The records of the files in the manifest, with their digests verified; payload is null unless asked for."""
     manifest = spark.read.parquet(f"{path}/manifest")
-    files = manifest.select("file").repartition(max(1, partitions(spark)), "file")
+    files = manifest.select("file").repartition(max(1, partitions(spark), manifest.count() // FILES_A_TASK), "file")
     names = [x.split()[0] for x in RECORD.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
