@@ -127,6 +127,12 @@ def syslog_lines(spark, sf):
     return rows.select("event_id", "rule_id", lines.rfc5424(rows, "host").alias("line"))
 
 
+@query(ALERTS_SQL + ", " + POD_SQL + r""" SELECT event_id, rule_id, 'CEF:0|argusframe|argusframe|1.0|' || rule_id || '|Rule ' || rule_id || '|' || CASE severity WHEN 'critical' THEN 10 ELSE 4 END || '|rt=' || strftime(ts, '%b %d %Y %H:%M:%S') || ' suser=' || comm || ' spid=' || pid || ' cs1Label=rule_id cs1=' || rule_id || CASE WHEN pod THEN ' cs2Label=pod cs2=p' || k || ' cs3Label=namespace cs3=ns' ELSE '' END || CASE WHEN k % 5 = 0 THEN ' cs4Label=trace_id cs4=t1' ELSE '' END || ' msg=' || msg AS line FROM n""")
+def cef_event_lines(spark, sf):
+    rows = named_alerts(spark, sf)
+    return rows.select("event_id", "rule_id", lines.cef_event(rows).alias("line"))
+
+
 @query(ALERTS_SQL + ", " + POD_SQL + r""" SELECT event_id, rule_id, '{"labels":{"alertname":"ArgusframeAlert","rule_id":"' || rule_id || '","severity":"' || severity || '"' || CASE WHEN pod THEN ',"pod":"p' || k || '","namespace":"ns"' ELSE '' END || '},"annotations":{"summary":"Rule ' || rule_id || '","description":"m\"]' || k || CASE WHEN k % 5 = 0 THEN ' [trace_id: t1]' ELSE '' END || '"},"generatorURL":""}' AS line FROM n""")
 def alertmanager_lines(spark, sf):
     rows = named_alerts(spark, sf)

@@ -69,6 +69,28 @@ def rfc5424(alerts: DataFrame, host: str = "-", app: str = "argusframe", number:
     return F.concat(F.lit("<"), level.cast("string"), F.lit(">1 "), stamp(F.col("ts")), F.lit(f" {host} {app} - - "), data, F.lit(" "), plain(v("message")))
 
 
+def written_out(c: Column, marks: str) -> Column:
+    """Backslashes and the given marks escaped, line ends written out."""
+    c = F.regexp_replace(c, rf"([\\{marks}])", r"\\$1")
+    return F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def cef_event(alerts: DataFrame, vendor: str = "argusframe", product: str = "argusframe") -> Column:
+    """CEF as syslog receivers take it: labelled custom strings, severity 10 if critical or else 4; a rule without a name goes by its id."""
+    v, head = lambda n: value(alerts, n), lambda c: written_out(c, "|")
+    name = plain(v("rule_name"))
+    at = F.date_format(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()), "MMM dd yyyy HH:mm:ss")
+    custom = lambda i, label, c: F.concat(F.lit(f" cs{i}Label={label} cs{i}="), written_out(c, "="))
+    given = lambda test, *parts: F.when(test != "", F.concat(*parts)).otherwise("")
+    extension = F.concat(
+        F.lit("rt="), at, F.lit(" suser="), written_out(plain(v("comm")), "="), F.lit(" spid="), v("pid"), custom(1, "rule_id", v("rule_id")),
+        given(v("pod_name"), custom(2, "pod", v("pod_name")), custom(3, "namespace", v("namespace"))), given(v("trace_id"), custom(4, "trace_id", v("trace_id"))),
+        given(v("fingerprint"), custom(5, "fingerprint", v("fingerprint"))), F.lit(" msg="), written_out(plain(v("message")), "="),
+    )
+    level = mapped(v("severity"), {"critical": "10"}, "4")
+    return F.concat_ws("|", F.lit("CEF:0"), F.lit(vendor), F.lit(product), F.lit("1.0"), head(v("rule_id")), head(F.when(name != "", name).otherwise(v("rule_id"))), level, extension)
+
+
 def alertmanager_json(alerts: DataFrame, name: str = "ArgusframeAlert", url: str = "") -> Column:
     """{labels, annotations, generatorURL}; pod labels only with a pod or namespace."""
     v = lambda n: value(alerts, n)

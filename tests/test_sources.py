@@ -200,3 +200,12 @@ def test_streams(spark, tmp_path):
     assert sorted(map(key, spark.table("sessions").where("k <> 'end'").select("k", "first_seen", "last_seen", "n", "severity", "n_rules").collect())) == sorted(map(key, want))
     want = sorted(x.event_id for x in bh.limited(frame, "rule_id", ["k", "severity"]).collect())
     assert sorted(x.event_id for x in spark.table("admitted").where("k <> 'end'").collect()) == want
+
+
+def test_cef_event_escapes(spark):
+    from argusframe.sinks import lines
+
+    rows = spark.sql(r"""SELECT timestamp'2024-03-05 06:07:08' AS ts, 'r|1=\\' AS rule_id, CAST(null AS string) AS rule_name, 'critical' AS severity, 7 AS pid, 'c=\n' AS comm, 'a=b|c\\\r' AS message, 'f' AS fingerprint""")
+    assert rows.select(lines.cef_event(rows).alias("x")).first().x == (
+        r"CEF:0|argusframe|argusframe|1.0|r\|1=\\|r\|1=\\|10|rt=Mar 05 2024 06:07:08 suser=c\=  spid=7 cs1Label=rule_id cs1=r|1\=\\ cs5Label=fingerprint cs5=f msg=a\=b|c\\ "
+    )
