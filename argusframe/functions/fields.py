@@ -130,6 +130,11 @@ def ipv6_hex(ip: Column) -> Column:
     return F.when(ok, F.concat(joined(left), F.repeat(F.lit("0000"), 8 - F.size(given)), joined(right)))
 
 
+def mapped_ipv4(digits: Column) -> Column:
+    """The IPv4 address, as a number, that an IPv6 address of 32 hex digits stands for; null if it stands for none."""
+    return F.when(F.startswith(digits, F.lit("0" * 20 + "f" * 4)), F.conv(F.right(digits, F.lit(8)), 16, 10).cast("long"))
+
+
 def cidr_bounds(cidr: str) -> tuple[int, int]:
     """First and last address of an IPv4 network, as numbers."""
     import ipaddress

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import cidr_bounds, ipv4_number, ipv6_hex
+from ..functions.fields import cidr_bounds, host_of_url, ipv4_number, ipv6_hex, mapped_ipv4
 
 #: Linux capability names in bit order from 0 (fixed values).
 CAPABILITIES = """chown dac_override dac_read_search fowner fsetid kill setgid setuid setpcap linux_immutable net_bind_service net_broadcast
@@ -97,10 +97,13 @@ class Resolved:
         return self.name(f"long {f}", lambda: self.fields[f].cast("long"))
 
     def ipv4(self, f: str) -> str:
-        return self.name(f"ipv4 {f}", lambda: ipv4_number(self.fields[f].cast("string")))
+        ip = self.fields[f].cast("string")
+        mapped = lambda: F.when(F.contains(ip, F.lit(":")), mapped_ipv4(ipv6_hex(ip)))
+        return self.name(f"ipv4 {f}", lambda: F.coalesce(ipv4_number(ip), mapped()))
 
     def ipv6(self, f: str) -> str:
-        return self.name(f"ipv6 {f}", lambda: ipv6_hex(self.fields[f].cast("string")))
+        digits = ipv6_hex(self.fields[f].cast("string"))
+        return self.name(f"ipv6 {f}", lambda: F.when(mapped_ipv4(digits).isNull(), digits))
 
     def columns(self) -> dict[str, Column]:
         return dict(self.made.values())
@@ -138,9 +141,15 @@ OPERATORS = {*TEXT_TESTS, *NUMBER_TESTS, "in_cidr", "not_in_cidr"}
 
 
 def in_networks(four: str, six: str, values: tuple) -> str:
-    """IPv4 networks hold IPv4 addresses, IPv6 networks IPv6 addresses; false for what isn't an address. What isn't a network holds nothing."""
-    bounds = [(cidr_bounds(v), ":" in v) for v in values if is_network(v)]
-    return any_text([f"coalesce({six} BETWEEN '{low:032x}' AND '{high:032x}', false)" if wide else f"coalesce({four} BETWEEN {low} AND {high}, false)" for (low, high), wide in bounds])
+    """IPv4 networks hold IPv4 addresses, IPv6 networks IPv6 addresses; IPv4 written as IPv6 (::ffff:1.2.3.4) counts as IPv4 in both. False for
+    what isn't an address. What isn't a network holds nothing."""
+    tests = []
+    for low, high in [cidr_bounds(v) for v in values if is_network(v) and ":" not in v]:
+        tests.append(f"coalesce({four} BETWEEN {low} AND {high}, false)")
+    for low, high in [cidr_bounds(v) for v in values if is_network(v) and ":" in v]:
+        mapped = low >> 32 == 0xFFFF
+        tests.append(f"coalesce({four} BETWEEN {low & 0xFFFFFFFF} AND {high & 0xFFFFFFFF}, false)" if mapped else f"coalesce({six} BETWEEN '{low:032x}' AND '{high:032x}', false)")
+    return any_text(tests)
 
 
 def condition_text(c: Condition, at: Resolved) -> str:
@@ -278,3 +287,24 @@ def evaluate(events: DataFrame, rules: list[Rule], fields: Mapping[str, Column]
 
 def canary_rules(paths: list[str]) -> list[Rule]:
     return [Rule(f"canary_{i}", "file", Condition("filename", "equals", (p,)), "critical") for i, p in enumerate(paths)]
+
+
+def indicator_rules(indicators: DataFrame, source: str, most: int = 500, listed: int = 100_000) -> list[Rule]:
+    """Rules for a threat feed (type: ip, cidr, domain or url; value), ``most`` distinct values a rule in their order, numbered from 1 by type.
+    Rules are driver-side objects: a feed of more than ``listed`` values is refused, as lookups.match_indicators joins it at any size."""
+    kind = F.when(F.col("type").isin("domain", "url"), "domain").when(F.col("type").isin("ip", "cidr"), F.col("type"))
+    value = F.when(kind == "domain", host_of_url(F.col("value"))).otherwise(F.col("value"))
+    rows = indicators.select(kind.alias("kind"), value.alias("value")).where("kind is not null and value <> ''").distinct().limit(listed + 1).collect()
+    if len(rows) > listed:
+        raise ValueError(f"a feed of more than {listed} values makes no rules")
+    made = {
+        "ip": ("network", lambda v: Condition("daddr", "in", v)),
+        "cidr": ("network", lambda v: Group("or", tuple(Condition("daddr", "in_cidr", (x,)) for x in v))),
+        "domain": ("dns", lambda v: Condition("qname", "suffix", v)),
+    }
+    out = []
+    for name, (event_type, when) in made.items():
+        values = sorted(r.value for r in rows if r.kind == name)
+        for i, at in enumerate(range(0, len(values), most), 1):
+            out.append(Rule(f"feed_{source}_{name}_{i:03d}", event_type, when(tuple(values[at : at + most])), "critical", name=f"{source} {name} list, part {i}", tags=("feed", source)))
+    return out

@@ -41,6 +41,13 @@ def batch_writer(path: str, key: str = "id", order: str = "arrived"):
     return lambda batch, _: merge(batch, path, key, order)
 
 
+def delete(keys: DataFrame, path: str, key: str = "id") -> None:
+    """Deletes the rows of these keys from a table, as a new version of it; keys that it lacks and a missing table change nothing."""
+    spark = keys.sparkSession
+    if (old := read(spark, path)) is not None:
+        old.join(keys.select(key), key, "left_anti").select(*old.columns).write.parquet(f"{path}/v{len(generations(spark, path)):08d}")
+
+
 def delete_older(rows: DataFrame, before: str, ts: str = "ts") -> DataFrame:
     return rows.where(F.col(ts) >= F.lit(before).cast("timestamp"))
 

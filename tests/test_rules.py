@@ -2,7 +2,7 @@
 
 import pytest
 
-from argusframe.operators.rules import CAPABILITIES, Condition, Group, Rule, canary_rules, evaluate, overlay, problems
+from argusframe.operators.rules import CAPABILITIES, Condition, Group, Rule, canary_rules, evaluate, indicator_rules, overlay, problems
 from pyspark.sql import functions as F
 
 
@@ -40,8 +40,9 @@ def test_in_cidr_ipv6(spark):
     ips = spark.createDataFrame(rows, "i int, ip string")
     ips = ips.withColumn("event_type", F.lit("file"))
     found = lambda *nets: {r.i for r in evaluate(ips, [Rule("a", "file", Condition("ip", "in_cidr", nets))], {"ip": F.col("ip")}).collect()}
-    assert found("2001:db8::/32") == {0, 1, 10} and found("::1/128") == {3} and found("::/0") == {0, 1, 2, 3, 4, 8, 10}
-    assert found("10.0.0.0/8", "2001:db9::/32") == {2, 9}
+    assert found("2001:db8::/32") == {0, 1, 10} and found("::1/128") == {3} and found("::/0") == {0, 1, 2, 3, 4, 10}
+    assert found("10.0.0.0/8", "2001:db9::/32") == {2, 8, 9}
+    assert found("::ffff:10.1.0.0/112") == {8, 9} and found("::ffff:10.2.0.0/112") == set() and found("::ffff:a01:203/128") == {8, 9}
 
 
 def test_exceptions_drop_and_overlay(files):
@@ -55,3 +56,17 @@ def test_validation():
     rules = [Rule("a", "file", Group()), Rule("a", "file", Condition("x", "in")), Rule("b", "none", Group()), Rule("c", "file", Condition("filename", "bad")), Rule("d", "file", Condition("filename", "regex", ("x" * 2000,)))]
     assert len(problems(rules, {"file": {"filename"}})) == 6
     assert not problems(canary_rules(["/tmp/x"]), {"file": {"filename"}})
+
+
+def test_indicator_rules(spark):
+    feed = [("ip", "10.1.2.3"), ("ip", "10.1.2.3"), ("ip", "8.8.8.8"), ("ip", "9.9.9.9"), ("cidr", "10.0.0.0/8"), ("domain", "bad.example"), ("url", "HTTP://Worse.example:80/x"), ("hash", "aa"), (None, "x"), ("ip", None), ("ip", "")]
+    listed = spark.createDataFrame(feed, "type string, value string")
+    rules = indicator_rules(listed, "f", 2)
+    assert [r.id for r in rules] == ["feed_f_ip_001", "feed_f_ip_002", "feed_f_cidr_001", "feed_f_domain_001"]
+    assert rules[0].when.values == ("10.1.2.3", "8.8.8.8") and not problems(rules, {"network": {"daddr"}, "dns": {"qname"}})
+    rows = spark.createDataFrame([(1, "network", "10.1.2.3", None), (2, "network", "10.9.9.9", None), (3, "network", "1.1.1.1", None), (4, "dns", None, "a.worse.example"), (5, "dns", None, "fine.example")], "event_id int, event_type string, daddr string, qname string")
+    found = {(r.event_id, r.rule_id) for r in evaluate(rows, rules, {"daddr": F.col("daddr"), "qname": F.col("qname")}).collect()}
+    assert found == {(1, "feed_f_ip_001"), (1, "feed_f_cidr_001"), (2, "feed_f_cidr_001"), (4, "feed_f_domain_001")}
+    assert indicator_rules(listed.limit(0), "f") == []
+    with pytest.raises(ValueError):
+        indicator_rules(listed, "f", listed=2)

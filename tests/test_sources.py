@@ -127,6 +127,10 @@ def test_store_and_exports(spark, tmp_path):
         write(frame([("a", 2, "z"), ("c", 2, "w")]), 7)
     assert {(r.id, r.message) for r in store.read(spark, path).collect()} == {("a", "z"), ("b", "y"), ("c", "w")}
     assert store.read(spark, f"{tmp_path}/none") is None
+    gone = spark.createDataFrame([("b",), ("nothing",), (None,)], "id string")
+    store.delete(gone, path)
+    store.delete(gone, f"{tmp_path}/none")
+    assert {(r.id, r.message) for r in store.read(spark, path).collect()} == {("a", "z"), ("c", "w")} and store.read(spark, path).columns == ["id", "arrived", "message"]
     profile = spark.createDataFrame([([3, 1], ["/bin/x"], [])], "syscalls array<int>, paths array<string>, ports array<int>")
     assert [r.id for r in rule_files.load_text(store.export_rules(profile))] == ["learned_syscalls", "learned_paths"]
     assert json.loads(store.export_seccomp(profile, {1: "write"}))["syscalls"][0]["names"] == ["write", "3"]
