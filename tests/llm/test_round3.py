@@ -28,8 +28,8 @@ def words_of(text):
 
 def audited(docs, labels):
     """All 120 orders applied one by one."""
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1} - {None}
+    toxic = {i for i, _, t in labels if t == 1} - {None}
     first = {}
     for i, text, _ in docs:
         if i is not None:
@@ -201,7 +201,7 @@ def repeats():
 
 
 def test_substring(spark, small, repeats):
-    frame = spark.createDataFrame([(i, t, 1, "k") for i, t in repeats], "doc_id long, text string, runs long, bucket string").repartition(3)
+    frame = spark.createDataFrame([(i, t, 1, "k") for i, t in repeats], "doc_id long, text string, __row long, bucket string").repartition(3)
     key = lambda x: tuple((v is None, v) for v in x)
     want = sorted((x[:4] for x in without_repeats(repeats)), key=key)
     tiny = substring.Plan(2000, 7)
@@ -230,5 +230,56 @@ def test_sketch_tells_most_windows_apart(spark):
     told = docs.groupBy("bucket").applyInArrow(lambda t: substring.enter(t, plan), "block long, bucket long, counters binary").groupBy("block").applyInArrow(lambda t: substring.merge(t, plan), "bucket long, block long, bits binary")
     parts = docs.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(lambda t, b: substring.choose(t, b, plan), substring.SECOND).collect()
     sent = [substring.opened(x.blob)[0] for x in parts if x.blob is not None]
+    assert len(parts) <= plan.buckets * (plan.shards + 1)
     n = sum(map(len, sent))
     assert 41 * 6 <= n < 0.15 * 600 * 240
+
+
+# --- pages: tags in one pass, articles that are spread over the body
+
+PROSE = "The text of the article goes on and on. " * 12
+ARTICLE = f"<h1>T</h1><p>{PROSE}</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<body><div class="lead"><p>{PROSE[:120]}</p></div><div class="text"><p>{PROSE}</p></div></body>', f"{PROSE[:120].strip()}\n{PROSE.strip()}"),
+        (f"<body>Loose words<div><p>{PROSE}</p></div>and more</body>", f"Loose words\n{PROSE.strip()}\nand more"),
+        (f"<h1>T</h1><p>{PROSE}</p>", f"T\n{PROSE.strip()}"),
+        (f'<article><a href="/x">{PROSE}</a></article>', PROSE.strip()),
+        (f'<article>{ARTICLE}<section class="discussion"><h2>D</h2><p>We say.</p></section></article>', f"T\n{PROSE.strip()}\nD\nWe say."),
+        (f'<div>{ARTICLE}<p class="legal">Law.</p></div>', f"T\n{PROSE.strip()}\nLaw."),
+        (f'<div>{ARTICLE}<p class="byline">By X.</p></div>', f"T\n{PROSE.strip()}\nBy X."),
+        (f"<div>{ARTICLE}<p>Let <math><mi>x</mi></math> be.</p></div>", f"T\n{PROSE.strip()}\nLet x be."),
+        (f'<body><div><a href="/">home</a> <a href="/b">b</a></div><div><p>{PROSE}</p></div><div><p>{PROSE[:80]}</p><input name="q"></div></body>', PROSE.strip()),
+        (f'<body><div id="w"><p>Short.</p><div class="post"><p>{PROSE}</p></div></div></body>', f"Short.\n{PROSE.strip()}"),
+        (f'<p>a < b</p><p title="x>y">{PROSE}', f"a < b\n{PROSE.strip()}"),
+    ],
+)
+def test_html_keeps_article(page, want):
+    from argusframe.llm import html
+
+    assert html.extract(page, None) == want
+
+
+@pytest.mark.parametrize("bad", ['<a "x"' + '"x' * 50_000, '<a "' * 50_000, '<a ">"' * 50_000, "<a '\">" * 50_000, "<" * 100_000, "<!--" * 50_000 + ">", "<b>" * 50_000 + "<p>x", "<div>" * 30_000 + "x" + "</div>" * 30_000, "<b><hr>" * 30_000, "</x>" * 50_000])
+def test_html_takes_hostile_pages(bad):
+    import time
+
+    from argusframe.llm import html
+
+    began = time.process_time()
+    html.candidates(bad), html.extract(f"<article><p>{PROSE}</p></article>{bad}", None)
+    assert time.process_time() - began < 8
+
+
+def test_html_body_by_consensus(spark):
+    """A host whose articles lie in one element keeps to it where a page has other prose in its body; one whose articles are spread keeps all."""
+    from argusframe.llm import html
+
+    one = f'<body><div class="post"><p>{PROSE}</p></div>%s</body>'
+    both = f'<body><div class="lead"><p>{PROSE[:160]}</p></div><div class="post"><p>{PROSE}</p></div></body>'
+    rows = [(i, "http://a.x/", one % ("<div><p>" + PROSE[:200] + "</p></div>" if i == 3 else "")) for i in range(4)] + [(10 + i, "http://b.x/", both) for i in range(3)]
+    found = {x.page_id: x.text for x in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == dict.fromkeys(range(4), PROSE.strip()) | dict.fromkeys(range(10, 13), f"{PROSE[:160].strip()}\n{PROSE.strip()}")
