@@ -7,7 +7,8 @@ below the number of buckets that hold the window: what is estimated once is ther
 are estimated repeated, or repeat within their bucket, are grouped by their words (a key of 96 bits), and all but the first place of each go.
 
 The sketch grows with the input and is never in one place: blocks are as wide as BLOCK_WINDOWS windows need, at most, and are merged in a task each. A window that
-a third of all documents hold sends one counter and one entry a bucket, so no group is hot.
+a third of all documents hold sends one counter and one entry a bucket, so no group is hot. What goes comes back as one row for each shard and
+bucket, not for each document.
 
 Null text has no words. Rows without an id lose nothing and count for nothing. A place is (doc_id, start): rows that share an id are judged
 each by their own text, and equal places don't precede each other. Other columns pass through.
@@ -16,7 +17,7 @@ each by their own text, and equal places don't precede each other. Other columns
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import materialize, maybe_in, partitions, small_batches
-from .suffix import joined_runs, packed, repeats_in, union_of
+from .common import materialize, partitions
+from .suffix import joined_runs, repeats_in
 
 U = np.uint64
 #: Words of a window, and rows of the sketch.
@@ -143,19 +144,20 @@ def estimated_repeated(keys: np.ndarray, told: pa.Table, plan: Plan) -> np.ndarr
     return out
 
 
-SECOND = "shard int, blob binary, doc_id long, __row long, runs binary"
+SECOND = "shard int, bucket long, blob binary, lost binary"
+LOST = "bucket long, lost binary"
 ENTRY = [("key", np.uint64), ("more", np.uint32), ("row", np.uint32), ("start", np.uint32)]
 
 
-def lost_runs(ids: np.ndarray, row_keys: np.ndarray, start: np.ndarray) -> dict[str, np.ndarray | list]:
-    """doc_id, __row and runs (start, stop in words) of the windows that go, one entry a row of the table."""
+def lost_runs(ids: np.ndarray, row_keys: np.ndarray, start: np.ndarray) -> bytes:
+    """(id, row key, start, stop in words) of the runs that go, packed; overlapping windows of a row are one run."""
     rows, which = np.unique(np.stack([ids, row_keys], axis=1).reshape(-1, 2), axis=0, return_inverse=True)
-    found = packed(*joined_runs(which.ravel(), start, np.full(len(start), SPAN, np.int64)))
-    return {"doc_id": rows[found["doc_id"], 0], "__row": rows[found["doc_id"], 1], "runs": found["runs"]}
+    which, first, stop = joined_runs(which.ravel(), start, np.full(len(start), SPAN, np.int64))
+    return np.stack([rows[which, 0], rows[which, 1], first, stop], axis=1).astype(np.int64).tobytes()
 
 
 def choose(table: pa.Table, told: pa.Table, plan: Plan) -> pa.Table:
-    """One bucket again: (doc_id, __row, runs) of what repeats within it, and (shard, blob) of the windows estimated repeated elsewhere."""
+    """One bucket again: a row with what repeats within it (lost), and for each shard the windows estimated repeated elsewhere (blob)."""
     found = Windows(table)
     order = np.argsort(found.key, kind="stable")
     key, row, start = found.key[order], found.row[order], found.start[order]
@@ -166,17 +168,15 @@ def choose(table: pa.Table, told: pa.Table, plan: Plan) -> pa.Table:
     shard = (textvec.mix(found.key[sent] ^ _OTHER) % U(plan.shards)).astype(np.int64)
     sent, shard = sent[by := np.argsort(shard, kind="stable")], shard[by]
     columns = {"key": found.key[sent], "more": found.second_key(sent), "row": found.row[sent], "start": found.start[sent]}
-    heads = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
     blobs = []
-    for a, b in zip(heads, np.r_[heads[1:], len(shard)].astype(int), strict=True):
+    for _, a, b in zip(*blocks_of(shard.astype(U) << U(32)), strict=True):
         rows, at = np.unique(columns["row"][a:b], return_inverse=True)
         parts = [np.array([b - a, len(rows)], np.int64).tobytes(), found.ids[rows].tobytes(), found.row_keys[rows].tobytes()]
         blobs.append(b"".join(parts + [(at if n == "row" else columns[n][a:b]).astype(k).tobytes() for n, k in ENTRY]))
-    n, m = len(heads), len(inner["runs"])
-    empty = lambda size, kind: pa.nulls(size, kind)
+    shards, lost = blocks_of(shard.astype(U) << U(32))[0].tolist(), [inner] if inner else []
+    n, m, bucket = len(blobs), len(lost), table.column("bucket")[0].as_py()
     return pa.table({
-        "shard": pa.concat_arrays([pa.array(shard[heads], pa.int32()), empty(m, pa.int32())]), "blob": pa.concat_arrays([pa.array(blobs, pa.binary()), empty(m, pa.binary())]),
-        **{c: pa.concat_arrays([empty(n, k), pa.array(inner[c], k)]) for c, k in (("doc_id", pa.int64()), ("__row", pa.int64()), ("runs", pa.binary()))},
+        "shard": pa.array(shards + [None] * m, pa.int32()), "bucket": pa.array([bucket] * (n + m), pa.int64()), "blob": pa.array(blobs + [None] * m, pa.binary()), "lost": pa.array([None] * n + lost, pa.binary()),
     })
 
 
@@ -191,82 +191,88 @@ def opened(blob: bytes) -> list[np.ndarray]:
 
 
 def group(table: pa.Table) -> pa.Table:
-    """One shard's windows, grouped exactly: (doc_id, __row, runs) of those that start earlier elsewhere."""
-    key, more, ids, row_keys, start = (np.concatenate(x) for x in zip(*(opened(x.as_py()) for x in table.column("blob")), strict=True))
+    """One shard's windows, grouped exactly: (bucket, lost) of those that start earlier elsewhere."""
+    found = [opened(x.as_py()) for x in table.column("blob")]
+    came = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+    key, more, ids, row_keys, start = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((start, ids, more, key))
-    key, more, ids, row_keys, start = (x[order] for x in (key, more, ids, row_keys, start))
-    same = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (more[1:] != more[:-1])])
-    again = repeats_in(same, ids, start)[1]
-    lost = lost_runs(ids[again], row_keys[again], start[again])
-    return pa.table({"doc_id": pa.array(lost["doc_id"], pa.int64()), "__row": pa.array(lost["__row"], pa.int64()), "runs": pa.array(lost["runs"], pa.binary())})
+    same = np.cumsum(np.r_[0, (key[order][1:] != key[order][:-1]) | (more[order][1:] != more[order][:-1])])
+    gone = order[repeats_in(same, ids[order], start[order])[1]]
+    gone = gone[np.argsort(came[gone], kind="stable")]
+    heads, buckets = np.searchsorted(came[gone], np.arange(len(found) + 1)), table.column("bucket").to_pylist()
+    lost = [(bucket, lost_runs(ids[x], row_keys[x], start[x])) for bucket, a, b in zip(buckets, heads[:-1], heads[1:], strict=True) if len(x := gone[a:b])]
+    return pa.table({"bucket": pa.array([x[0] for x in lost], pa.int64()), "lost": pa.array([x[1] for x in lost], pa.binary())})
 
 
-def find_repeats(docs: DataFrame, plan: Plan | None = None) -> DataFrame:
-    """(doc_id, __row, runs) of what goes, from (doc_id, __row, text) without null ids; a row may have several."""
-    if plan is None:
-        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        plan = Plan(size, partitions(docs.sparkSession))
-    docs = docs.withColumn("bucket", F.pmod("__row", F.lit(plan.buckets)))
+def find_repeats(docs: DataFrame, plan: Plan) -> DataFrame:
+    """(bucket, lost) of what goes, from (bucket, doc_id, __row, text) without null ids; a bucket may have several rows."""
     sketch = docs.groupBy("bucket").applyInArrow(lambda t: enter(t, plan), "block long, bucket long, counters binary")
     told = materialize(sketch.groupBy("block").applyInArrow(lambda t: merge(t, plan), "bucket long, block long, bits binary"), "estimates")
     parts = docs.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(lambda t, b: choose(t, b, plan), SECOND)
     parts = materialize(parts, "windows")
-    found = parts.where("shard is not null").select("shard", "blob").groupBy("shard").applyInArrow(group, "doc_id long, __row long, runs binary")
-    return materialize(found.union(parts.where("doc_id is not null").select("doc_id", "__row", "runs")), "repeats")
-
-
-def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None) -> DataFrame:
-    """The rows of ``docs`` with __runs, the removed runs of words (packed and unmerged), or null."""
-    small_batches(docs.sparkSession)
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("__row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    repeats = find_repeats(own.where("doc_id is not null"), plan)
-    runs = repeats.groupBy(F.col("doc_id").alias("__id"), "__row").agg(F.collect_list("runs").alias("__runs"))
-    rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__row": key})
-    rows = maybe_in(rows, "__row", repeats.select(F.col("__row").alias("doc_id")))
-    touched = rows.where("__maybe").join(runs, ["__id", "__row"], "left")
-    clean = rows.where("not __maybe").withColumn("__runs", F.lit(None).cast("array<binary>"))
-    return touched.select(*docs.columns, "__runs").unionByName(clean.select(*docs.columns, "__runs"))
-
-
-def kept_words(text: str | None, runs: list[bytes] | None) -> tuple[int, int, bytes]:
-    """How many words the text has, how many of them go, and the others joined by one space."""
+    found = parts.where("shard is not null").select("shard", "bucket", "blob").groupBy("shard").applyInArrow(group, LOST)
+    return materialize(found.union(parts.where("lost is not null").select("bucket", "lost")), "repeats")
+
+
+def apply_runs(docs: DataFrame, id_col: str, text_col: str, schema: str, finish: Callable[[pa.Table, list[np.ndarray]], pa.Table], plan: Plan | None) -> DataFrame:
+    """What ``finish`` makes of each bucket's rows of ``docs`` (columns c0, c1, ...) and the runs of words (start, stop) that each of them loses."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    text, key = F.col(at[text_col]).cast("string"), F.col(at[id_col]).cast("long")
+    if plan is None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+        plan = Plan(size, partitions(docs.sparkSession))
+    rows = docs.toDF(*names).withColumns({"doc_id": key, "__row": F.xxhash64(key, text)}).withColumn("bucket", F.pmod("__row", F.lit(plan.buckets)))
+    lost = find_repeats(rows.where("doc_id is not null").select("bucket", "doc_id", "__row", F.coalesce(text, F.lit("")).alias("text")), plan)
+
+    def run(table: pa.Table, lost: pa.Table) -> pa.Table:
+        runs = np.frombuffer(b"".join(x.as_py() for x in lost.column("lost")), np.int64).reshape(-1, 4)
+        runs = runs[np.lexsort((runs[:, 2], runs[:, 1], runs[:, 0]))]
+        heads = np.flatnonzero(np.r_[True, (runs[1:, :2] != runs[:-1, :2]).any(axis=1)]) if len(runs) else np.zeros(0, np.int64)
+        own = {(int(x[0, 0]), int(x[0, 1])): merged(x[:, 2:]) for x in np.split(runs, heads[1:]) if len(x)}
+        none = np.zeros((0, 2), np.int64)
+        return finish(table, [own.get(x, none) for x in zip(table.column("doc_id").to_pylist(), table.column("__row").to_pylist(), strict=True)])
+
+    return rows.groupBy("bucket").cogroup(lost.groupBy("bucket")).applyInArrow(run, schema)
+
+
+def merged(runs: np.ndarray) -> np.ndarray:
+    _, start, stop = joined_runs(np.zeros(len(runs), np.int64), runs[:, 0], runs[:, 1] - runs[:, 0])
+    return np.stack([start, stop], axis=1)
+
+
+def kept_words(text: str | None, runs: np.ndarray) -> tuple[int, bytes]:
+    """How many words the text has, and those that stay joined by one space."""
     words = (text or "").encode().split()
-    cut = union_of(runs, len(words))
-    edges = [0, *cut.ravel().tolist(), len(words)]
-    return len(words), int((cut[:, 1] - cut[:, 0]).sum()), b" ".join(w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b])
+    edges = [0, *runs.ravel().tolist(), len(words)]
+    return len(words), b" ".join(w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in words[a:b])
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", plan: Plan | None = None) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, removed spans of words) of every row."""
     kind = dict(docs.dtypes)[id_col]
-    rows = mark(docs.select(id_col, text_col), id_col, text_col, plan)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(table: pa.Table, runs: list[np.ndarray]) -> pa.Table:
+        kept = [kept_words(t, r) for t, r in zip(table.column("c1").to_pylist(), runs, strict=True)]
         spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        for batch in batches:
-            found, where = [], []
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                n, lost, kept = kept_words(text, runs)
-                found.append((n, lost, hashlib.sha256(kept).hexdigest()))
-                where.append([{"start": a, "stop": b} for a, b in union_of(runs, n).tolist()])
-            n, lost, sha = zip(*found, strict=True) if found else ([],) * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(sha, pa.string()), pa.array(where, spans)], names=[id_col, "n_words", "n_removed", "kept_sha256", "spans"])
+        return pa.table({
+            id_col: table.column("c0"), "n_words": pa.array([n for n, _ in kept], pa.int64()), "n_removed": pa.array([int((r[:, 1] - r[:, 0]).sum()) for r in runs], pa.int64()),
+            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for _, k in kept], pa.string()), "spans": pa.array([[{"start": a, "stop": b} for a, b in r.tolist()] for r in runs], spans),
+        })
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,stop:long>>")
+    own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text" if id_col == text_col else text_col))
+    return apply_runs(own, id_col, text_col, f"`{id_col}` {kind}, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,stop:long>>", finish, plan)
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without repeated words; a text that loses some has its kept words joined by one space, and a row of which none is left goes."""
-    rows = mark(docs, id_col, text_col)
-    names, at = docs.columns, docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [kept_words(t, r)[2].decode() or None if r else t for t, r in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-            gone = [r is not None and t is None for t, r in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([not g for g in gone], pa.bool_()))
-
-    return rows.mapInArrow(run, docs.schema)
+    at, n = docs.columns.index(text_col), len(docs.columns)
+
+    def finish(table: pa.Table, runs: list[np.ndarray]) -> pa.Table:
+        texts = [kept_words(t, r)[1].decode() or None if len(r) else t for t, r in zip(table.column(f"c{at}").to_pylist(), runs, strict=True)]
+        columns = [pa.array(texts, pa.string()) if i == at else table.column(f"c{i}") for i in range(n)]
+        left = pa.array([t is not None or not len(r) for t, r in zip(texts, runs, strict=True)], pa.bool_())
+        return pa.table({f"c{i}": c for i, c in enumerate(columns)}).filter(left)
+
+    schema = ", ".join(f"c{i} {kind}" for i, (_, kind) in enumerate(docs.dtypes))
+    return apply_runs(docs, id_col, text_col, schema, finish, None).toDF(*docs.columns)
