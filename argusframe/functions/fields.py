@@ -59,7 +59,9 @@ def split_and_trim(s: Column, separator: str = ",") -> Column:
 
 
 def host_of_url(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/:?#]*)", 1))
+    """Without user, password and port, and without the brackets of an IPv6 address."""
+    host = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]*)", 1)
+    return F.lower(F.regexp_replace(host, r"^\[|\]$", ""))
 
 
 def path_of_url(url: Column) -> Column:

@@ -98,8 +98,8 @@ def timeline(alerts: DataFrame, most: int = 500) -> DataFrame:
 
 
 def upsert(alerts: DataFrame, key: str = "id", order: str = "arrived") -> DataFrame:
-    """The last version of each alert."""
-    newest = Window.partitionBy(key).orderBy(F.desc(order))
+    """The last version of each alert; of versions that came at once the greater row."""
+    newest = Window.partitionBy(key).orderBy(F.desc(order), *[F.desc(F.col(c).cast("string")) for c in alerts.columns if c not in (key, order)])
     return alerts.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
 
 
@@ -133,11 +133,14 @@ def first_samples(alerts: DataFrame, n: int = 20, tie: str = "event_id") -> Data
     return alerts.orderBy("ts", tie, "rule_id").limit(n)
 
 
-def delete_older(alerts: DataFrame, before: str) -> DataFrame:
-    return alerts.where(F.col("ts") >= F.lit(before).cast("timestamp"))
-
-
 def technique_coverage(rules: DataFrame, tags: str = "tags") -> DataFrame:
     """(technique, n, rules): which rules tell of each technique, from tags like mitre:T1059."""
     found = rules.select("rule_id", F.explode(tags).alias("tag")).select("rule_id", F.regexp_extract("tag", r"^mitre:(T\d+(?:\.\d+)?)\z", 1).alias("technique")).where("technique <> ''").distinct()
     return found.groupBy("technique").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("rule_id")).alias("rules"))
+
+
+def technique_alerts(alerts: DataFrame, rules: DataFrame) -> DataFrame:
+    """(technique, n_rules, n_alerts): how many rules told of each technique and how often; rules: (rule_id, tags). Alerts are counted by rule first."""
+    counts = alerts.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    tags = rules.select("rule_id", F.explode("tags").alias("tag")).select("rule_id", F.regexp_extract("tag", r"^mitre:(T\d+(?:\.\d+)?)\z", 1).alias("technique")).where("technique <> ''").distinct()
+    return counts.join(tags, "rule_id").groupBy("technique").agg(F.count(F.lit(1)).alias("n_rules"), F.sum("n").alias("n_alerts"))

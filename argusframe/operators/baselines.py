@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .behaviour import in_order, same
+from .behaviour import in_order, joined, same
+from .timejoin import pieces
 
 
 def learning(events: DataFrame, keys: list[str], period_s: float, samples: int, deadline_s: float | None = None, tie: str = "event_id") -> DataFrame:
@@ -43,7 +44,7 @@ def allowlist_violations(events: DataFrame, keys: list[str], value: str, allow:
     denied = F.col(value).isin(list(deny)) if deny else F.lit(False)
     rows = learning(events, keys, period_s, samples, None, tie)
     known = rows.where("__learns").select(*keys, value).distinct().withColumn("__known", F.lit(True))
-    rows = rows.join(known, [*keys, value], "left")
+    rows = joined(rows, known, [*keys, value], "left")
     if allow:
         rows = rows.where(~F.col(value).isin(list(allow)))
     source = F.when(denied, "global_deny").when(~F.col("__learns") & F.col("__known").isNull(), "unknown")
@@ -52,29 +53,67 @@ def allowlist_violations(events: DataFrame, keys: list[str], value: str, allow:
 
 def cooldown(alerts: DataFrame, keys: list[str], quiet_s: float = 5.0, tie: str = "event_id") -> DataFrame:
     """Alerts that may act: the first of a key, then any that comes quiet_s or more after the last one that acted. A key's rows are walked in
-    batches with only that last time in hand."""
+    batches with only that last time in hand; it is cut where it is silent for longer than quiet_s. Alerts without a time may act."""
     rows = alerts.withColumn("__s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    timed = pieces(rows.where("__s is not null"), keys, quiet_s)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, last = None, None
         for pdf in batches:
             out = []
-            for k, at in zip(zip(*[pdf[c] for c in keys], strict=True), pdf["__s"], strict=True):
+            for k, at in zip(zip(*[pdf[c] for c in (*keys, "__piece")], strict=True), pdf["__s"], strict=True):
                 acts = not same(k, current) or at - last >= quiet_s
                 if acts:
                     current, last = k, at
                 out.append(acts)
-            yield pdf[out].drop(columns="__s")
+            yield pdf[out].drop(columns=["__s", "__piece"])
 
-    return in_order(rows, keys, tie).mapInPandas(run, alerts.schema)
+    return in_order(timed, [*keys, "__piece"], tie).mapInPandas(run, alerts.schema).union(rows.where("__s is null").select(*alerts.columns))
 
 
 def global_limit(alerts: DataFrame, per_second: int = 10_000, tie: str = "event_id") -> DataFrame:
-    """At most ``per_second`` alerts of each second of event time, the earliest. A bucket refilled each second, so seconds are independent."""
+    """At most ``per_second`` alerts of each second of event time, the earliest: a budget of each second on its own. ``timejoin.token_bucket``
+    is the limit whose tokens carry over."""
     w = Window.partitionBy(F.date_trunc("second", "ts")).orderBy("ts", tie)
     return alerts.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_second).drop("__r")
 
 
+def sights(events: DataFrame, keys: list[str], value: str, tie: str = "event_id") -> DataFrame:
+    """(keys, value, first_seen, last_seen, n): what the events show of each workload, as a state that ``merged_sights`` adds up."""
+    return events.groupBy(*keys, value).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("n"))
+
+
+def merged_sights(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The state of both together; in any order and grouping the same."""
+    return a.unionByName(b).groupBy(*keys, value).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"))
+
+
+def fold_into(new: DataFrame, path: str, keys: list[str], value: str, source: str = "", batch: int | None = None) -> None:
+    """Folds new sights into a stored baseline: only the sights that are there already are read, and only cells that change are written.
+    A batch of a source that was folded in before changes nothing, so counts stay right when a batch comes again."""
+    from ..sinks import store
+
+    spark = new.sparkSession
+    key = F.sha2(F.to_json(F.struct(*keys, value), {"ignoreNullFields": "false"}), 256)
+    commit = store.commit_of(spark, path)
+    if commit and batch is not None and batch <= commit["batches"].get(source, -1):
+        return
+    held = store.read(spark, path)
+    if held is not None:
+        known = joined(held.select(*new.columns), new.select(*keys, value), [*keys, value], "left_semi")
+        new = merged_sights(new, known, keys, value)
+    rows = new.withColumn("id", key).withColumn("order", F.col("n"))
+    store.merge(rows, path, "id", "order", None, source, batch)
+
+
+def new_against(events: DataFrame, known: DataFrame, keys: list[str], value: str, tie: str = "event_id") -> DataFrame:
+    """Adds is_new: neither the stored sights nor an earlier one of the events shows the value; history isn't read."""
+    held = known.select(*keys, value, F.lit(True).alias("__held")).distinct()
+    first = F.row_number().over(Window.partitionBy(*keys, value).orderBy("ts", tie)) == 1
+    rows = joined(events.withColumn("__one", first), held, [*keys, value], "left")
+    return rows.withColumn("is_new", F.col("__one") & F.col("__held").isNull()).drop("__one", "__held")
+
+
 def workload_profile(events: DataFrame, keys: list[str], dimensions: dict[str, Column]) -> DataFrame:
     """(keys, dimension, key, n, total): how often a workload showed each value of each dimension, and that dimension at all."""
     pairs = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), c.cast("string").alias("key")) for d, c in dimensions.items()])).alias("p")

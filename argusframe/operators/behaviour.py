@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timejoin import pieces
+
 DEDUP_S, RATE, RATE_S, GAP_S = 5.0, 10, 60.0, 60
 
 
@@ -66,20 +68,32 @@ def recent(events: DataFrame, key: str, columns: list[str], n: int = 20, tie: st
     return events.withColumn("recent", F.collect_list(F.struct(*columns) if len(columns) > 1 else F.col(columns[0])).over(w))
 
 
-def first_seen(events: DataFrame, workload: list[str], value: str, cap: int | None = 256, tie: str = "event_id") -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys in which nulls are equal; the right side's keys go."""
+    names = {k: f"__on{i}" for i, k in enumerate(keys)}
+    right = right.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in right.columns])
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right, on, how).drop(*names.values())
+
+
+def first_seen(events: DataFrame, workload: list[str], value: str, cap: int | None = 256, tie: str = "event_id", forget_s: float | None = None) -> DataFrame:
     """Adds is_new: the workload hasn't shown the value before. Values after the first ``cap`` are never learned, so stay new; without a
-    cap no workload's values are gathered."""
+    cap no workload's values are gathered. forget_s (without a cap): a value not shown for longer is new again. A null workload or value is one
+    like any other, and a row without a time comes first."""
+    if forget_s is not None:
+        last = F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(Window.partitionBy(*workload, value).orderBy("ts", tie))
+        return events.withColumn("is_new", last.isNull() | (F.unix_micros(F.col("ts").cast("timestamp")) - last > int(forget_s * 1e6)))
     firsts = events.groupBy(*workload, value).agg(F.min(F.struct("ts", tie)).alias("__first"))
     rank = F.lit(0) if cap is None else F.row_number().over(Window.partitionBy(*workload).orderBy("__first"))
-    rows, cap = events.join(firsts.withColumn("__n", rank), [*workload, value]), cap or 0
-    return rows.withColumn("is_new", (F.struct("ts", tie) == F.col("__first")) | (F.col("__n") > cap)).drop("__first", "__n")
+    rows, cap = joined(events, firsts.withColumn("__n", rank), [*workload, value]), cap or 0
+    return rows.withColumn("is_new", F.struct("ts", tie).eqNullSafe(F.col("__first")) | (F.col("__n") > cap)).drop("__first", "__n")
 
 
 def drift(events: DataFrame, key: str, value: str, learn: str = "1 day") -> DataFrame:
     """Values that a key shows only after its learning window: first sight of each."""
     start = events.groupBy(key).agg(F.min("ts").alias("__start"))
     seen = events.groupBy(key, value).agg(F.min("ts").alias("first_seen"), F.count(F.lit(1)).alias("n"))
-    return seen.join(start, key).where(F.col("first_seen") >= F.col("__start") + F.expr(f"interval {learn}")).drop("__start")
+    return joined(seen, start, [key]).where(F.col("first_seen") >= F.col("__start") + F.expr(f"interval {learn}")).drop("__start")
 
 
 def transitions(events: DataFrame, key: str, state: str, tie: str = "event_id") -> DataFrame:
@@ -140,25 +154,29 @@ def in_order(rows: DataFrame, keys: list[str], tie: str) -> DataFrame:
 
 
 def limited(alerts: DataFrame, rule: str, key: list[str], dedup_s: float = DEDUP_S, rate: int = RATE, rate_s: float = RATE_S, tie: str = "event_id") -> DataFrame:
-    """Alerts that the coupled dedup and rate limit admit. One rule is walked by one task, as its limit is sequential by definition."""
+    """Alerts that the coupled dedup and rate limit admit. Where a rule is silent for longer than both windows its past has no say, so it is cut
+    there, and the pieces are walked in parallel. Alerts without a time pass, as in all limits."""
     rows = alerts.withColumn("__s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    timed = pieces(rows.where("__s is not null"), [rule], max(dedup_s, rate_s))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, limiter = None, None
         for pdf in batches:
             out = []
-            for r, at, k in zip(pdf[rule], pdf["__s"], zip(*[pdf[c] for c in key], strict=True), strict=True):
-                if not same((r,), current):
-                    current, limiter = (r,), Limiter(dedup_s, rate, rate_s)
+            for r, at, k in zip(zip(pdf[rule], pdf["__piece"], strict=True), pdf["__s"], zip(*[pdf[c] for c in key], strict=True), strict=True):
+                if not same(r, current):
+                    current, limiter = r, Limiter(dedup_s, rate, rate_s)
                 out.append(limiter.admit(at, k))
-            yield pdf[out].drop(columns="__s")
+            yield pdf[out].drop(columns=["__s", "__piece"])
 
-    return in_order(rows, [rule], tie).mapInPandas(run, alerts.schema)
+    return in_order(timed, [rule, "__piece"], tie).mapInPandas(run, alerts.schema).union(rows.where("__s is null").select(*alerts.columns))
 
 
 def aggregated(alerts: DataFrame, keys: list[str], window_s: float = 60.0, tie: str = "event_id") -> DataFrame:
-    """Alerts of a key folded into windows from their first one on; an alert exactly at the end still folds."""
+    """Alerts of a key folded into windows from their first one on; an alert exactly at the end still folds. A key is cut where it is silent for
+    longer than a window. Its alerts without a time are one window without times."""
     rows = alerts.withColumn("__s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).select(*keys, "__s", "ts", tie)
+    rows = pieces(rows, keys, window_s)
     kinds = dict(alerts.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", first_seen timestamp, last_seen timestamp, n long"
     names = [*keys, "first_seen", "last_seen", "n"]
@@ -167,19 +185,19 @@ def aggregated(alerts: DataFrame, keys: list[str], window_s: float = 60.0, tie:
         current, start, window = None, None, None  # one open window, carried from batch to batch
         for pdf in batches:
             out = []
-            for k, at, ts in zip(zip(*[pdf[c] for c in keys], strict=True), pdf["__s"], pdf["ts"], strict=True):
+            for k, at, ts in zip(zip(*[pdf[c] for c in (*keys, "__piece")], strict=True), pdf["__s"], pdf["ts"], strict=True):
                 if not same(k, current) or at > start + window_s:
                     if window:
-                        out.append((*current, *window))
+                        out.append((*current[:-1], *window))
                     current, start, window = k, at, [ts, ts, 0]
                 window[1] = window[1] if pd.isna(ts) else ts
                 window[2] += 1
             if out:
                 yield pd.DataFrame(out, columns=names)
         if window:
-            yield pd.DataFrame([(*current, *window)], columns=names)
+            yield pd.DataFrame([(*current[:-1], *window)], columns=names)
 
-    return in_order(rows, keys, tie).mapInPandas(run, schema)
+    return in_order(rows, [*keys, "__piece"], tie).mapInPandas(run, schema)
 
 
 def learned_sets(events: DataFrame, keys: list[str], sets: dict[str, Column], namespace: str = "", container: str = "", comm_prefix: str = "") -> DataFrame:
@@ -200,10 +218,11 @@ def drift_classes(events: DataFrame, key: str, learn: str = "5 minutes", tie: st
     plain = lambda kind, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")))
     start = events.groupBy(key).agg(F.min("ts").alias("__start"))
     shown = F.filter(F.array(plain("syscall", "nr"), of_path, plain("ip", "daddr"), plain("port", "dport")), lambda x: x.isNotNull())
-    seen = events.select(key, "ts", tie, F.explode(shown).alias("x")).select(key, "ts", tie, "x.*").join(start, key)
+    seen = events.select(key, "ts", tie, F.explode(shown).alias("x")).select(key, "ts", tie, "x.*")
+    seen = joined(seen, start, [key])
     learned = F.col("ts") < F.col("__start") + F.expr(f"interval {learn}")
     known = seen.where(learned).select(key, "kind", "value").distinct()
-    return seen.where(~learned).join(known, [key, "kind", "value"], "left_anti").select(tie, key, "ts", "kind", "value")
+    return joined(seen.where(~learned), known, [key, "kind", "value"], "left_anti").select(tie, key, "ts", "kind", "value")
 
 
 def markov_anomalies(events: DataFrame, key: str, state: str, baseline: float, window: int = 64, threshold: float = 0.35, tie: str = "event_id") -> DataFrame:

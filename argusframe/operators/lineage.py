@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import ALIASES, any_of
+from .timejoin import last_before
 
 SHELLS = ("sh", "bash", "dash", "zsh", "fish")
 
@@ -57,10 +58,6 @@ def match(events: DataFrame, patterns: list[Pattern] = PATTERNS) -> DataFrame:
 
 
 def with_parent(events: DataFrame, tie: str = "event_id") -> DataFrame:
-    """Fills a missing parent_comm with the last comm that the parent's pid showed before: one sort by process, no join of all pairs."""
-    own = events.select("*", F.col("pid").alias("__of"), F.lit(0).alias("__asks"))
-    asks = events.where("parent_comm is null").select("*", F.col("ppid").alias("__of"), F.lit(1).alias("__asks"))
-    before = Window.partitionBy("__of").orderBy("ts", "__asks", tie).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("__asks") == 0, F.col("comm")), ignorenulls=True).over(before)
-    found = own.unionByName(asks).withColumn("__parent", last).where("__asks = 1").select(F.col(tie), "__parent")
-    return events.join(found, tie, "left").withColumn("parent_comm", F.coalesce("parent_comm", "__parent")).select(*events.columns)
+    """Fills a missing parent_comm with the last comm that the parent's pid showed before: an as-of join, one exchange."""
+    found = last_before(events, events.where("comm is not null"), "ppid", "pid", {"__last": tie, "__parent": "comm"}, tie=tie)
+    return found.withColumn("parent_comm", F.coalesce("parent_comm", "__parent")).select(*events.columns)

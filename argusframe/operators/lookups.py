@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .timejoin import live_least, not_seen_elsewhere
+
 
 def match_indicators(events: DataFrame, key: str, indicators: DataFrame, ts: str = "ts") -> DataFrame:
     """Events whose key is an indicator that hadn't expired; indicators: (value, expires_at)."""
@@ -43,10 +45,12 @@ def in_ranges(events: DataFrame, value: Column, ranges: DataFrame, bits: int = 8
 
 
 def enrich(events: DataFrame, table: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Fills only what is missing: a column that events have already keeps its value."""
-    side = table.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in columns])
-    rows = events.join(side, key, "left")
-    filled = [F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in events.columns else F.col(f"__{c}").alias(c) for c in columns]
+    """Fills only what is missing, null or an empty text: a column that events have already keeps its value. Of repeated keys the greatest row counts,
+    so no event is repeated."""
+    side = table.groupBy(key).agg(F.max(F.struct(*columns)).alias("__x")).select(F.col(key), *[F.col("__x")[c].alias(f"__{c}") for c in columns])
+    rows, kinds = events.join(side, key, "left"), dict(events.dtypes)
+    own = lambda c: F.nullif(F.col(c), F.lit("")) if kinds[c] == "string" else F.col(c)
+    filled = [F.coalesce(own(c), F.col(f"__{c}"), F.col(c)).alias(c) if c in events.columns else F.col(f"__{c}").alias(c) for c in columns]
     return rows.select(*[c for c in events.columns if c not in columns], *filled)
 
 
@@ -63,13 +67,8 @@ def silence(alerts: DataFrame, silences: DataFrame) -> DataFrame:
 
 def least_multiplier(events: DataFrame, signals: DataFrame, key: str, ts: str = "ts", bucket_s: int = 3600) -> DataFrame:
     """Adds the smallest multiplier of the signals of a namespace that were live at the event, 1.0 without any; signals: (namespace, starts_at,
-    expires_at, multiplier). Signals are cut at buckets of time, so events meet only those of their namespace and bucket."""
-    second = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
-    cut = signals.select(F.col("namespace").alias("__n"), "starts_at", "expires_at", "multiplier", F.explode(F.sequence(F.floor(second("starts_at") / bucket_s), F.floor(second("expires_at") / bucket_s))).alias("__b"))
-    rows = events.withColumn("__b", F.floor(second(ts) / bucket_s))
-    live = (F.col("namespace") == F.col("__n")) & (rows["__b"] == cut["__b"]) & (F.col(ts) >= F.col("starts_at")) & (F.col(ts) < F.col("expires_at"))
-    found = rows.join(cut, live).groupBy(key).agg(F.min("multiplier").alias("multiplier"))
-    return events.join(found, key, "left").withColumn("multiplier", F.coalesce("multiplier", F.lit(1.0)))
+    expires_at, multiplier). One sweep over starts and events, in pieces of bucket_s."""
+    return live_least(events, signals, "namespace", "multiplier", ts, bucket_s, key).withColumn("multiplier", F.coalesce("multiplier", F.lit(1.0)))
 
 
 def hidden(seen: DataFrame, visible: DataFrame, key: str, ts: str = "ts") -> DataFrame:
@@ -103,10 +102,8 @@ def suppress_feedback(alerts: DataFrame, feedback: DataFrame, anomaly_rule: str
 
 
 def unseen_elsewhere(alerts: DataFrame, seen: DataFrame, ttl_s: int = 300, ts: str = "ts") -> DataFrame:
-    """Alerts whose fingerprint no other node told of in the last ttl_s seconds; seen: (fingerprint, node, at)."""
-    s = seen.select(F.col("fingerprint").alias("__f"), F.col("node").alias("__node"), F.col("at").alias("__at"))
-    late = (F.col(ts) >= F.col("__at")) & (F.col(ts) <= F.col("__at") + F.expr(f"interval {ttl_s} seconds"))
-    return alerts.join(s, (F.col("fingerprint") == F.col("__f")) & (F.col("node") != F.col("__node")) & late, "left_anti")
+    """Alerts whose fingerprint no other node told of in the last ttl_s seconds; seen: (fingerprint, node, at). One sort of both, no pairs."""
+    return not_seen_elsewhere(alerts, seen, ttl_s, ts)
 
 
 def extract_indicators(alerts: DataFrame, ttl: str = "24 hours", node: str = "") -> DataFrame:
@@ -147,11 +144,20 @@ def mining_signs(events: DataFrame, ports: list, names: list[str]) -> DataFrame:
 
 
 def in_chunks(values: DataFrame, column: str, n: int = 500) -> DataFrame:
-    """(chunk, items): the distinct values in order, n to a chunk. Values are dealt by range first, so a chunk never spans two ranges and no
-    task holds all of them; the last chunk of a range may be shorter."""
+    """(chunk, items): the distinct values in order, n to a chunk and numbered from 0, so that only the last chunk is shorter. Values are dealt by
+    range and numbered within it; the ranges' counts, added up, say where each begins. No task holds all values, and the chunks don't
+    depend on how many ranges there are."""
     from pyspark.sql import Window
 
-    own = values.select(F.col(column).alias("__v")).where("__v is not null").distinct().repartitionByRange("__v").withColumn("__p", F.spark_partition_id())
-    w = Window.partitionBy("__p").orderBy("__v")
-    rows = own.withColumn("__c", F.floor((F.row_number().over(w) - 1) / n))
-    return rows.groupBy("__p", "__c").agg(F.array_sort(F.collect_list("__v")).alias("items")).select(F.concat_ws("-", "__p", "__c").alias("chunk"), "items")
+    own = values.select(F.col(column).alias("__v")).where("__v is not null").distinct()
+    # cut points are values of a sample by hash, so that a task that runs again, or another use of the rows, deals as before
+    every = own.count() // 2000 + 1
+    sample = sorted(r["__v"] for r in own.where(F.pmod(F.xxhash64("__v"), F.lit(every)) == 0).collect())
+    cuts = sample[:: max(1, len(sample) // 64)]
+    rows = own.withColumn("__p", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("__v"))) if cuts else F.lit(0))
+    counts = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy("__v"))).join(counts, "__p")
+    rows = rows.withColumn("chunk", F.floor((F.col("__r") + F.col("__base") - 1) / n))
+    return rows.groupBy("chunk").agg(F.array_sort(F.collect_list("__v")).alias("items"))

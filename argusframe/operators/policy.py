@@ -37,6 +37,10 @@ def is_private(ip: Column) -> Column:
     return F.coalesce(n.between(10 << 24, (11 << 24) - 1) | n.between(2886729728, 2887778303) | n.between(3232235520, 3232301055) | n.between(127 << 24, (128 << 24) - 1), F.lit(False))
 
 
+#: Whether network.daddr is private; ``decide`` makes it once for all policies.
+PRIVATE = "__private"
+
+
 def said(text: str, *names: str) -> Callable[[], Column]:
     return lambda: F.format_string(text, *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names])
 
@@ -46,10 +50,10 @@ def shell(c: str = "comm") -> Column:
 
 
 NETWORK = [
-    Policy("mining_connection", lambda: F.col("network.dport").isin(list(MINING_PORTS)) & ~is_private(F.col("network.daddr")), said("%s connects to a mining port (pid=%s)", "comm", "pid"), "critical", "block", "T1496"),
+    Policy("mining_connection", lambda: F.col("network.dport").isin(list(MINING_PORTS)) & ~F.col(PRIVATE), said("%s connects to a mining port (pid=%s)", "comm", "pid"), "critical", "block", "T1496"),
     Policy("miner_with_network", lambda: F.col("network").isNotNull() & dns.is_miner(F.col("comm")), said("miner %s uses the network (pid=%s)", "comm", "pid"), "critical", "block", "T1496"),
-    Policy("privileged_port_nonroot", lambda: (F.col("network.dport") < 1024) & (F.col("uid") != 0) & ~is_private(F.col("network.daddr")), said("%s of user %s connects to a privileged port", "comm", "uid"), technique="T1048"),
-    Policy("shell_goes_out", lambda: (F.col("network.proto") == 6) & shell() & ~is_private(F.col("network.daddr")), said("shell %s connects to %s", "comm", "network.daddr"), technique="T1071"),
+    Policy("privileged_port_nonroot", lambda: (F.col("network.dport") < 1024) & (F.col("uid") != 0) & ~F.col(PRIVATE), said("%s of user %s connects to a privileged port", "comm", "uid"), technique="T1048"),
+    Policy("shell_goes_out", lambda: (F.col("network.proto") == 6) & shell() & ~F.col(PRIVATE), said("shell %s connects to %s", "comm", "network.daddr"), technique="T1071"),
     Policy("tor_port", lambda: F.col("network.dport").isin(list(TOR_PORTS)), said("%s connects to a Tor port (pid=%s)", "comm", "pid"), "critical", technique="T1090"),
 ]
 LINEAGE = [
@@ -78,18 +82,24 @@ CLUSTER = [
 PACKS = {"network": NETWORK, "lineage": LINEAGE, "file": FILE, "dns": DNS, "process_injection": INJECTION, "k8s": CLUSTER}
 
 
-def decisions(policies: list[Policy]) -> Column:
-    """All decisions for a row, in policy order."""
-    made = [F.when(F.coalesce(p.when(), F.lit(False)), F.struct(F.lit(p.id).alias("rule_id"), F.lit(p.severity).alias("severity"), p.message().alias("message"), F.lit(p.action).alias("action"), F.lit(p.technique).alias("technique"))) for p in policies]
-    return F.filter(F.array(*made), lambda x: x.isNotNull()) if made else F.array().cast(f"array<{DECISION}>")
-
-
 def decide(rows: DataFrame, policies: list[Policy]) -> DataFrame:
     """Adds decision: the first critical one, else the first; null if no policy fits. Where it isn't null it stands in for the rule's id,
-    severity and message."""
-    found = decisions(policies)
-    critical = F.filter(found, lambda d: d["severity"] == "critical")
-    return rows.withColumn("decision", F.coalesce(F.get(critical, F.lit(0)), F.get(found, F.lit(0))))
+    severity and message. Each predicate is asked once, critical ones first, until one holds; only the chosen one's message is made."""
+    if not policies:
+        return rows.withColumn("decision", F.lit(None).cast(DECISION))
+    chosen = F.lit(None).cast("int")
+    order = sorted(range(len(policies)), key=lambda i: policies[i].severity != "critical")
+    for i in reversed(order):
+        chosen = F.when(policies[i].when(), i).otherwise(chosen)
+    said = F.lit(None).cast("string")
+    for i in reversed(order):
+        said = F.when(F.col("__chosen") == i, policies[i].message()).otherwise(said)
+    of = lambda name: F.get(F.lit([getattr(p, name) for p in policies]), F.col("__chosen"))
+    made = F.struct(of("id").alias("rule_id"), of("severity").alias("severity"), said.alias("message"), of("action").alias("action"), of("technique").alias("technique"))
+    if "network" in rows.columns:
+        rows = rows.withColumn(PRIVATE, is_private(F.col("network.daddr")))
+    # out of an array, so that a filter on what follows isn't pushed below it and asks all again
+    return rows.withColumn("__chosen", F.explode_outer(F.array(chosen))).withColumn("decision", F.when(F.col("__chosen").isNotNull(), made)).drop("__chosen", PRIVATE)
 
 
 def overridden(alerts: DataFrame) -> DataFrame:

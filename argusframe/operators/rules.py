@@ -5,6 +5,7 @@ Logic is two-valued: a missing field makes every leaf false, and an empty value
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -204,11 +205,11 @@ def fnv1(data: list[Column]) -> Column:
 
 
 def sampled(rule: Rule, pid: Column, ts: Column, seed: int = 7) -> Column:
-    """Whether the rule looks at an event: all of a process within about a second alike (hash_pid), or each by chance (random)."""
+    """Whether the rule looks at an event: all of a process within about a second alike (hash_pid), or each by chance of its own (random)."""
     if rule.rate >= 1:
         return F.lit(True)
     if rule.sampling == "random":
-        return F.rand(seed) < rule.rate
+        return F.rand(seed + zlib.crc32(rule.id.encode())) < rule.rate
     pid, tick = pid.cast("long"), F.shiftright(F.unix_micros(ts.cast("timestamp")) * 1000, 30)
     data = [F.shiftright(x, 8 * i).bitwiseAND(F.lit(255)) for x, n in ((pid, 4), (tick, 8)) for i in range(n)]
     return fnv1(data) % 1000 < rule.rate * 1000
@@ -259,28 +260,45 @@ def overlay(rules: list[Rule], tuning: Mapping[str, list]) -> tuple[list[Rule],
 
 
 def evaluate(events: DataFrame, rules: list[Rule], fields: Mapping[str, Column] | Mapping[str, Mapping[str, Column]], type_col: str = "event_type", pid: str = "pid") -> DataFrame:
-    """One row per event and matching rule, in rule order: the event's columns, rule_id, severity, action. One pass, no join.
-    fields: columns by name, or by event type and name."""
-    by_type: dict[str, list[Rule]] = {}
-    for r in rules:
-        if r.action != "drop":
-            by_type.setdefault(r.event_type, []).append(r)
-    if not by_type:
+    """One row per event and matching rule, in rule order: the event's columns, rule_id, severity, action. One pass; the only joins look
+    values up in small tables (``rule_index``). fields: columns by name, or by event type and name."""
+    from . import rule_index as ri
+
+    listed = [r for r in rules if r.action != "drop"]
+    if not listed:
         return events.where("false").select("*", *[F.lit("").alias(c) for c in ("rule_id", "severity", "action")])
     nested = bool(fields) and isinstance(next(iter(fields.values())), Mapping)
-    columns, branches, listed = {}, [], []
-    for i, (kind, own) in enumerate(by_type.items()):
-        at = Resolved(fields.get(kind, {}) if nested else fields, f"__r{i}_")
-        hits = []
-        for r in own:
-            chosen = "" if r.rate >= 1 else f" AND {at.name(f'sampled {r.sampling} {r.rate}', lambda r=r: sampled(r, F.col(pid), F.col('ts')))}"
-            hits.append(f"IF({rule_text(r, at)}{chosen}, {len(listed)}, NULL)")
-            listed.append(r)
-        columns |= at.columns()
-        branches.append(f"WHEN {quoted(kind)} THEN array_compact(array({', '.join(hits)}))")
-    rows = events.where(F.col(type_col).isin(list(by_type))).withColumns(columns)
+    kinds = list(dict.fromkeys(r.event_type for r in listed))
+    at = {kind: Resolved(fields.get(kind, {}) if nested else fields, f"__r{i}_") for i, kind in enumerate(kinds)}
+    index = ri.Index(listed, lambda kind, field: field in at[kind].fields)
+
+    def test(i: int) -> str:
+        r = listed[i]
+        own = at[r.event_type]
+        chosen = "" if r.rate >= 1 else f" AND {own.name(f'sampled {r.sampling} {r.rate} {r.id * (r.sampling == "random")}', lambda: sampled(r, F.col(pid), F.col('ts')))}"
+        return rule_text(r, own) + chosen
+
+    keyless = {kind: [f"IF({test(i)}, {i}, NULL)" for i in index.keyless if listed[i].event_type == kind] for kind in kinds}
+    tests = {i: test(i) for i in range(len(listed)) if i not in index.untested and i not in set(index.keyless)}
+    for field, _, _ in index.slots:
+        for kind in kinds:
+            if field in at[kind].fields:
+                at[kind].text(field)
+    rows = events.where(F.col(type_col).isin(kinds)).withColumns({n: c for own in at.values() for n, c in own.columns().items()})
+    rows, hits = ri.look_up(rows, index, type_col, lambda kind, field: at[kind].text(field))
+    arms = " ".join(f"WHEN {quoted(kind)} THEN array_compact(array({', '.join(own)}))" for kind, own in keyless.items() if own)
+    none = F.array().cast("array<int>")
+    found = [F.coalesce(F.expr(f"CASE `{type_col}` {arms} END"), none)] if arms else []
+    if hits:
+        found.append(F.array_distinct(F.concat(*[F.coalesce(h, none) for h in hits])))
+    # columns that are used twice stay projections of their own: the tests of keyless rules are compiled there, while those of the few rules that were
+    # hit are interpreted in the filter over them, as code for all of them would be too long for one method
+    rows = rows.withColumn("__hits", F.array_sort(F.concat(*found)))
+    if tests:
+        kept = F.expr(f"filter(__hits, h -> NOT get(array({', '.join(str(i in tests).lower() for i in range(len(listed)))}), h) OR {ri.by_number(tests, 'h')})")
+        rows = rows.withColumn("__hits", F.when(F.size("__hits") > 0, kept))
     # outer: a plain explode makes the planner infer a filter that would test every rule twice
-    rows = rows.withColumn("__hit", F.explode_outer(F.expr(f"CASE `{type_col}` {' '.join(branches)} END"))).where("__hit is not null")
+    rows = rows.withColumn("__hit", F.explode_outer("__hits")).where("__hit is not null")
     said = [F.expr(f"element_at(array({', '.join(quoted(getattr(r, x)) for r in listed)}), __hit + 1)").alias(y) for x, y in (("id", "rule_id"), ("severity", "severity"), ("action", "action"))]
     return rows.select(*events.columns, *said)
 

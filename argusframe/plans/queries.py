@@ -317,12 +317,12 @@ def alert_aggregation(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import detection, formats  # noqa: F401  they register theirs
+    from . import along_time, detection, formats  # noqa: F401  they register theirs
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import detection, formats  # noqa: F401
+    from . import along_time, detection, formats  # noqa: F401
 
     return dict(ORACLES)

@@ -6,6 +6,9 @@ import hashlib
 import json
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..operators.rules import Condition, Group, Rule, problems
 from . import events
 
@@ -85,6 +88,13 @@ def checksums_of(text: str) -> dict[str, str]:
     return {name.strip().lstrip("*"): digest.lower() for digest, name in rows}
 
 
+def verified(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """(name, verdict) of files (name, content) held against digests (name, digest): ok, changed or unlisted. A name listed twice is ok by either."""
+    own = listed.groupBy("name").agg(F.collect_set(F.lower("digest")).alias("__d"))
+    found = files.withColumn("__sha", F.sha2("content", 256)).join(own, "name", "left")
+    return found.select("name", F.when(F.col("__d").isNull(), "unlisted").when(F.array_contains("__d", F.col("__sha")), "ok").otherwise("changed").alias("verdict"))
+
+
 def load_overlay(text: str) -> dict[str, list]:
     """Exceptions by rule id, for ``operators.rules.overlay``."""
     return {str(o["rule_id"]): [when_of(e) for e in o.get("exceptions") or ()] for o in parsed(text).get("overlays") or []}
