@@ -269,7 +269,8 @@ def evaluate(events: DataFrame, rules: list[Rule], fields: Mapping[str, Column]
         return events.where("false").select("*", *[F.lit("").alias(c) for c in ("rule_id", "severity", "action")])
     nested = bool(fields) and isinstance(next(iter(fields.values())), Mapping)
     kinds = list(dict.fromkeys(r.event_type for r in listed))
-    at = {kind: Resolved(fields.get(kind, {}) if nested else fields, f"__r{i}_") for i, kind in enumerate(kinds)}
+    shared = None if nested else Resolved(fields, "__r_")  # one set of columns for all kinds
+    at = {kind: shared or Resolved(fields.get(kind, {}), f"__r{i}_") for i, kind in enumerate(kinds)}
     index = ri.Index(listed, lambda kind, field: field in at[kind].fields)
 
     def test(i: int) -> str:

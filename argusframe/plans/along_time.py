@@ -75,7 +75,7 @@ def event_log_source(spark, sf):
     return found.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@query(ALERTS_SQL + ", c AS (SELECT user_id AS pid, ts AS at, event_id AS c, 't' || event_id AS trace_id FROM e WHERE k % 3 = 0), j AS (SELECT a.event_id, a.rule_id, a.ts, c.at, c.trace_id FROM alerts a ASOF LEFT JOIN c ON c.pid = a.pid AND c.at <= a.ts) SELECT event_id, rule_id, CASE WHEN at >= ts - INTERVAL 24 HOUR THEN trace_id END AS trace_id FROM j")
+@query(ALERTS_SQL + ", c AS (SELECT user_id AS pid, ts AS seen_at, 't' || event_id AS trace_id FROM e WHERE k % 3 = 0), j AS (SELECT a.event_id, a.rule_id, a.ts, c.seen_at, c.trace_id FROM alerts a ASOF LEFT JOIN c ON c.pid = a.pid AND c.seen_at <= a.ts) SELECT event_id, rule_id, CASE WHEN seen_at >= ts - INTERVAL 24 HOUR THEN trace_id END AS trace_id FROM j")
 def trace_attachment(spark, sf):
     rows = events(spark, sf).where("k % 3 = 0")
     ids = F.concat(F.lit("t"), F.col("event_id").cast("string"))
@@ -104,7 +104,7 @@ def alert_store(spark, sf):
     path, rows = scratch(spark, "store"), alerts(spark, sf).withColumns({"id": F.concat_ws("-", "rule_id", "pid"), "ts": F.col("ts").cast("timestamp")})
     rows = rows.select("id", "event_id", "ts", "severity")
     for batch in (0, 1, 1, 2):
-        store.merge(rows.where(F.col("event_id") % 3 == batch), path, "id", "event_id", "ts", "alerts", batch)
+        store.merge(rows.where(F.col("event_id") % 3 == batch), path, "id", "event_id", "ts", "alerts", batch, cells_a_day=2)
     store.delete(rows.where(F.endswith("id", F.lit("7"))).select("id"), path, "id", "ts")
     store.expire(spark, path, "2024-01-05 00:00:00")
     found = store.read(spark, path)
@@ -181,7 +181,7 @@ def new_sql(value: str) -> str:
     return f"coalesce((ts, event_id) = min((ts, event_id)) OVER (PARTITION BY user_id, {value}), FALSE)::INT"
 
 
-@query(f"WITH {EVENTS_SQL} SELECT event_id, round({new_sql('k % 20')} * 0.6 + {new_sql('event_type')} * 0.4, 6) AS file_score, {new_sql('k')} * 1.0 AS syscall_score, round({new_sql('event_type')} * 0.6 + {new_sql('k % 7')} * 0.4, 6) AS gpu_score, round({new_sql('k % 30')} * 0.5 + {new_sql('k % 11')} * 0.5, 6) AS network_score FROM e")
+@query(f"WITH {EVENTS_SQL} SELECT event_id, round({new_sql('k % 20')} * 0.6 + {new_sql('event_type')} * 0.4, 6)::DOUBLE AS file_score, ({new_sql('k')} * 1.0)::DOUBLE AS syscall_score, round({new_sql('event_type')} * 0.6 + {new_sql('k % 7')} * 0.4, 6)::DOUBLE AS gpu_score, round({new_sql('k % 30')} * 0.5 + {new_sql('k % 11')} * 0.5, 6)::DOUBLE AS network_score FROM e")
 def anomaly_forms(spark, sf):
     k = F.col("k")
     rows = events(spark, sf).withColumns({"directory": k % 20, "extension": F.col("event_type"), "nr": k, "gpu_op": F.col("event_type"), "size_bucket": k % 7, "dport": k % 30, "daddr": k % 11})

@@ -72,7 +72,7 @@ def written(rows: DataFrame, path: str) -> dict[str, str]:
     return out
 
 
-def changed(spark: SparkSession, path: str, change, source: str = "", batch: int | None = None) -> int | None:
+def changed(spark: SparkSession, path: str, change, source: str = "", batch: int | None = None, cells: int = CELLS) -> int | None:
     """Commits what ``change`` makes of the last version (commit -> (cells, schema), None for no change); the new version's number."""
     for _ in range(TRIES):
         known, commit = versions(spark, path), commit_of(spark, path)
@@ -85,19 +85,19 @@ def changed(spark: SparkSession, path: str, change, source: str = "", batch: int
         if batch is not None:
             batches[source] = batch
         version = known[-1] + 1 if known else 0
-        if Files(spark, path).create(f"commits/{version:08d}.json", {"cells": made[0], "schema": made[1], "batches": batches, "cells_a_day": (commit or {}).get("cells_a_day", CELLS)}):
+        if Files(spark, path).create(f"commits/{version:08d}.json", {"cells": made[0], "schema": made[1], "batches": batches, "cells_a_day": (commit or {}).get("cells_a_day", cells)}):
             return version
     raise RuntimeError(f"{path}: other writers took {TRIES} versions in a row")
 
 
-def merge(rows: DataFrame, path: str, key: str = "id", order: str = "arrived", ts: str | None = None, source: str = "", batch: int | None = None, moves: bool = True) -> int | None:
-    """Upserts rows; the new version's number, None if nothing was to do. ts: the column that days are taken from. source and batch: a batch
+def merge(rows: DataFrame, path: str, key: str = "id", order: str = "arrived", ts: str | None = None, source: str = "", batch: int | None = None, moves: bool = True, cells_a_day: int = CELLS) -> int | None:
+    """Upserts rows; the new version's number, None if nothing was to do. cells_a_day: hash cells of each day, settled by a table's first merge. ts: the column that days are taken from. source and batch: a batch
     of a source that was merged before, or an earlier one, changes nothing. moves: a key's row may come with another day than before, so
     that the keys of its hash cell are looked up on all days."""
     spark = rows.sparkSession
 
     def change(commit: dict | None):
-        cells = (commit or {}).get("cells_a_day", CELLS)
+        cells = (commit or {}).get("cells_a_day", cells_a_day)
         new = rows.select("*", *cells_of(rows, key, ts, cells), F.lit(1).alias("__late"))
         touched = [(r["__day"], r["__cell"]) for r in new.select("__day", "__cell").distinct().collect()]  # cells, not rows
         if not touched:
@@ -122,7 +122,7 @@ def merge(rows: DataFrame, path: str, key: str = "id", order: str = "arrived", t
         made = written(left, path)
         return {n: p for n, p in known.items() if n not in names} | made, json.loads(left.drop("__day", "__cell").schema.json())
 
-    return changed(spark, path, change, source, batch)
+    return changed(spark, path, change, source, batch, cells_a_day)
 
 
 def batch_writer(path: str, key: str = "id", order: str = "arrived", ts: str | None = None, source: str = "stream", moves: bool = True):
@@ -163,13 +163,10 @@ def expire(spark: SparkSession, path: str, before: str, ts: str = "ts") -> int |
         kept = {n: p for n, p in commit["cells"].items() if n.split("/")[0] > day}  # "none" sorts after all days
         edge = [n for n in commit["cells"] if n.split("/")[0] == day]
         if edge:
-            rows = opened(spark, path, commit, edge).where(F.col(ts) >= F.lit(before).cast("timestamp"))
-            key_cells = F.lit(None).cast("int")
             parts = [opened(spark, path, commit, [n]).where(F.col(ts) >= F.lit(before).cast("timestamp")).withColumns({"__day": F.lit(day), "__cell": F.lit(int(n.split("/")[1]))}) for n in edge]
             left = parts[0]
             for p in parts[1:]:
                 left = left.union(p)
-            del rows, key_cells
             kept |= written(left, path)
         return None if len(kept) == len(commit["cells"]) and not edge else (kept, commit["schema"])
 
