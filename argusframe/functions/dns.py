@@ -75,9 +75,13 @@ def is_dynamic_name(qname: Column) -> Column:
     return any_of([q.contains(w) for w in DYNAMIC_WORDS] + [q.endswith(x) for x in DYNAMIC_SUFFIXES])
 
 
+#: Names of mining programs.
+MINER_NAMES = ("xmrig", "minerd", "cgminer", "bfgminer")
+
+
 def is_miner(comm: Column) -> Column:
     c = F.lower(comm)
-    return c.isin("xmrig", "minerd", "cgminer", "bfgminer") | any_of([c.contains(w) for w in MINER_WORDS])
+    return c.isin(*MINER_NAMES) | any_of([c.contains(w) for w in MINER_WORDS])
 
 
 def is_suspicious(qname: Column, qtype: Column, rcode: Column, is_response: Column, comm: Column, score: Column, threshold: float = GENERATED) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,20 +118,35 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ok, part(1) * (1 << 24) + part(2) * (1 << 16) + part(3) * 256 + part(4))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ipv6_hex(ip: Column) -> Column:
     """An IPv6 address as 32 hex digits in lower case; null if it isn't one. The last 32 bits may be written as IPv4."""
+    none = F.array().cast("array<string>")
+
+    def written(tail: Column) -> Column:
+        """The address with its last 32 bits in hex."""
+        low = F.lpad(F.lower(F.hex(tail)), 8, "0")
+        text = F.when(tail.isNotNull(), F.concat(F.regexp_extract(ip, r"^(.*:)[0-9.]+\z", 1), F.left(low, F.lit(4)), F.lit(":"), F.right(low, F.lit(4)))).otherwise(ip)
+        return F.when(F.contains(ip, F.lit(".")) & tail.isNull(), F.lit(None)).otherwise(F.lower(text))
+
+    def of_halves(halves: Column) -> Column:
+        groups = lambda half: F.when(half == "", none).otherwise(F.split(half, ":"))
+        right = F.when(F.size(halves) == 1, none).otherwise(F.coalesce(groups(F.get(halves, F.lit(1))), none))
+        return bound(F.struct(groups(F.get(halves, F.lit(0))).alias("left"), right.alias("right"), (F.size(halves) == 2).alias("short")), of_groups)
+
+    def of_groups(x: Column) -> Column:
+        joined = lambda part: F.array_join(F.transform(part, lambda g: F.lpad(g, 4, "0")), "")
+        n = F.size(x["left"]) + F.size(x["right"])
+        right = lambda part: F.forall(part, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
+        ok = right(x["left"]) & right(x["right"]) & F.when(x["short"], n <= 7).otherwise(n == 8)
+        return F.when(ok, F.concat(joined(x["left"]), F.repeat(F.lit("0000"), 8 - n), joined(x["right"])))
+
     tail = ipv4_number(F.regexp_extract(ip, r":([0-9.]+)\z", 1))
-    low = F.lpad(F.lower(F.hex(tail)), 8, "0")
-    text = F.when(tail.isNotNull(), F.concat(F.regexp_extract(ip, r"^(.*:)[0-9.]+\z", 1), F.left(low, F.lit(4)), F.lit(":"), F.right(low, F.lit(4)))).otherwise(ip)
-    text = F.when(F.contains(ip, F.lit(".")) & tail.isNull(), F.lit(None)).otherwise(F.lower(text))
-    halves = F.split(text, "::")
-    groups = lambda half: F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
-    left, right = groups(F.get(halves, F.lit(0))), F.coalesce(groups(F.get(halves, F.lit(1))), F.array().cast("array<string>"))
-    right = F.when(F.size(halves) == 1, F.array().cast("array<string>")).otherwise(right)
-    given = F.concat(left, right)
-    ok = F.forall(given, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z")) & (((F.size(halves) == 1) & (F.size(given) == 8)) | ((F.size(halves) == 2) & (F.size(given) <= 7)))
-    joined = lambda part: F.array_join(F.transform(part, lambda g: F.lpad(g, 4, "0")), "")
-    return F.when(ok, F.concat(joined(left), F.repeat(F.lit("0000"), 8 - F.size(given)), joined(right)))
+    return F.when(F.contains(ip, F.lit(":")), bound(F.split(bound(tail, written), "::"), lambda halves: F.when(F.size(halves) <= 2, of_halves(halves))))
 
 
 def mapped_ipv4(digits: Column) -> Column:

@@ -30,6 +30,20 @@ PATTERNS = [
 ]
 
 
+def load_patterns(text: str) -> list[Pattern]:
+    """Patterns of a file (YAML or JSON: patterns of name, parent_comms, child_comms, severity, condition of field, op and values)."""
+    from ..sources.rule_files import parsed
+
+    out = []
+    for x in parsed(text).get("patterns") or []:
+        c = x.get("condition") or None
+        out.append(Pattern(str(x["name"]), tuple(map(str, x.get("parent_comms") or ())), tuple(map(str, x.get("child_comms") or ())), str(x.get("severity") or "warning"), (str(c["field"]), str(c["op"]), tuple(c.get("values") or ())) if c else None))
+    names = [p.name for p in out]
+    if wrong := [f"{p.name}: no parents or children" for p in out if not p.parents or not p.children] + [f"{n}: twice" for n in sorted({n for n in names if names.count(n) > 1})]:
+        raise ValueError("; ".join(wrong))
+    return out
+
+
 def is_one_of(comm: Column, names: tuple) -> Column:
     """A name itself, or it with a hyphen or digit and anything after it."""
     return any_of([comm.rlike(f"(?s)^\\Q{n}\\E([-0-9].*)?\\z") for n in names])

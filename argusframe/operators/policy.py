@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dns
 from ..functions.fields import ipv4_number
 from . import lineage
+from .rules import any_of
 
 DECISION = "struct<rule_id:string,severity:string,message:string,action:string,technique:string>"
 #: Ports and process names of the packs.
@@ -126,6 +127,35 @@ def admission(pods: DataFrame, column: str = "value", id_col: str = "id") -> Dat
     return pods.select(F.col(id_col), deny.alias("deny"), warn.alias("warn"))
 
 
+#: Fixed values of the admission pack: capabilities, namespaces and host paths.
+DANGEROUS = ("SYS_ADMIN", "NET_ADMIN", "SYS_PTRACE", "SYS_MODULE", "SYS_RAWIO", "DAC_READ_SEARCH", "SETUID", "SETGID")
+SYSTEM_NAMESPACES, SAFE_PATHS = ("kube-system", "kube-public", "kube-node-lease"), ("/sys/kernel/btf", "/sys/fs/bpf", "/proc")
+BOX = "array<struct<name:string,image:string,securityContext:struct<privileged:boolean,runAsUser:bigint,allowPrivilegeEscalation:boolean,capabilities:struct<add:array<string>>>>>"
+REVIEW = f"request struct<namespace:string,object:struct<spec:struct<hostNetwork:boolean,hostPID:boolean,hostIPC:boolean,containers:{BOX},initContainers:{BOX},ephemeralContainers:{BOX},volumes:array<struct<name:string,hostPath:struct<path:string>>>>>>"
+
+
+def review(requests: DataFrame, column: str = "value", id_col: str = "id") -> DataFrame:
+    """(id, deny, warn) of admission reviews (JSON): messages about a pod, any in deny refuses it. All kinds of containers count; pods of the
+    system's namespaces may share the host's namespaces. A text that is no review has no messages."""
+    request = F.from_json(column, REVIEW)["request"]
+    spec, namespace = request["object"]["spec"], request["namespace"]
+    none = F.array().cast(BOX)
+    boxes = F.concat(*[F.coalesce(spec[n], none) for n in ("containers", "initContainers", "ephemeralContainers")])
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    named = lambda test, text: F.transform(F.filter(boxes, test), lambda c: F.concat(F.lit("container "), c["name"], F.lit(f" {text}")))
+    outside = ~yes(namespace.isin(*SYSTEM_NAMESPACES))
+    shared = F.array_compact(F.array(*[F.when(yes(spec[n]) & outside, f"{n} outside the system's namespaces") for n in ("hostNetwork", "hostPID", "hostIPC")]))
+    added = lambda c: F.filter(F.coalesce(c["securityContext"]["capabilities"]["add"], F.array().cast("array<string>")), lambda x: x.isin(*DANGEROUS))
+    capable = F.flatten(F.transform(boxes, lambda c: F.transform(added(c), lambda x: F.concat(F.lit("container "), c["name"], F.lit(" asks for capability "), x))))
+    volumes = F.filter(F.coalesce(spec["volumes"], F.array().cast("array<struct<name:string,hostPath:struct<path:string>>>")), lambda v: v["hostPath"].isNotNull())
+    safe = lambda path: any_of([F.coalesce(F.startswith(path, F.lit(p)), F.lit(False)) for p in SAFE_PATHS])
+    mounts = F.transform(F.filter(volumes, lambda v: ~safe(v["hostPath"]["path"])), lambda v: F.concat(F.lit("volume "), v["name"], F.lit(" mounts host path "), F.coalesce(v["hostPath"]["path"], F.lit(""))))
+    deny = F.concat(shared, named(lambda c: yes(c["securityContext"]["allowPrivilegeEscalation"]), "may escalate"))
+    warn = F.concat(named(lambda c: yes(c["securityContext"]["privileged"]), "is privileged"), capable, named(lambda c: yes(c["securityContext"]["runAsUser"] == 0), "runs as root"), named(lambda c: yes(F.endswith(c["image"], F.lit(":latest"))), "has no fixed image"), mounts)
+    empty = F.array().cast("array<string>")
+    return requests.select(F.col(id_col), F.coalesce(deny, empty).alias("deny"), F.coalesce(warn, empty).alias("warn"))
+
+
 def audit_query(entries: DataFrame, since: str | None = None, action: str = "", pid: int = 0) -> DataFrame:
     """Audit entries (ts, action, pid, rule_id, success) from ``since`` on; empty filters let all pass."""
     rows = entries.where(F.col("ts") >= F.lit(since).cast("timestamp")) if since else entries
@@ -144,12 +174,11 @@ def escalations(alerts: DataFrame, prefixes: list[str], safe: list[str], per_min
     the dry run is over. A column only: nothing is done to a host."""
     from pyspark.sql import Window
 
-    from .rules import any_of
-
     wanted = any_of([F.col("rule_id").startswith(p) for p in prefixes]) & ~F.col("comm").isin(safe)
     wanted = wanted & (F.col("ts") >= F.lit(dry_until).cast("timestamp")) if dry_until else wanted
     rows = alerts.withColumn("__want", F.coalesce(wanted, F.lit(False)))
-    w = Window.partitionBy(F.date_trunc("minute", "ts"), "__want").orderBy("ts", tie)
+    dealt = F.when(F.col("__want"), 0).otherwise(F.pmod(F.xxhash64(tie), F.lit(256)))  # only wanted rows are ranked; the others are no one task's work
+    w = Window.partitionBy(F.date_trunc("minute", "ts"), "__want", dealt).orderBy("ts", tie)
     return rows.withColumn("would_enforce", F.col("__want") & (F.row_number().over(w) <= per_minute)).drop("__want")
 
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.fields import cidr_bounds, host_of_url, ipv4_number, ipv6_hex, mapped_ipv4
+from ..functions.fields import bound, cidr_bounds, host_of_url, ipv4_number, ipv6_hex, mapped_ipv4
 
 #: Linux capability names in bit order from 0 (fixed values).
 CAPABILITIES = """chown dac_override dac_read_search fowner fsetid kill setgid setuid setpcap linux_immutable net_bind_service net_broadcast
@@ -99,12 +99,13 @@ class Resolved:
 
     def ipv4(self, f: str) -> str:
         ip = self.fields[f].cast("string")
-        mapped = lambda: F.when(F.contains(ip, F.lit(":")), mapped_ipv4(ipv6_hex(ip)))
+        mapped = lambda: F.when(F.contains(ip, F.lit(":")), bound(ipv6_hex(ip), mapped_ipv4))
         return self.name(f"ipv4 {f}", lambda: F.coalesce(ipv4_number(ip), mapped()))
 
     def ipv6(self, f: str) -> str:
-        digits = ipv6_hex(self.fields[f].cast("string"))
-        return self.name(f"ipv6 {f}", lambda: F.when(mapped_ipv4(digits).isNull(), digits))
+        ip = self.fields[f].cast("string")
+        own = lambda digits: F.when(mapped_ipv4(digits).isNull(), digits)
+        return self.name(f"ipv6 {f}", lambda: F.when(F.contains(ip, F.lit(":")), bound(ipv6_hex(ip), own)))
 
     def columns(self) -> dict[str, Column]:
         return dict(self.made.values())

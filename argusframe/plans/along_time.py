@@ -177,6 +177,75 @@ def scoped_alerts(spark, sf):
     return seen.union(al.by_id(rows, "odd_click-7").select("event_id", F.lit("by id").alias("rule_id")))
 
 
+PARENT_NAMES, CHILD_NAMES = ["nginx", "postgres", "cron", "npm", "init", "systemd"], ["bash", "curl", "xmrig", "python3", "dig"]
+PATHS = ["/etc/shadow", "/proc/self/cwd/../x", "/dev/shm/a.so", "/home/u/.ssh/id_rsa.pub", "/var/run/docker.sock"]
+NAMES = ["a1b2c3d4e5f6g7.evil", "www1234567890abc.com", "x.duckdns.org", "pool.mine.io", "tor.exit.link"]
+FRAME_SQL = f"""f AS (SELECT event_id, user_id AS pid, k, list_extract({PARENT_NAMES}, user_id % 6 + 1) AS parent, list_extract({CHILD_NAMES}, k % 5 + 1) AS comm, CASE event_type WHEN 'click' THEN 'network' WHEN 'view' THEN 'file' WHEN 'error' THEN 'dns' ELSE 'syscall' END AS kind,
+  list_extract([22, 3333, 9001, 2379, 443, 2225], k % 6 + 1) AS dport, list_extract(['10.1.2.3', '93.184.1.1', '169.254.169.254'], user_id % 3 + 1) AS daddr, k % 7 AS uid,
+  list_extract({PATHS}, k % 5 + 1) AS path, CASE WHEN k % 2 = 0 THEN 'write' ELSE 'open' END AS op, list_extract({NAMES}, k % 5 + 1) AS qname, k % 2 AS direction, CASE WHEN k % 3 = 0 THEN 16 ELSE 1 END AS qtype, CASE WHEN user_id % 2 = 0 THEN 3 ELSE 0 END AS rcode, list_extract([101, 319, 322, 5], user_id % 4 + 1) AS nr FROM e)"""
+
+
+def frame(spark, sf):
+    """The events as an event frame: network, file, DNS and system calls by processes with parents."""
+    k, u = F.col("k"), F.col("user_id")
+    pick = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
+    rows = events(spark, sf).withColumns({
+        "pid": u, "uid": k % 7, "parent_comm": pick(PARENT_NAMES, u % 6), "comm": pick(CHILD_NAMES, k % 5), "kind": F.when(F.col("event_type") == "click", "network").when(F.col("event_type") == "view", "file").when(F.col("event_type") == "error", "dns").otherwise("syscall"),
+    })
+    rows = rows.withColumn("event_type", F.col("kind"))
+    of = lambda kind, s: F.when(F.col("kind") == kind, s)
+    return rows.withColumns({
+        "network": of("network", F.struct(pick([22, 3333, 9001, 2379, 443, 2225], k % 6).alias("dport"), pick(["10.1.2.3", "93.184.1.1", "169.254.169.254"], u % 3).alias("daddr"), F.lit(6).alias("proto"))),
+        "file": of("file", F.struct(pick(PATHS, k % 5).alias("filename"), F.when(k % 2 == 0, "write").otherwise("open").alias("op"), F.lit(0).cast("bigint").alias("mode"))),
+        "dns": of("dns", F.struct(pick(NAMES, k % 5).alias("qname"), F.when(k % 3 == 0, 16).otherwise(1).alias("qtype"), F.when(u % 2 == 0, 3).otherwise(0).alias("rcode"), (k % 2).cast("int").alias("direction"))),
+        "syscall": of("syscall", F.struct(pick([101, 319, 322, 5], u % 4).alias("nr"))),
+    })
+
+
+@query(f"""WITH {EVENTS_SQL}, {FRAME_SQL}, g AS (SELECT *, comm IN ('bash', 'python3') AS shell, NOT starts_with(daddr, '10.') AS outside FROM f),
+ d AS (SELECT event_id, pid, comm, CASE
+  WHEN kind IN ('network', 'dns', 'syscall') AND parent = 'nginx' AND shell THEN 'reverse_shell_webserver' WHEN parent = 'postgres' AND shell THEN 'shell_from_database'
+  WHEN kind = 'file' AND path = '/proc/self/cwd/../x' THEN 'container_escape_proc'
+  WHEN kind = 'network' AND dport = 3333 AND outside THEN 'cryptominer_connection' WHEN kind = 'network' AND comm = 'xmrig' THEN 'miner_process_network' WHEN kind = 'network' AND dport = 9001 THEN 'tor_connection'
+  WHEN kind = 'file' AND path = '/etc/shadow' THEN 'shadow_access' WHEN kind = 'file' AND path = '/var/run/docker.sock' THEN 'docker_socket_access'
+  WHEN kind = 'dns' AND direction = 0 AND qname = 'a1b2c3d4e5f6g7.evil' THEN 'dga_domain' WHEN kind = 'dns' AND direction = 0 AND qname = 'pool.mine.io' THEN 'mining_pool_dns' WHEN kind = 'dns' AND direction = 0 AND qname = 'tor.exit.link' THEN 'tor_dns_query' WHEN kind = 'dns' AND direction = 0 AND comm = 'xmrig' THEN 'miner_dns_query'
+  WHEN kind = 'syscall' AND nr = 319 THEN 'memfd_fileless_staging' WHEN kind = 'syscall' AND nr = 322 THEN 'fexecve_fileless_exec' WHEN kind = 'file' AND path = '/dev/shm/a.so' THEN 'devshm_so_staging'
+  WHEN kind = 'network' AND dport = 2379 THEN 'k8s_etcd_direct_access' WHEN kind = 'network' AND daddr = '169.254.169.254' THEN 'k8s_imds_access'
+  WHEN kind = 'file' AND path LIKE '%.ssh/id_%' THEN 'ssh_key_access' WHEN parent = 'init' AND shell THEN 'init_spawns_shell' WHEN parent = 'cron' AND shell THEN 'cron_spawns_shell' WHEN parent = 'npm' AND shell THEN 'package_manager_shell'
+  WHEN kind = 'network' AND dport < 1024 AND uid <> 0 AND outside THEN 'privileged_port_nonroot' WHEN kind = 'network' AND dport = 2225 THEN 'ssh_nonstandard_port' WHEN kind = 'network' AND shell AND outside THEN 'rapid_connections' WHEN kind = 'network' AND dport = 443 AND comm = 'dig' THEN 'dns_over_https'
+  WHEN kind = 'dns' AND direction = 0 AND qname LIKE '%.link' THEN 'suspicious_tld' WHEN kind = 'dns' AND direction = 0 AND qtype = 16 AND comm <> 'dig' THEN 'dns_txt_query' WHEN kind = 'dns' AND direction = 0 AND qname = 'x.duckdns.org' THEN 'dynamic_dns_query' WHEN kind = 'dns' AND direction = 1 AND rcode = 3 AND shell THEN 'nxdomain_response'
+  WHEN kind = 'syscall' AND nr = 101 THEN 'ptrace_injection' END AS rule_id FROM g)
+ SELECT event_id, rule_id, replace(rule_id, '_', ' ') || ': ' || comm || ' (pid=' || pid || ')' AS message FROM d WHERE rule_id IS NOT NULL""")
+def policy_pack_decisions(spark, sf):
+    """All packs at once."""
+    from ..operators import packs
+
+    found = packs.decide(frame(spark, sf), [p for pack in packs.PACKS.values() for p in pack])
+    return found.where("decision is not null").select("event_id", "decision.rule_id", "decision.message")
+
+
+@query(ALERTS_SQL + """ SELECT event_id, rule_id, '{"text":"[' || upper(severity) || '] ' || rule_id || ': ' || comm || ' (pid ' || pid || ')' || CASE WHEN k % 2 = 0 THEN ' in ns/p' || k ELSE '' END || ' - m' || k || '"}' AS slack FROM alerts""")
+def chat_payloads(spark, sf):
+    from ..sinks import lines
+
+    k = F.col("k").cast("string")
+    rows = alerts(spark, sf).withColumns({"message": F.concat(F.lit("m"), k), "pod_name": F.when(F.col("k") % 2 == 0, F.concat(F.lit("p"), k)).otherwise(""), "namespace": F.lit("ns")})
+    return rows.select("event_id", "rule_id", lines.chat_json(rows, "slack").alias("slack"))
+
+
+@query(f"WITH {EVENTS_SQL}, v AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'kube-system' ELSE 'shop' END AS ns FROM e) SELECT event_id, array_to_string(list_filter([CASE WHEN k % 2 = 0 AND ns = 'shop' THEN 'hostPID outside the system''s namespaces' END, CASE WHEN k % 5 = 0 THEN 'container i' || k || ' may escalate' END], lambda x: x IS NOT NULL), '; ') AS deny, array_to_string(list_filter([CASE WHEN k % 7 = 0 THEN 'container c' || k || ' asks for capability NET_ADMIN' END, CASE WHEN user_id % 2 = 0 THEN 'volume v mounts host path /etc' END], lambda x: x IS NOT NULL), '; ') AS warn FROM v")
+def admission_reviews(spark, sf):
+    from ..operators.policy import review
+
+    k, text = F.col("k"), F.col("k").cast("string")
+    box = F.struct(F.concat(F.lit("c"), text).alias("name"), F.lit("x:1").alias("image"), F.struct(F.struct(F.when(k % 7 == 0, F.array(F.lit("NET_ADMIN"), F.lit("CHOWN"))).alias("add")).alias("capabilities")).alias("securityContext"))
+    first = F.struct(F.concat(F.lit("i"), text).alias("name"), F.lit("y:1").alias("image"), F.struct((k % 5 == 0).alias("allowPrivilegeEscalation")).alias("securityContext"))
+    path = F.struct(F.lit("v").alias("name"), F.struct(F.when(F.col("user_id") % 2 == 0, "/etc").otherwise("/sys/fs/bpf/x").alias("path")).alias("hostPath"))
+    spec = F.struct((k % 2 == 0).alias("hostPID"), F.array(box).alias("containers"), F.array(first).alias("initContainers"), F.array(path).alias("volumes"))
+    rows = events(spark, sf).select("event_id", F.to_json(F.struct(F.struct(F.when(k % 3 == 0, "kube-system").otherwise("shop").alias("namespace"), F.struct(spec.alias("spec")).alias("object")).alias("request"))).alias("value"))
+    return review(rows, "value", "event_id").select("event_id", F.array_join("deny", "; ").alias("deny"), F.array_join("warn", "; ").alias("warn"))
+
+
 def new_sql(value: str) -> str:
     return f"coalesce((ts, event_id) = min((ts, event_id)) OVER (PARTITION BY user_id, {value}), FALSE)::INT"
 

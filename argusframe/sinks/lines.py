@@ -109,6 +109,21 @@ def log_record_json(alerts: DataFrame, service: str = "argusframe") -> Column:
     return F.to_json(F.struct(nanos.alias("timeUnixNano"), mapped(v("severity"), {"critical": 21, "warning": 13}, 9).alias("severityNumber"), F.upper(v("severity")).alias("severityText"), F.struct(v("message").alias("stringValue")).alias("body"), F.concat(pairs, F.array(attribute("service.name", F.lit(service)))).alias("attributes")))
 
 
+def chat_text(alerts: DataFrame) -> Column:
+    """One alert as a line for people: severity, rule, process and message, with the pod if there is one."""
+    v = lambda n: value(alerts, n)
+    where = F.when(v("pod_name") != "", F.concat(F.lit(" in "), F.concat_ws("/", F.nullif(v("namespace"), F.lit("")), v("pod_name")))).otherwise("")
+    return F.concat(F.lit("["), F.upper(v("severity")), F.lit("] "), v("rule_id"), F.lit(": "), v("comm"), F.lit(" (pid "), v("pid"), F.lit(")"), where, F.when(v("message") != "", F.concat(F.lit(" - "), v("message"))).otherwise(""))
+
+
+def chat_json(alerts: DataFrame, kind: str, chat_id: str = "") -> Column:
+    """The body that a chat service's webhook takes: slack ({text}), discord ({content}, at most 2000 characters) or telegram ({chat_id, text}, at
+    most 4096); longer texts end in an ellipsis."""
+    short = lambda n: F.when(F.char_length(chat_text(alerts)) > n, F.concat(F.left(chat_text(alerts), F.lit(n - 1)), F.lit("\u2026"))).otherwise(chat_text(alerts))
+    bodies = {"slack": F.struct(chat_text(alerts).alias("text")), "discord": F.struct(short(2000).alias("content")), "telegram": F.struct(F.lit(chat_id).alias("chat_id"), short(4096).alias("text"))}
+    return F.to_json(bodies[kind])
+
+
 def webhook_json(alerts: DataFrame, least: str = "warning") -> DataFrame:
     """(body) of the alerts of at least a severity, as a webhook or a Kafka topic takes them: all columns that aren't null."""
     rank = mapped(F.col("severity"), {"critical": 2, "warning": 1}, 0)

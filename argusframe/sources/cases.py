@@ -77,14 +77,13 @@ def junit(verdicts: list[dict], suite: str = "rules") -> str:
 
 
 def scenarios() -> list[dict]:
-    """Canned attacks with the rules that should see them."""
+    """Own attacks for dry runs, each with the rules that should see it; their events use other fields and values than the rules' plainest ones."""
     at = lambda i, rules, **spec: {"id": i, "rule_ids": rules, "event": {"pid": 99_990, "uid": 0} | spec}
     return [
-        at("container-escape-ptrace", ["ptrace_of_init"], type="syscall", comm="escape", syscall={"nr": 101, "args": [16, 1]}),
-        at("miner-pool-connect", ["mining_port"], type="network", comm="kworker9", network={"src_ip": "10.0.0.9", "dst_ip": "127.0.0.1", "dport": 3333}),
-        at("generated-name-query", ["generated_name"], type="dns", comm="beacon", dns={"qname": "xq7zk2vw9p4jh8tb3mn6.example", "qtype": 1, "rcode": 0, "direction": 0}),
-        at("preload-drop", ["preload_written"], type="file", comm="dropper", file={"filename": "/etc/ld.so.preload", "op": "write", "flags": 1}),
-        at("shadow-read", ["shadow_opened"], type="file", comm="reader", uid=1000, file={"filename": "/etc/shadow"}),
-        at("sys-admin-gained", ["admin_gained"], type="privesc", comm="exploit", privesc={"caps_gained": ["CAP_SYS_ADMIN"]}),
-        at("module-from-tmpfs", ["module_from_memory"], type="kmod", comm="insmod", kmod={"mod_name": "rootkit", "from_tmpfs": True}),
+        at("group-passwords-read", ["shadow_opened"], type="file", comm="backup-job", uid=4021, file={"filename": "/etc/gshadow", "op": "open"}),
+        at("loader-list-appended", ["preload_written"], type="file", comm="installer", uid=12, file={"filename": "/etc/ld.so.preload", "op": "open", "flags": 1025}),
+        at("second-stratum-port", ["mining_port"], type="network", comm="render-node", uid=700, network={"src_ip": "10.9.0.4", "dst_ip": "198.51.100.77", "dport": 4444}),
+        at("service-gains-admin", ["admin_gained"], type="privesc", comm="log-shipper", uid=33, privesc={"caps_gained": ["CAP_SYS_ADMIN", "CAP_NET_RAW"]}),
+        at("driver-from-memory", ["module_from_memory"], type="kmod", comm="modprobe", kmod={"mod_name": "usbhid2", "from_tmpfs": True}),
+        at("first-process-traced", ["ptrace_of_init"], type="syscall", comm="profiler", uid=1000, syscall={"nr": 101, "args": [16902, 1]}),
     ]

@@ -369,3 +369,75 @@ def test_decisions_take_the_first_critical(spark):
 
     plan = po.decide(spark.createDataFrame([], events.SCHEMA), every)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") < 40
+
+
+# --- packs, patterns, reviews, chat
+
+
+def test_packs(spark):
+    from argusframe.operators import packs
+    from argusframe.sources import events
+
+    every = [p for pack in packs.PACKS.values() for p in pack]
+    assert len({p.id for p in every}) == 51 and set(packs.PACKS) == {"network", "lineage", "file", "dns", "process_injection", "k8s"}
+    cases = [
+        ({"type": "network", "comm": "x", "network": {"dst_ip": "8.8.8.8", "dport": 45560}}, "cryptominer_connection"), ({"type": "network", "comm": "x", "network": {"dst_ip": "10.1.1.1", "dport": 45560}}, None),
+        ({"type": "network", "comm": "MyMiner", "network": {"dst_ip": "10.1.1.1", "dport": 80}}, "miner_process_network"), ({"type": "network", "comm": "x", "uid": 0, "network": {"dst_ip": "169.254.170.2", "dport": 80}}, "k8s_imds_access"),
+        ({"type": "network", "comm": "etcd", "network": {"dst_ip": "10.1.1.1", "dport": 2379}}, None), ({"type": "file", "comm": "cat", "file": {"filename": "/home/a/.ssh/id_rsa.pub", "op": "open"}}, "ssh_key_access"),
+        ({"type": "file", "comm": "kubelet", "file": {"filename": "/var/run/secrets/kubernetes.io/serviceaccount/token", "op": "open"}}, None), ({"type": "file", "comm": "x", "file": {"filename": "/proc/77/mem", "op": "write"}}, "proc_mem_write"),
+        ({"type": "file", "comm": "x", "file": {"filename": "/etc/resolv.conf", "op": "write"}}, "resolv_conf_modify"), ({"type": "file", "comm": "x", "file": {"filename": "/bin/su", "op": "open", "mode": 0o4755}}, "setuid_binary"),
+        ({"type": "dns", "comm": "x", "dns": {"qname": "abcdefghijkl9mno.net", "qtype": 1, "rcode": 0, "direction": 0}}, "dga_domain"), ({"type": "dns", "comm": "x", "dns": {"qname": "abcdefcdnijkl9mno.net", "qtype": 1, "rcode": 0, "direction": 0}}, None),
+        ({"type": "dns", "comm": "unbound", "dns": {"qname": "a.example.org", "qtype": 16, "rcode": 0, "direction": 0}}, None), ({"type": "dns", "comm": "python3", "dns": {"qname": "a.example.org", "qtype": 1, "rcode": 3, "direction": 1}}, "nxdomain_response"),
+        ({"type": "syscall", "comm": "gdb", "syscall": {"nr": 101}}, None), ({"type": "syscall", "comm": "x", "syscall": {"nr": 101}}, "ptrace_injection"), ({"type": "syscall", "comm": None, "syscall": {"nr": 322}}, "fexecve_fileless_exec"),
+    ]
+    rows = events.build(spark, [spec for spec, _ in cases])
+    found = {x.event_id: x.decision and x.decision.rule_id for x in packs.decide(rows, every).collect()}
+    assert found == {i: want for i, (_, want) in enumerate(cases)}
+    parents = rows.withColumns({"parent_comm": F.lit("postgres"), "comm": F.lit("bash")})
+    assert {x.decision.rule_id for x in packs.decide(parents, packs.LINEAGE).collect()} == {"shell_from_database"}
+    assert packs.decide(rows, []).where("decision is null").count() == len(cases)
+    assert len(packs.decide(rows, every)._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+
+
+def test_pattern_files():
+    from argusframe.operators import lineage as ln
+
+    text = "patterns:\n - {name: a, parent_comms: [cron, crond], child_comms: [sh], severity: info}\n - {name: b, parent_comms: [x], child_comms: [y], condition: {field: uid, op: not_in, values: [0]}}\n"
+    assert ln.load_patterns(text) == [ln.Pattern("a", ("cron", "crond"), ("sh",), "info"), ln.Pattern("b", ("x",), ("y",), "warning", ("uid", "not_in", (0,)))]
+    with pytest.raises(ValueError, match="c: no parents or children; a: twice"):
+        ln.load_patterns(text + " - {name: a, parent_comms: [q], child_comms: [r]}\n - {name: c, parent_comms: [q]}\n")
+
+
+def test_reviews_and_chat(spark):
+    from argusframe.sinks import lines
+
+    ask = lambda ns, **spec: json.dumps({"request": {"namespace": ns, "object": {"spec": spec}}})
+    rows = [
+        (1, ask("shop", hostNetwork=True, hostIPC=True, containers=[{"name": "a", "image": "x:latest", "securityContext": {"privileged": True, "runAsUser": 0, "capabilities": {"add": ["SYS_ADMIN", "CHOWN", "SETUID"]}}}])), (2, ask("kube-system", hostNetwork=True, containers=[{"name": "a", "image": "x:1"}])),
+        (3, ask("shop", ephemeralContainers=[{"name": "e", "image": "x:1", "securityContext": {"allowPrivilegeEscalation": True}}], volumes=[{"name": "v", "hostPath": {"path": "/etc"}}, {"name": "w", "hostPath": {"path": "/proc/x"}}, {"name": "u"}])), (4, "no json"), (5, None),
+    ]
+    found = {x.id: (x.deny, x.warn) for x in po.review(spark.createDataFrame(rows, "id int, value string")).collect()}
+    assert found[1] == (["hostNetwork outside the system's namespaces", "hostIPC outside the system's namespaces"], ["container a is privileged", "container a asks for capability SYS_ADMIN", "container a asks for capability SETUID", "container a runs as root", "container a has no fixed image"])
+    assert found[2] == ([], []) and found[3] == (["container e may escalate"], ["volume v mounts host path /etc"]) and found[4] == found[5] == ([], [])
+    alerts = spark.createDataFrame([("critical", "r", "c", 7, "m" * 5000)], "severity string, rule_id string, comm string, pid long, message string")
+    texts = alerts.select(*[lines.chat_json(alerts, k, "42").alias(k) for k in ("slack", "discord", "telegram")]).first()
+    assert json.loads(texts.slack)["text"].startswith("[CRITICAL] r: c (pid 7) - mmm") and len(json.loads(texts.discord)["content"]) == 2000 and json.loads(texts.telegram)["chat_id"] == "42" and len(json.loads(texts.telegram)["text"]) == 4096
+
+
+def test_baselines_merge_in_any_order(spark):
+    from argusframe.operators import baselines as bl
+
+    r = random.Random(3)
+    rows = [(i, at(r.randrange(900)), r.choice(["w", None]), r.choice("abc")) for i in range(200)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    half = [bl.sights(frame.where(F.col("event_id") % 3 == i), ["w"], "v") for i in range(3)]
+    key = lambda x: tuple(map(str, x))
+    merge = lambda a, b: bl.merged_sights(a, b, ["w"], "v")
+    whole = sorted(bl.sights(frame, ["w"], "v").collect(), key=key)
+    assert sorted(merge(merge(half[0], half[1]), half[2]).collect(), key=key) == whole == sorted(merge(half[2], merge(half[1], half[0])).collect(), key=key)
+    path = folders.scratch(spark, "baseline")
+    for i in (2, 0, 0, 1):  # a batch that comes again counts once
+        bl.fold_into(half[i], path, ["w"], "v", f"s{i}", 0)
+    assert sorted(store.read(spark, path).select(*half[0].columns).collect(), key=key) == whole
+    new = spark.createDataFrame([(900, at(1), "w", "a"), (901, at(2), None, "z"), (902, at(3), None, "z")], SCHEMA)
+    assert {x.event_id: x.is_new for x in bl.new_against(new, store.read(spark, path), ["w"], "v").collect()} == {900: False, 901: True, 902: False}
