@@ -283,3 +283,59 @@ def test_html_body_by_consensus(spark):
     rows = [(i, "http://a.x/", one % ("<div><p>" + PROSE[:200] + "</p></div>" if i == 3 else "")) for i in range(4)] + [(10 + i, "http://b.x/", both) for i in range(3)]
     found = {x.page_id: x.text for x in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert found == dict.fromkeys(range(4), PROSE.strip()) | dict.fromkeys(range(10, 13), f"{PROSE[:160].strip()}\n{PROSE.strip()}")
+
+
+# --- fingerprint strings and the classifier's solver
+
+
+def test_fingerprint_strings(spark, small):
+    import xxhash
+
+    def text_of(text):
+        words, hashes = words_of(text), []
+        for run in [words[i : i + 5] for i in range(len(words) - 4)] or ([words] if words else []):
+            h = 42
+            for w in run:
+                h = xxhash.xxh64_intdigest(w.encode(), h)
+            hashes.append(h >> 1)
+        low = sorted({h for h in hashes if h < (1 << 63) // 4})
+        return "".join(f"{h:016x}" for h in (low or sorted(hashes)[:1]))
+
+    docs = [(i, t or "") for i, t in duckdb.sql(f"SELECT doc_id, text FROM '{small}/documents.parquet' ORDER BY doc_id DESC").fetchall()]
+    want = {}
+    for at, (i, t) in enumerate(docs):
+        cut, after = len(t) // 3, docs[(at + 1) % len(docs)][1]
+        edited = t[: len(t) - cut] + after[:cut]
+        want[i] = (sha(edited), text_of(t), text_of(edited))
+    assert {x.doc_id: (x.edited_sha256, x.fingerprint, x.edited_fingerprint) for x in queries.op10_fingerprint(spark, small).collect()} == want
+
+
+def test_dual_descent_finds_the_optimum():
+    """The squared hinge's optimum by dual coordinate descent is the one that Newton steps on the primal find."""
+    import numpy as np
+
+    from argusframe.llm import quality
+
+    r = np.random.default_rng(5)
+    n, d = 240, 40
+    labels = (r.random(n) < 0.4).astype(int)
+    rows = [np.unique(np.r_[np.flatnonzero(r.random(d) < 0.2 + 0.25 * y * (np.arange(d) < 12)), r.integers(0, d)]).astype(np.int32) for y in labels]
+    model = quality.fit(rows, labels, epochs=400)
+    sums = [np.bincount(np.concatenate([x for x, y in zip(rows, labels) if y == k]), minlength=d) + 1.0 for k in (0, 1)]
+    ratio = np.log(sums[1] / (2 + labels.sum())) - np.log(sums[0] / (2 + n - labels.sum()))
+    x = np.zeros((n, d + 1))
+    for i, own in enumerate(rows):
+        x[i, own] = ratio[own] / np.sqrt(len(own))
+    x[:, d] = 1
+    y = np.where(labels == 1, 1.0, -1.0)
+    c = np.where(y > 0, n / (2 * (y > 0).sum()), n / (2 * (y < 0).sum()))
+    keep = np.arange(n) % 5 != 0
+    xs, ys, cs, w = x[keep], y[keep], c[keep], np.zeros(d + 1)
+    loss = lambda w: w @ w / 2 + (cs * np.maximum(0, 1 - ys * (xs @ w)) ** 2).sum()
+    for _ in range(100):
+        on = ys * (xs @ w) < 1
+        gradient = w - 2 * (xs[on] * (cs[on] * (ys[on] - xs[on] @ w))[:, None]).sum(axis=0)
+        step = np.linalg.solve(np.eye(d + 1) + 2 * (xs[on].T * cs[on]) @ xs[on], gradient)
+        w = w - step * next(t for t in (1, 0.5, 0.25, 0.1, 0.01, 0) if t == 0 or loss(w - t * step) < loss(w))
+    margins = np.array([model.margin(own) for own in rows])
+    assert np.abs(margins - x @ w).max() < 0.02 and loss(np.r_[model.weights[:d] / np.where(ratio == 0, 1, ratio), model.bias]) < loss(w) * 1.001
