@@ -28,8 +28,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, so a lost executor costs no rerun."""
+#: Rows of a few numbers each that one written file holds.
+FILE_ROWS = 200_000
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends there, so a lost executor costs no rerun. rows: how many rows of a few
+    numbers it has at most, where that is known; few rows go to few files, as each file makes the executor start a process to set its mode."""
+    if rows is not None and (files := rows // FILE_ROWS + 1) < partitions(df.sparkSession):
+        df = df.coalesce(files)
     spark, path, done = df.sparkSession, scratch(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(done, "false")
     spark.conf.set(done, "true")  # its shuffle files go when it is written

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exact, textvec
-from .common import materialize, partitions, small_batches
+from .common import materialize, maybe_in, partitions, small_batches
 
 U = np.uint64
 #: Parity bits of a set: the power of two from its size up (from WIDE times its size, once few columns are left), and these
@@ -42,13 +42,12 @@ COMMON, MOST_COMMON = 200, 1 << 20
 #: Rows of a column up to which all its passing pairs are proposed at once.
 FEW = 16
 #: The part of the hash range, from 0, in which common n-grams are looked for, and entries that a task holds of it.
-LOW, HELD = U(int(0.4 * 2**64)), 1 << 20
-#: Slots of the filter that tells which texts to read again; its size is fixed.
-SLOTS = 1 << 18
-
+LOW, HELD = U(int(0.4 * 2**64)), 1 << 19
+#: Bytes of text that a task hashes at once.
+CHUNK_BYTES = 1 << 20
 
 def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
-    for _, _, data, offsets in textvec.chunks(column):
+    for _, _, data, offsets in textvec.chunks(column, CHUNK_BYTES):
         yield from textvec.shingle_sets(*textvec.word_hashes(data, offsets), k)
 
 
@@ -299,6 +298,22 @@ def few(h: np.ndarray, small: np.ndarray, n: np.ndarray, node: np.ndarray, part:
     return np.delete(pairs, refused, axis=1)
 
 
+def united(label: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Labels (numbers below how many there are) after the pairs' labels became one; the rows are relabelled once for all pairs."""
+    up = np.arange(len(label))
+    for u, v in zip(one.tolist(), two.tolist(), strict=True):
+        while up[u] != u:
+            up[u] = up[up[u]]
+            u = up[u]
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        up[max(u, v)] = min(u, v)
+    while (up[up] != up).any():
+        up = up[up]
+    return up[label]
+
+
 def forest(a: int, b: int, n: np.ndarray, node: np.ndarray, part: np.ndarray, bits: Parities, no: list, percent: int, later: bool) -> Iterator[np.ndarray]:
     """Row pairs (2, m) of one column, rows a to b sorted by size: block by block of the product, for each component the
     likeliest pairs to another, until the block's passing pairs are all within what pairs so far connect. In later rounds few
@@ -328,18 +343,15 @@ def forest(a: int, b: int, n: np.ndarray, node: np.ndarray, part: np.ndarray, bi
             rank = np.arange(len(group)) - np.repeat(heads, np.diff(np.r_[heads, len(group)]))
             chosen = order[rank < (LATER if later else BEST)]
             yield np.stack([x[chosen], y[chosen]])
-            for u, v in zip(x[chosen].tolist(), y[chosen].tolist(), strict=True):
-                if label[u - a] != label[v - a]:
-                    label[label == label[v - a]] = label[u - a]
+            label = united(label, label[x[chosen] - a], label[y[chosen] - a])
             apart = label[x - a] != label[y - a]
             x, y, room = x[apart], y[apart], room[apart]
 
 
-def from_sets(docs: DataFrame, ids: DataFrame, k: int, value: Callable[[np.ndarray], bytes]) -> DataFrame:
-    """(doc_id, found): a value of each set, for the given ids, from their texts."""
-    ids, slot = ids.distinct(), lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    slots = ids.select(slot("doc_id").alias("slot")).distinct()
-    texts = docs.withColumn("slot", slot("doc_id")).join(F.broadcast(slots), "slot", "left_semi").select("doc_id", "text")  # at most SLOTS rows
+def from_sets(docs: DataFrame, ids: DataFrame, k: int, value: Callable[[np.ndarray], bytes], most: int) -> DataFrame:
+    """(doc_id, found): a value of each set, for the given ids (``most`` at most), from their texts."""
+    ids = materialize(ids.distinct(), "asked", most)
+    texts = maybe_in(docs, "doc_id", ids).where("__maybe").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,10 +360,10 @@ def from_sets(docs: DataFrame, ids: DataFrame, k: int, value: Callable[[np.ndarr
     return texts.mapInArrow(run, "doc_id long, found binary").join(ids, "doc_id", "left_semi")
 
 
-def count_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, linked): the product's entries on whole sets, read again from the texts of the pairs' nodes."""
+def count_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int, most: int) -> DataFrame:
+    """(a, b, linked): the product's entries (``most`` at most) on whole sets, read again from the texts of the pairs' nodes."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    sets = from_sets(docs, ids, k, lambda x: x.tobytes())
+    sets = from_sets(docs, ids, k, lambda x: x.tobytes(), 2 * most)
     sets = sets.dropDuplicates(["doc_id"])
     both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
 
@@ -371,13 +383,14 @@ def count_links(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> Data
 
 def components(links: DataFrame) -> DataFrame:
     """(id, part): the smallest id that each linked id reaches. Labels spread along links and jump; each round is written out."""
-    ways = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "ways")
-    labels = materialize(ways.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("part")), "labels")
+    ways = materialize(links.select("a", "b").union(links.select("b", "a")).distinct(), "ways", 2 * links.count())
+    n = ways.count()
+    labels = materialize(ways.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("part")), "labels", n)
     while True:
         near = ways.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("part").alias("near"))
         step = labels.join(near, "id").select("id", "part", F.least("part", "near").alias("new"))
         jump = labels.select(F.col("id").alias("new"), F.col("part").alias("far"))
-        step = materialize(step.join(jump, "new", "left").select("id", "part", F.least("new", F.coalesce("far", "new")).alias("new")), "labels")
+        step = materialize(step.join(jump, "new", "left").select("id", "part", F.least("new", F.coalesce("far", "new")).alias("new")), "labels", n)
         labels = step.select("id", F.col("new").alias("part"))
         if step.where("new <> part").isEmpty():
             return labels
@@ -389,7 +402,7 @@ def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(part_of("a"), "a", "left").join(part_of("b"), "b", "left")
     moved = components(ends.select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b")))
     old = parts.join(moved.toDF("part", "to"), "part", "left").select("id", F.coalesce("to", "part").alias("part"))
-    return materialize(old.union(moved.join(parts, "id", "left_anti").select("id", "part")), "parts")
+    return materialize(old.union(moved.join(parts, "id", "left_anti").select("id", "part")), "parts", parts.count() + moved.count())
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,9 +427,9 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
         if proposed.isEmpty():
             break
         # components only grow: a column without a pair to propose will never have one
-        columns = materialize(columns.join(proposed.select("hash").distinct(), "hash", "left_semi"), "open")
+        columns = materialize(columns.join(proposed.select("hash").distinct(), "hash", "left_semi"), "open", columns.count())
         first = parts is None
-        judged = materialize(count_links(likeliest(proposed, BEST if first else LATER), docs, k, percent), "judged")
+        judged = materialize(count_links(likeliest(proposed, BEST if first else LATER), docs, k, percent, proposed.count()), "judged")
         linked, refused = judged.where("linked"), judged.where("not linked")
         rejected = refused if rejected is None else rejected.union(refused)
         if first:
@@ -425,9 +438,9 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id",
             parts = joined(parts, linked)
         if first:  # columns in question by these bits are few: only their nodes get wider ones
             unsure = crossing(columns, bits, parts, rejected, percent).select("hash").distinct()
-            columns = materialize(columns.join(unsure, "hash", "left_semi"), "unsure")
+            columns = materialize(columns.join(unsure, "hash", "left_semi"), "unsure", columns.count())
             ids = columns.select(F.col("node").alias("doc_id"))
-            bits = materialize(from_sets(docs, ids, k, lambda x: parity(x, WIDE)).toDF("node", "bits"), "wide")
+            bits = materialize(from_sets(docs, ids, k, lambda x: parity(x, WIDE), columns.count()).toDF("node", "bits"), "wide")
     if parts is None:
         return own.select("doc_id", F.col("n").alias("n_shingles"), F.col("node").alias("component_id"))
     parts = parts.withColumnRenamed("id", "node")
