@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .behaviour import first_seen
+from .behaviour import joined
 
 #: A score from which an event is anomalous, and values a workload learns of a dimension.
 ANOMALOUS, CAP = 0.8, 256
@@ -20,16 +18,26 @@ def min_max(x: Column, low: Column, high: Column) -> Column:
 
 def anomaly_scores(events: DataFrame, workload: list[str], parts: list[tuple[str, str, float, int | None]], tie: str = "event_id") -> DataFrame:
     """Adds score, is_anomaly and contributions (field=value of what is new). parts: (field, column, weight, cap of learned values or None): a
-    value that its workload hasn't shown before adds the weight; null or empty ones add nothing. The score is at most 1."""
-    rows = events
-    for field, column, _, cap in parts:
-        known = rows.where(F.col(column).isNotNull() & (F.col(column).cast("string") != "")).select(*workload, column, "ts", tie)
-        new = first_seen(known, workload, column, cap or 1 << 40, tie).where("is_new").select(F.col(tie), F.lit(True).alias(f"__{field}"))
-        rows = rows.join(new, tie, "left")
-    weights = [F.when(F.col(f"__{f}"), F.lit(w)).otherwise(F.lit(0.0)) for f, _, w, _ in parts]
-    told = F.filter(F.array(*[F.when(F.col(f"__{f}"), F.concat(F.lit(f"{f}="), F.col(c).cast("string"))) for f, c, _, _ in parts]), lambda x: x.isNotNull())
-    rows = rows.withColumns({"score": F.least(F.lit(1.0), reduce(lambda a, b: a + b, weights)), "contributions": told})
-    return rows.withColumn("is_anomaly", F.col("score") >= ANOMALOUS).drop(*[f"__{p[0]}" for p in parts])
+    value that its workload hasn't shown before adds the weight; null or empty ones add nothing. The score is at most 1.
+
+    All parts are judged at once: an event's values become rows (part, value), first sights are found once, and what is new comes back as one row an event."""
+    shown = F.filter(F.array(*[F.struct(F.lit(i).alias("__part"), F.col(c).cast("string").alias("__value")) for i, (_, c, _, _) in enumerate(parts)]), lambda x: x["__value"] != "")
+    shown = events.select(*workload, "ts", tie, F.inline(shown))
+    firsts = shown.groupBy(*workload, "__part", "__value").agg(F.min(F.struct("ts", tie)).alias("__first"))
+    caps, of = F.lit([c if c is not None else -1 for *_, c in parts]), lambda values: F.get(values, F.col("__part"))
+    # values of a part without a cap need no order, so that they are dealt out
+    dealt = F.when(of(caps) < 0, F.pmod(F.xxhash64("__value"), F.lit(1024)))
+    rank = F.row_number().over(Window.partitionBy(*workload, "__part", dealt).orderBy("__first"))
+    firsts = firsts.withColumn("__over", (of(caps) >= 0) & (rank > of(caps)))
+    seen = joined(shown, firsts, [*workload, "__part", "__value"]).where(F.struct("ts", tie).eqNullSafe(F.col("__first")) | F.col("__over"))
+    text = F.concat(of(F.lit([f for f, *_ in parts])), F.lit("="), F.col("__value"))
+    new = seen.groupBy(tie).agg(F.array_sort(F.collect_set(F.struct(F.col("__part").alias("part"), text.alias("text")))).alias("__new"))  # one entry a part
+    weights = F.lit([float(w) for _, _, w, _ in parts])
+    rows = events.join(new, tie, "left")
+    score = F.aggregate("__new", F.lit(0.0), lambda total, x: total + F.get(weights, x["part"]))
+    told = F.transform("__new", lambda x: x["text"])
+    rows = rows.withColumns({"score": F.least(F.lit(1.0), F.coalesce(score, F.lit(0.0))), "contributions": F.coalesce(told, F.array().cast("array<string>"))})
+    return rows.withColumn("is_anomaly", F.col("score") >= ANOMALOUS).drop("__new")
 
 
 def network_scores(events: DataFrame, workload: list[str], port: str = "dport", address: str = "daddr") -> DataFrame:
