@@ -13,8 +13,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import behaviour, rules
 
 
+def is_marked(rows: DataFrame) -> bool:
+    """Whether a stream has a watermark; it takes no second one."""
+    return "EventTimeWatermark" in rows._jdf.queryExecution().analyzed().toString()
+
+
 def stream_alerts(events: DataFrame, own: list[rules.Rule], fields: Mapping[str, Column], late: str = "10 minutes") -> DataFrame:
-    return rules.evaluate(events.withWatermark("ts", late), own, fields)
+    """As in batch; the events' own watermark holds, or else one of ``late``."""
+    return rules.evaluate(events if is_marked(events) else events.withWatermark("ts", late), own, fields)
 
 
 def stream_incidents(alerts: DataFrame, keys: list[str], gap: str = "60 seconds") -> DataFrame:
@@ -30,7 +36,7 @@ def stream_limited(alerts: DataFrame, rule: str, keys: str | list[str], dedup_s:
     """The coupled dedup and rate limit: a rule's state is the admitted alerts that can still matter. With a watermark on ts, rows behind it are
     left out and the state of a rule that is silent for longer than both windows goes; without one it stays."""
     schema, names, keys = alerts.schema, alerts.columns, [keys] if isinstance(keys, str) else keys
-    keep_s, marked = max(rate_s, dedup_s), "EventTimeWatermark" in alerts._jdf.queryExecution().analyzed().toString()
+    keep_s, marked = max(rate_s, dedup_s), is_marked(alerts)
 
     def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

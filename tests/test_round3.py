@@ -441,3 +441,38 @@ def test_baselines_merge_in_any_order(spark):
     assert sorted(store.read(spark, path).select(*half[0].columns).collect(), key=key) == whole
     new = spark.createDataFrame([(900, at(1), "w", "a"), (901, at(2), None, "z"), (902, at(3), None, "z")], SCHEMA)
     assert {x.event_id: x.is_new for x in bl.new_against(new, store.read(spark, path), ["w"], "v").collect()} == {900: False, 901: True, 902: False}
+
+
+def test_rules_on_a_stream_of_logs(spark, tmp_path):
+    """stream_since and stream_alerts tell what a batch over the same logs tells; random sampling draws for each rule on its own."""
+    from argusframe.sources import logs
+    from argusframe.streaming import alerts as sa
+
+    schema = "event_id bigint, event_type string, ts timestamp, pid bigint, comm string"
+    r = random.Random(2)
+    rows = [(i, r.choice(["file", "dns"]), at(i), i % 7, r.choice(["bash", "sh", "curl", "xmrig", None])) for i in range(300)]
+    frame = spark.createDataFrame(rows, schema)
+    for i in range(2):
+        frame.where(F.col("event_id") % 2 == i).coalesce(1).write.mode("append").json(f"{tmp_path}/log")
+    rules = [Rule("shell", "file", C("comm", "in", ("bash", "sh"))), Rule("x", "dns", C("comm", "prefix", ("xm",))), Rule("late", "file", C("pid", "gt", (4,))), Rule("both", "dns", Group("and", (C("comm", "suffix", ("l", "g")), C("pid", "lte", (3,)))))]
+    columns = {"comm": F.col("comm"), "pid": F.col("pid")}
+    out = sa.stream_alerts(logs.stream_since(spark, f"{tmp_path}/log", schema=schema, files=1), rules, columns)
+    out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    key = lambda x: (x.event_id, x.rule_id)
+    want = sorted(map(key, ru.evaluate(frame, rules, columns).collect()))
+    assert sorted(map(key, spark.read.parquet(f"{tmp_path}/out").collect())) == want and {x[1] for x in want} == {"shell", "x", "late", "both"}
+    some = [Rule(n, "file", C("pid", "gte", (0,)), rate=0.5, sampling="random") for n in ("one", "two")]
+    many = spark.range(4000).select(F.col("id").alias("event_id"), F.lit("file").alias("event_type"), F.lit(START).alias("ts"), F.col("id").alias("pid"), F.lit("x").alias("comm"))
+    drawn = {n: set() for n in ("one", "two")}
+    for x in ru.evaluate(many, some, columns).collect():
+        drawn[x.rule_id].add(x.event_id)
+    assert all(1800 < len(v) < 2200 for v in drawn.values()) and 800 < len(drawn["one"] & drawn["two"]) < 1200
+
+
+def test_generated_names(spark):
+    from argusframe.functions import dns
+
+    words = spark.createDataFrame([(w,) for w in ("the quick brown fox jumps over the lazy dog and runs into the woods " * 3).split()], "word string")
+    model = dns.bigram_model(words)
+    rows = spark.createDataFrame([("woods.org",), ("xq7zk2vw9p4jh8tb3mn6.org",), ("",)], "q string").select("q", dns.is_generated(F.col("q"), model).alias("g")).collect()
+    assert [bool(x.g) for x in rows] == [False, True, False]
