@@ -31,6 +31,8 @@ from .common import bucket_of, id_bounds, partitions, small_batches
 ROLL_BYTES = 32 << 20
 #: Payload bytes of a shard, at most, where rows are of like size; there are at least as many shards as shuffle partitions.
 SHARD_BYTES = 256 << 20
+#: Shards at most, as each is a cut point in the plan; beyond, shards grow (6 GB each at 100 TB) and roll more files.
+MOST_SHARDS = 1 << 14
 #: Files that a reading task takes, on average.
 FILES_A_TASK = 4
 #: The date of every record (WARC needs one, pages have none).
@@ -100,7 +102,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     if bounds is None:
         size = rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
-        bounds = id_bounds(rows, "page_id", max(partitions(spark), size // SHARD_BYTES))
+        bounds = id_bounds(rows, "page_id", min(MOST_SHARDS, max(partitions(spark), size // SHARD_BYTES)))
     digests = rows.select("page_id", F.unhex(F.sha1("html")).alias("sha"), F.octet_length("html").cast("long").alias("bytes"))
     found = exact.assign(digests, F.col("page_id"), ["sha", "bytes"], "min").where((F.col("__keep") < F.col("page_id")) & (F.col("bytes") >= least_bytes))
     verdicts = found.groupBy("page_id", "sha").agg(F.min("__keep").alias("refers_to"))
