@@ -55,7 +55,8 @@ class Files:
     def rename(self, old, new) -> bool:
         """Renames without overwriting, as FileContext does on every file system."""
         context = self.java.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
-        context.rename(self.fs.makeQualified(old), self.fs.makeQualified(new), self.java.org.apache.hadoop.fs.Options.Rename.valueOf("NONE") if False else self.java.java.lang.reflect.Array.newInstance(self.java.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0))
+        options = self.java.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        context.rename(self.fs.makeQualified(old), self.fs.makeQualified(new), self.java.java.lang.reflect.Array.newInstance(options, 0))
         return True
 
     def delete(self, name: str) -> None:
