@@ -24,8 +24,9 @@ def ja3s(version: Column, cipher: Column, extensions: Column) -> Column:
 
 
 def sorted_digest(numbers: Column) -> Column:
-    """The first 12 hex digits of the SHA-256 of the sorted four-digit hex codes."""
-    codes = F.array_sort(F.transform(numbers, lambda x: F.lpad(F.lower(F.hex(x)), 4, "0")))
+    """The first 12 hex digits of the SHA-256 of the sorted hex codes, of four digits at least."""
+    code = lambda x: F.lpad(F.lower(F.hex(x)), F.greatest(F.lit(4), F.length(F.hex(x))), "0")
+    codes = F.array_sort(F.transform(numbers, code))
     return F.left(F.sha2(F.array_join(codes, ","), 256), F.lit(12))
 
 
