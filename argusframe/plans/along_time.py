@@ -23,41 +23,38 @@ EVENT_COLUMNS = "event_id bigint, ts timestamp, user_id bigint, event_type strin
 BATCHES, LATE_S, WATERMARK = 3, 40_000, "1 day"
 
 
-def as_stream(spark, sf, columns: list[str]):
-    """The events as a stream of BATCHES files, out of order, and one last row far behind that moves the watermark past all."""
+def replayed(spark, sf, columns: list[str], operator):
+    """What a stream operator tells of the events, which come in BATCHES, out of order, and one last row far behind that moves the watermark past all. A batch is
+    judged whole, in however many files it is written: its rows lie further apart than the watermark waits."""
     rows = events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     come = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(LATE_S))
     ends = rows.agg(F.min(F.unix_seconds("ts")).alias("a"), (F.max(F.unix_seconds("ts")) + LATE_S + 1).alias("z"), F.max("ts").alias("last")).first()
     batch = F.least(F.floor((come - F.lit(ends["a"])) * BATCHES / (ends["z"] - ends["a"])), F.lit(BATCHES - 1)) if ends["a"] is not None else F.lit(0)
-    path = scratch(spark, "stream")
-    for i in range(BATCHES):  # files in the order of their batches
-        rows.where(batch == i).select(*columns).write.mode("append").parquet(f"{path}/in")
-    kinds = dict(rows.dtypes)
+    kinds, path = dict(rows.dtypes), scratch(spark, "stream")
     end = spark.range(1).select(*[(F.lit(ends["last"]).cast("timestamp") + F.expr("interval 400 days") if c == "ts" else F.lit(-1 if kinds[c] != "string" else "end").cast(kinds[c])).alias(c) for c in columns])
-    end.write.mode("append").parquet(f"{path}/in")
-    source = spark.readStream.schema(", ".join(f"{c} {kinds[c]}" for c in columns)).option("maxFilesPerTrigger", 4).parquet(f"{path}/in").withWatermark("ts", WATERMARK)
-    return source, path
+    for i in range(BATCHES + 1):
+        (rows.where(batch == i).select(*columns) if i < BATCHES else end).write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(", ".join(f"{c} {kinds[c]}" for c in columns)).parquet(f"{path}/in").withWatermark("ts", WATERMARK)
+        found = st.replay(source, operator, path, idle=i == BATCHES)
+    return found
 
 
 @query(f"WITH {EVENTS_SQL}, l AS (SELECT event_id, event_type, user_id, ts, lag(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS p FROM e) SELECT event_id, p IS NULL OR ts - p > INTERVAL 48 HOUR AS is_new FROM l")
 def stream_first_seen(spark, sf):
-    source, path = as_stream(spark, sf, ["event_id", "ts", "event_type", "user_id"])
-    found = st.replay(source, lambda x: st.stream_first_seen(x, ["event_type"], "user_id", 48 * 3600), path)
+    found = replayed(spark, sf, ["event_id", "ts", "event_type", "user_id"], lambda x: st.stream_first_seen(x, ["event_type"], "user_id", 48 * 3600))
     return found.where("event_type <> 'end'").select("event_id", "is_new")
 
 
 @query(f"WITH {EVENTS_SQL}, s AS (SELECT user_id, min(ts) AS t0 FROM e GROUP BY 1), v AS (SELECT user_id, k, min(ts) AS first_seen FROM e GROUP BY 1, 2) SELECT user_id, k, first_seen FROM v JOIN s USING (user_id) WHERE first_seen >= t0 + INTERVAL 7 DAY")
 def stream_drift(spark, sf):
-    source, path = as_stream(spark, sf, ["event_id", "ts", "user_id", "k"])
-    found = st.replay(source, lambda x: st.stream_drift(x, "user_id", "k", 7 * 86_400), path).where("user_id >= 0")
+    found = replayed(spark, sf, ["event_id", "ts", "user_id", "k"], lambda x: st.stream_drift(x, "user_id", "k", 7 * 86_400)).where("user_id >= 0")
     return found.withColumn("first_seen", F.col("first_seen").cast("timestamp_ntz"))
 
 
 @query(f"""WITH RECURSIVE {EVENTS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM e), j AS (SELECT o.user_id, o.event_type, o.i, o.ts, count(*) AS n, max(x.ts) AS last_seen FROM o JOIN o x ON x.user_id = o.user_id AND x.event_type = o.event_type AND x.i >= o.i AND x.ts <= o.ts + INTERVAL 30 HOUR GROUP BY ALL),
  r AS (SELECT * FROM j WHERE i = 1 UNION ALL SELECT j.* FROM r JOIN j ON j.user_id = r.user_id AND j.event_type = r.event_type AND j.i = r.i + r.n) SELECT user_id, event_type, ts AS first_seen, last_seen, n FROM r""")
 def stream_aggregation(spark, sf):
-    source, path = as_stream(spark, sf, ["event_id", "ts", "user_id", "event_type"])
-    found = st.replay(source, lambda x: st.stream_aggregated(x, ["user_id", "event_type"], 30 * 3600), path).where("user_id >= 0")
+    found = replayed(spark, sf, ["event_id", "ts", "user_id", "event_type"], lambda x: st.stream_aggregated(x, ["user_id", "event_type"], 30 * 3600)).where("user_id >= 0")
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_seen", "last_seen")})
 
 

@@ -3,7 +3,10 @@ the coupled limiter.
 
 A key's rows wait until the watermark has passed them; then they are walked by (ts, tie), so rows that come late, but within the
 watermark, have their place, and the result is that of the batch operator over all rows that weren't too late. What an operator holds of a key lives in state of its
-own (one entry a value for first sights) and goes by event-time timers: once nothing that may still come could ask for it.
+own and goes by event-time timers: once nothing that may still come could ask for it.
+
+Python gets the keys by BUCKETS of their hash, so a call to the state store is made for a bucket and not for a key or row, and a batch's work and a task's memory
+follow the rows and what is held of them, however few or many keys there are.
 
 The streams need a watermark on ``ts`` and the RocksDB state store (``with_rocksdb``). Rows without a time are left out, as the watermark can't
 place them; null keys are keys.
@@ -11,11 +14,13 @@ place them; null keys are keys.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,260 +28,275 @@ from ..operators import behaviour
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Whether a batch without rows follows where the watermark has moved.
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+#: Buckets of keys, and how many rows or keys are one value of the state store.
+BUCKETS, PIECE = 1024, 20_000
+NUMBERS = ("bigint", "int", "smallint", "tinyint")
 
 
 @contextmanager
-def with_rocksdb(spark: SparkSession):
-    """The session's state store while a stream is started; set back afterwards."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+def with_conf(spark: SparkSession, name: str, value: str):
+    """A session's setting while a stream is started; set back afterwards."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        spark.conf.set(name, before)
 
 
-class InOrder(StatefulProcessor):
-    """Keeps rows (order, at, tie, payload) until the watermark has passed them, then hands them to ``walk`` in order.
+def with_rocksdb(spark: SparkSession):
+    """The session's state store while a stream is started; set back afterwards."""
+    return with_conf(spark, PROVIDER, ROCKSDB)
+
 
-    ``at`` is in microseconds, ``payload`` what the subclass needs of a row. ``expire`` is told the watermark and says when it wants to be called again (ms)."""
+class InOrder(StatefulProcessor):
+    """Keeps the rows (at, tie, payload, key's texts) of a bucket until the watermark has passed them, then hands each key's to ``walk`` in order, with what is held of the key.
 
-    def __init__(self, payload: str):
-        self.payload = payload
+    ``at`` is in microseconds. ``walk`` and ``expire`` return what is held from then on (None: nothing) and the rows told of; ``expire`` is told the watermark (us) and
+    also says when it wants to be called again (us)."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at bigint, tie string, {self.payload}")
-        self.open()
-
-    def open(self) -> None: ...
+        self.waiting, self.held = handle.getListState("waiting", "data binary"), handle.getListState("held", "data binary")
+        self.timer = handle.getValueState("timer", "ms bigint")
 
-    def walk(self, key: tuple, rows: list[tuple]) -> list[tuple]:
+    def walk(self, state, rows: list[tuple]) -> tuple:
         raise NotImplementedError
 
-    def expire(self, key: tuple, watermark: int) -> tuple[list[tuple], int | None]:
-        return [], None
+    def expire(self, state, watermark: int) -> tuple:
+        return state, [], None
 
-    def columns(self) -> list[str]:
-        raise NotImplementedError
+    @staticmethod
+    def pieces(items: list) -> list[tuple]:
+        return [(pickle.dumps(items[i : i + PIECE]),) for i in range(0, len(items), PIECE)]
+
+    @staticmethod
+    def read(state) -> list:
+        return [x for (data,) in (state.get() if state.exists() else ()) for x in pickle.loads(bytes(data))]
+
+    def write(self, state, items: list) -> None:
+        if items:
+            state.put(self.pieces(items))
+        else:
+            state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new = [tuple(None if x is pd.NaT or (not isinstance(x, (list, str)) and pd.isna(x)) else x for x in r) for pdf in rows for r in pdf.iloc[:, -3:].itertuples(index=False)]
+        new = []
+        for pdf in rows:
+            at, tie, *texts = [pdf.iloc[:, i] for i in range(-3 - self.n_keys, 0)]
+            new += zip(at.tolist(), tie.tolist(), *[c.astype(object).where(c.notna(), None).tolist() for c in texts], strict=True)
         if new:
-            self.waiting.appendList([(int(at), tie, row) for at, tie, row in new])
-            self.wake(min(int(r[0]) for r in new))
+            self.waiting.appendList(self.pieces(new))
+            self.wake(min(r[0] for r in new))
         return iter(())
 
     def wake(self, micros: int) -> None:
-        self.handle.registerTimer(-(-micros // 1000))
+        """The bucket's one timer comes at this time at the latest."""
+        ms, before = -(-micros // 1000), (self.timer.get() or (None,))[0]
+        if before is None or ms < before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        mark = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted((r for r in waiting if r[0] <= mark * 1000), key=lambda r: (r[0], r[1]))
-        left = [r for r in waiting if r[0] > mark * 1000]
-        out = []
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting, held = self.read(self.waiting), dict(self.read(self.held))
+        due = sorted((r for r in waiting if r[0] <= mark), key=itemgetter(0, 1))
+        left = [r for r in waiting if r[0] > mark]
         if due:
-            if left:
-                self.waiting.put(left)
-                self.wake(min(r[0] for r in left))
-            else:
-                self.waiting.clear()
-            out += self.walk(key, due)
-        closed, again = self.expire(key, mark)
-        out += closed
-        if again is not None:
-            self.handle.registerTimer(max(again, mark + 1))
+            self.write(self.waiting, left)
+        by_key, out, wakes = {}, [], [min(r[0] for r in left)] if left else []
+        for r in due:
+            by_key.setdefault(r[3:], []).append(r[:3])
+        for name, rows in by_key.items():
+            held[name], told = self.walk(held.get(name), rows)
+            out += [(*name, *x) for x in told]
+        kept = []
+        for name, state in held.items():
+            told, again = (), None
+            if state is not None:
+                state, told, again = self.expire(state, mark)
+            if state is not None:
+                kept.append((name, state))
+            if again is not None:
+                wakes.append(max(again, mark + 1))
+            out += [(*name, *x) for x in told]
+        self.write(self.held, kept)
+        self.timer.clear()
+        if wakes:
+            self.wake(min(wakes))
         if out:
-            yield pd.DataFrame([(*key, *r) for r in out], columns=self.columns())
+            yield pd.DataFrame(out, columns=self.columns)
+
 
+def as_text(c: Column, kind: str) -> Column:
+    """A value as text that ``of_text`` makes the value of again; equal values have equal texts."""
+    if kind in ("double", "float"):
+        c = c + F.lit(0).cast(kind)  # one zero
+    if kind.startswith(("array", "struct", "map")):
+        return F.to_json(c, {"ignoreNullFields": "false"})
+    return {"timestamp": F.unix_micros, "binary": F.base64}.get(kind, lambda x: x)(c).cast("string")
 
-def ordered(events: DataFrame, keys: list[str], tie: str, row) -> DataFrame:
-    """Keys, and what ``InOrder`` takes of a row; a tie's text sorts as the value does for numbers of up to 20 digits."""
-    number = dict(events.dtypes)[tie] in ("bigint", "int", "smallint", "tinyint")
-    text = F.lpad((F.col(tie).cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0") if number else F.col(tie).cast("string")
-    return events.where("ts is not null").select("ts", *keys, F.unix_micros(F.col("ts").cast("timestamp")).alias("__at"), F.coalesce(text, F.lit("")).alias("__tie"), row.cast("string").alias("__row"))
 
+def of_text(c: Column, kind: str) -> Column:
+    if kind.startswith(("array", "struct", "map")):
+        return F.from_json(c, kind)
+    return {"timestamp": lambda x: F.timestamp_micros(x.cast("bigint")), "binary": F.unbase64}.get(kind, lambda x: x.cast(kind))(c)
 
-def run_in_order(events: DataFrame, keys: list[str], tie: str, row, processor: InOrder, added: str) -> DataFrame:
-    kinds, names = dict(events.dtypes), list(keys)
-    processor.columns = lambda: [*names, *[x.split()[0] for x in added.split(", ")]]
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + added
-    return ordered(events, keys, tie, row).groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+def tie_text(c: Column, kind: str) -> Column:
+    """A tie's text sorts as the value does for numbers of up to 20 digits."""
+    number = F.lpad((c.cast("decimal(20,0)") + F.lit(str(1 << 63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.coalesce(number if kind in NUMBERS else c.cast("string"), F.lit(""))
+
+
+def of_tie(c: Column, kind: str) -> Column:
+    return (c.try_cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")).cast(kind) if kind in NUMBERS else c.try_cast(kind)
+
+
+def ordered(events: DataFrame, keys: list[str], tie: str, row: Column) -> DataFrame:
+    """The bucket, and what ``InOrder`` takes of a row."""
+    kinds = dict(events.dtypes)
+    texts = [as_text(F.col(k), kinds[k]).alias(f"__key{i}") for i, k in enumerate(keys)]
+    rows = events.where("ts is not null").select("ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("__at"), tie_text(F.col(tie), kinds[tie]).alias("__tie"), row.cast("string").alias("__row"), *texts)
+    bucket = F.pmod(F.xxhash64(*[f"__key{i}" for i in range(len(keys))]), F.lit(BUCKETS)).cast("int")
+    return rows.select("ts", bucket.alias("__bucket"), *rows.columns[1:])
+
+
+def run_in_order(events: DataFrame, keys: list[str], tie: str, row: Column, processor: InOrder, added: str) -> DataFrame:
+    """The keys and the columns ``added``, as texts and numbers of microseconds."""
+    kinds = dict(events.dtypes)
+    schema = ", ".join(f"__key{i} string" for i in range(len(keys))) + ", " + added
+    processor.n_keys, processor.columns = len(keys), [x.split()[0] for x in schema.split(", ")]
+    found = ordered(events, keys, tie, row).groupBy("__bucket").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return found.select(*[of_text(F.col(f"__key{i}"), kinds[k]).alias(k) for i, k in enumerate(keys)], *processor.columns[len(keys) :])
 
 
 class Sights(InOrder):
-    """Which rows show a value that the key hasn't shown in the last ``forget_us``; one state entry a value, which goes after that time."""
+    """Which rows show a key that hasn't been shown in the last ``forget_us``; held is when it was last, which goes after that time."""
 
     def __init__(self, forget_us: int | None):
-        super().__init__("value string")
         self.forget_us = forget_us
 
-    def open(self) -> None:
-        self.seen = self.handle.getMapState("seen", "value string", "at bigint")
-
-    def walk(self, key: tuple, rows: list[tuple]) -> list[tuple]:
+    def walk(self, state: int | None, rows: list[tuple]) -> tuple:
         out = []
-        for at, tie, value in rows:
-            name = ("v" + value if value is not None else "n",)
-            last = self.seen.getValue(name)[0] if self.seen.containsKey(name) else None
-            out.append((pd.Timestamp(at, unit="us"), str(int(tie) - (1 << 63)) if tie.isdigit() and len(tie) == 20 else tie, value, last is None or (self.forget_us is not None and at - last > self.forget_us)))
-            self.seen.updateValue(name, (at,))
-        return out
-
-    def expire(self, key: tuple, watermark: int) -> tuple[list[tuple], int | None]:
+        for at, tie, _ in rows:
+            out.append((at, tie, state is None or (self.forget_us is not None and at - state > self.forget_us)))
+            state = at
+        return state, out
+
+    def expire(self, state: int, watermark: int) -> tuple:
         if self.forget_us is None:
-            return [], None
-        oldest = None
-        for name, (at,) in list(self.seen.iterator()):
-            if at + self.forget_us < watermark * 1000:
-                self.seen.removeKey(name)
-            else:
-                oldest = at if oldest is None else min(oldest, at)
-        return [], None if oldest is None else (oldest + self.forget_us) // 1000 + 1
+            return state, [], None
+        return (None, [], None) if state + self.forget_us < watermark else (state, [], state + self.forget_us + 1000)
 
 
 def stream_first_seen(events: DataFrame, workload: list[str], value: str, forget_s: float | None = None, tie: str = "event_id") -> DataFrame:
-    """(workload, ts, tie, value, is_new) of every row, as ``behaviour.first_seen`` without a cap."""
+    """(workload, ts, tie, value, is_new) of every row, as ``behaviour.first_seen`` without a cap. The values of a workload are keys of their own, dealt out over all tasks."""
     forget = None if forget_s is None else int(forget_s * 1e6)
-    found = run_in_order(events, workload, tie, F.col(value), Sights(forget), "ts timestamp, __tie string, __value string, is_new boolean")
-    return found.withColumn(tie, F.col("__tie").cast(dict(events.dtypes)[tie])).withColumn(value, F.col("__value").cast(dict(events.dtypes)[value])).drop("__tie", "__value")
+    found = run_in_order(events, [*workload, value], tie, F.lit(None), Sights(forget), "__at bigint, __tie string, is_new boolean")
+    return found.select(*workload, F.timestamp_micros("__at").alias("ts"), of_tie(F.col("__tie"), dict(events.dtypes)[tie]).alias(tie), value, "is_new")
 
 
 class Drift(InOrder):
-    """First sights of values after the key's learning window; the whole key goes after ``forget_us`` without a row."""
+    """First sights of values after the key's learning window; the whole key goes after ``forget_us`` without a row. Held are the first and last time and the values."""
 
     def __init__(self, learn_us: int, forget_us: int | None):
-        super().__init__("value string")
         self.learn_us, self.forget_us = learn_us, forget_us
 
-    def open(self) -> None:
-        self.span = self.handle.getValueState("span", "first bigint, last bigint")
-        self.known = self.handle.getMapState("known", "value string", "at bigint")
-
-    def walk(self, key: tuple, rows: list[tuple]) -> list[tuple]:
+    def walk(self, state: tuple | None, rows: list[tuple]) -> tuple:
         out = []
-        first, last = tuple(self.span.get()) if self.span.exists() else (rows[0][0], rows[0][0])
+        first, last, known = state or (rows[0][0], rows[0][0], set())
         for at, _, value in rows:
             if self.forget_us is not None and at - last > self.forget_us:
-                self.known.clear()
-                first = at
-            name = ("v" + value if value is not None else "n",)
-            if not self.known.containsKey(name):
-                self.known.updateValue(name, (at,))
+                known, first = set(), at
+            if value not in known:
+                known.add(value)
                 if at >= first + self.learn_us:
-                    out.append((value, pd.Timestamp(at, unit="us")))
+                    out.append((value, at))
             last = at
-        self.span.update((first, last))
-        return out
+        return (first, last, known), out
 
-    def expire(self, key: tuple, watermark: int) -> tuple[list[tuple], int | None]:
-        if self.forget_us is None or not self.span.exists():
-            return [], None
-        end = self.span.get()[1] + self.forget_us
-        if end >= watermark * 1000:
-            return [], end // 1000 + 1
-        self.span.clear()
-        self.known.clear()
-        return [], None
+    def expire(self, state: tuple, watermark: int) -> tuple:
+        if self.forget_us is None:
+            return state, [], None
+        end = state[1] + self.forget_us
+        return (None, [], None) if end < watermark else (state, [], end + 1000)
 
 
 def stream_drift(events: DataFrame, key: str, value: str, learn_s: float = 86_400, forget_s: float | None = None, tie: str = "event_id") -> DataFrame:
     """(key, value, first_seen): as ``behaviour.drift``, without the counts; told once for each value. A key that is silent for longer than
     forget_s begins anew."""
-    own = Drift(int(learn_s * 1e6), None if forget_s is None else int(forget_s * 1e6))
-    found = run_in_order(events, [key], tie, F.col(value), own, "__value string, first_seen timestamp")
-    return found.withColumn(value, F.col("__value").cast(dict(events.dtypes)[value])).select(key, value, "first_seen")
+    own, kind = Drift(int(learn_s * 1e6), None if forget_s is None else int(forget_s * 1e6)), dict(events.dtypes)[value]
+    found = run_in_order(events, [key], tie, as_text(F.col(value), kind), own, "__value string, __at bigint")
+    return found.select(key, of_text(F.col("__value"), kind).alias(value), F.timestamp_micros("__at").alias("first_seen"))
 
 
 class Folding(InOrder):
-    """One open window a key, from its first alert on; closed by the first alert after it or by the watermark."""
+    """One open window (first, last, n) a key, from its first alert on; closed by the first alert after it or by the watermark."""
 
     def __init__(self, window_us: int):
-        super().__init__("value string")
         self.window_us = window_us
 
-    def open(self) -> None:
-        self.window = self.handle.getValueState("window", "first bigint, last bigint, n bigint")
-
-    @staticmethod
-    def told(first: int, last: int, n: int) -> tuple:
-        return pd.Timestamp(first, unit="us"), pd.Timestamp(last, unit="us"), n
-
-    def walk(self, key: tuple, rows: list[tuple]) -> list[tuple]:
-        out, window = [], tuple(self.window.get()) if self.window.exists() else None
+    def walk(self, state: tuple | None, rows: list[tuple]) -> tuple:
+        out, window = [], state
         for at, _, _ in rows:
             if window is None or at > window[0] + self.window_us:
                 if window:
-                    out.append(self.told(*window))
+                    out.append(window)
                 window = (at, at, 0)
             window = (window[0], at, window[2] + 1)
-        self.window.update(window)
-        return out
+        return window, out
 
-    def expire(self, key: tuple, watermark: int) -> tuple[list[tuple], int | None]:
-        if not self.window.exists():
-            return [], None
-        window = tuple(self.window.get())
-        if window[0] + self.window_us >= watermark * 1000:
-            return [], (window[0] + self.window_us) // 1000 + 1
-        self.window.clear()
-        return [self.told(*window)], None
+    def expire(self, state: tuple, watermark: int) -> tuple:
+        end = state[0] + self.window_us
+        return (None, [state], None) if end < watermark else (state, [], end + 1000)
 
 
 def stream_aggregated(alerts: DataFrame, keys: list[str], window_s: float = 60.0, tie: str = "event_id") -> DataFrame:
     """(keys, first_seen, last_seen, n), as ``behaviour.aggregated``: a window is told of when it is over."""
-    return run_in_order(alerts, keys, tie, F.lit(None), Folding(int(window_s * 1e6)), "first_seen timestamp, last_seen timestamp, n bigint")
+    found = run_in_order(alerts, keys, tie, F.lit(None), Folding(int(window_s * 1e6)), "__first bigint, __last bigint, n bigint")
+    return found.select(*keys, F.timestamp_micros("__first").alias("first_seen"), F.timestamp_micros("__last").alias("last_seen"), "n")
 
 
 class Limiting(InOrder):
-    """``behaviour.Limiter`` with its admitted alerts in state."""
+    """``behaviour.Limiter`` with its admitted alerts (at in seconds, name) held."""
 
     def __init__(self, dedup_s: float, rate: int, rate_s: float):
-        super().__init__("value string")
         self.dedup_s, self.rate, self.rate_s = dedup_s, rate, rate_s
 
-    def open(self) -> None:
-        self.held = self.handle.getListState("held", "at double, key string")
-
-    def walk(self, key: tuple, rows: list[tuple]) -> list[tuple]:
-        limiter, kept, out = behaviour.Limiter(self.dedup_s, self.rate, self.rate_s), [], []
-        for at, name in [tuple(x) for x in self.held.get()] if self.held.exists() else []:
+    def walk(self, state: list | None, rows: list[tuple]) -> tuple:
+        limiter, kept, out = behaviour.Limiter(self.dedup_s, self.rate, self.rate_s), list(state or ()), []
+        for at, name in kept:
             limiter.last[name] = at
             limiter.log.append(at)
-            kept.append((at, name))
         for micros, tie, name in rows:
             if limiter.admit(micros / 1e6, name):
                 kept.append((micros / 1e6, name))
-                out.append((pd.Timestamp(micros, unit="us"), str(int(tie) - (1 << 63)) if tie.isdigit() and len(tie) == 20 else tie))
+                out.append((micros, tie))
         since = rows[-1][0] / 1e6 - max(self.dedup_s, self.rate_s)
-        if kept := [x for x in kept if x[0] >= since]:
-            self.held.put(kept)
-        else:
-            self.held.clear()
-        return out
+        return [x for x in kept if x[0] >= since] or None, out
 
-    def expire(self, key: tuple, watermark: int) -> tuple[list[tuple], int | None]:
-        if not self.held.exists():
-            return [], None
-        end = max(x[0] for x in self.held.get()) + max(self.dedup_s, self.rate_s)
-        if end * 1000 >= watermark:
-            return [], int(end * 1000) + 1
-        self.held.clear()
-        return [], None
+    def expire(self, state: list, watermark: int) -> tuple:
+        end = max(x[0] for x in state) + max(self.dedup_s, self.rate_s)
+        return (None, [], None) if end * 1e6 < watermark else (state, [], int(end * 1e6) + 1000)
 
 
 def stream_admitted(alerts: DataFrame, rule: str, keys: list[str], dedup_s: float = behaviour.DEDUP_S, rate: int = behaviour.RATE, rate_s: float = behaviour.RATE_S, tie: str = "event_id") -> DataFrame:
     """(rule, ts, tie) of the alerts that the coupled limiter admits, in event time whatever order they come in, as ``behaviour.limited``."""
     name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    found = run_in_order(alerts, [rule], tie, name, Limiting(dedup_s, rate, rate_s), "ts timestamp, __tie string")
-    return found.withColumn(tie, F.col("__tie").cast(dict(alerts.dtypes)[tie])).drop("__tie")
+    found = run_in_order(alerts, [rule], tie, name, Limiting(dedup_s, rate, rate_s), "__at bigint, __tie string")
+    return found.select(rule, F.timestamp_micros("__at").alias("ts"), of_tie(F.col("__tie"), dict(alerts.dtypes)[tie]).alias(tie))
 
 
-def replay(source: DataFrame, operator: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
-    """Runs a stream over all that its source has, into Parquet at ``path``/out with its checkpoint beside; a further call goes on from there."""
+def replay(source: DataFrame, operator: Callable[[DataFrame], DataFrame], path: str, idle: bool = True) -> DataFrame:
+    """Runs a stream over all that its source has, into Parquet at ``path``/out with its checkpoint beside; a further call goes on from there. Not ``idle``: what the
+    watermark has passed by the last batch's rows is left to the next call."""
     spark = source.sparkSession
-    with with_rocksdb(spark):
+    with with_conf(spark, IDLE, str(idle).lower()), with_rocksdb(spark):
         out = operator(source)
         out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{path}/out")
